@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, line_dedup
+from . import decontaminate, langid, line_dedup, quality, token_counts
 from .ngram_join import ngram_join
 from .packing import pack_documents
 
 PACK_TOKENIZER = "word_bpe_49k.json"
+COUNT_PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,16 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_counts.unigram_pieces(public_tokenizers.path(COUNT_PIECES))
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), pieces)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +55,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op3_token_counts": op3_token_counts,
+        "op4_quality_rules": op4_quality_rules,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op8_language_id": op8_language_id,
         "op10_best_fit_packing": op10_best_fit_packing,
