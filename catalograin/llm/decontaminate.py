@@ -144,6 +144,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """`docs` without the documents that hold a benchmark window; rows that share an id go together."""
+    found = decontaminate(docs, benchmark, id_col=id_col, **options)
+    gone = stored(found.where("contaminated").select(F.col(id_col).alias("gone id")).distinct(), "gone")
+    return docs.join(_small(gone, gone.count()), F.col(id_col).eqNullSafe(F.col("gone id")), "left_anti")
+
+
 #: The same rows in DuckDB's SQL.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

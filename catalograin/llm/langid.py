@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .storage import stored
 
@@ -255,8 +256,19 @@ def _predict(model: Broadcast, penalty: float, spans: bool):
     return run
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 6.0, spans: bool = True) -> DataFrame:
-    """Per row: the id, lang_pred, score, n_spans and, if asked for, spans (first_word, n_words, lang) of its whole text.
+def keep_known(docs: DataFrame, model: Model, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose language is known with at least `min_score` of their letters."""
+    numbered = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    text = f"c{docs.columns.index(text_col)}"
+    found = identify(numbered, model, numbered.columns[0], text, spans=False, carry=numbered.columns[1:])
+    found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def identify(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 6.0, spans: bool = True, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Per row: the id, columns to carry, lang_pred, score, n_spans and, if asked for, spans (first_word, n_words, lang) of its whole text.
 
     lang_pred is the language with most letters in its spans (ties: the first by name), score their share. Null texts and
     those without a letter are `und` with score 0 and no letters to share. Words of a script that no learned language uses are
@@ -264,7 +276,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     language all are `und`. Other columns of any name are ignored.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, lang_pred string, score double, n_spans long" + ", spans array<struct<first_word:int,n_words:int,lang:string>>" * spans
-    return rows.mapInArrow(_predict(broadcast, penalty, spans), schema).withColumnRenamed("id", id_col)
+    rows = docs.select(id_col, *carry, F.col(text_col).cast("string").alias("text of this row"))
+    schema = StructType(rows.schema.fields[:-1]).add("lang_pred", "string").add("score", "double").add("n_spans", "long")
+    if spans:
+        schema = schema.add("spans", "array<struct<first_word:int,n_words:int,lang:string>>")
+    return rows.mapInArrow(_predict(broadcast, penalty, spans), schema)

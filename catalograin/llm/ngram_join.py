@@ -324,3 +324,14 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
         .join(named, ["f1", "f2"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """`docs` with one document of each component: the one with the smallest id. Rows that repeat an id count as one document, of which one row stays."""
+    found = stored(ngram_join(docs, id_col=id_col, **options), "joined")
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept id")).agg(F.count("*").alias("rows of it"))
+    stay = stored(stay, "stay")
+    n, most = stay.agg(F.count("*"), F.max("rows of it")).first()
+    ids = stay.select("kept id")
+    kept = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, F.col(id_col).cast("long").eqNullSafe(F.col("kept id")), "left_semi")
+    return kept.dropDuplicates([id_col]) if most and most > 1 else kept
