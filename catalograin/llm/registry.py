@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontaminate, langid, line_dedup, quality, token_counts
 from .ngram_join import ngram_join
 from .packing import pack_documents
+from .sharding import shard_documents
 
 PACK_TOKENIZER = "word_bpe_49k.json"
 COUNT_PIECES = "piece_bpe_32k.model"
@@ -47,6 +48,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "n_spans")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"), shards=8)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(PACK_TOKENIZER))
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op8_language_id": op8_language_id,
+        "op9_sharding": op9_sharding,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
