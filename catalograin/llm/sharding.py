@@ -12,6 +12,8 @@ from .storage import stored
 BINS = 512
 #: A cut may miss its share of a leaf's bytes by this part of a shard.
 TOLERANCE = 1e-4
+#: If a large group lies at the cut, so that it misses by more than this part of a shard, the next dimensions are tried too.
+MISS = 5e-3
 #: Chunks in which a shard's slots are numbered side by side.
 MAX_CHUNKS = 20_000
 BROADCAST_ROWS = 1_000_000
@@ -22,14 +24,13 @@ class _Search:
     """Where a node's cut lies: groups below `low` go left for sure, those above `high` go right."""
 
     node: int
-    parts: int
     column: str
     low: float
     high: float
-    left_parts: int = 0
     need: float = 0.0  # bytes still wanted from [low, high]
     cut: tuple | None = None
     value: float | None = None  # the single value whose groups the hash tells apart
+    miss: float = float("inf")  # bytes by which the cut misses its share
 
 
 def _of_text(column: str) -> Column:
@@ -77,6 +78,7 @@ def _cuts(groups: DataFrame, searches: list[_Search], tolerance: float) -> None:
                 # the bin goes where it leaves the smaller miss
                 edge = high if abs(below + weight - s.need) <= abs(s.need - below) else (bins[k - 1][3] if k else low - 1)
                 s.cut = (edge, None) if s.value is None else (s.value, edge)
+                s.miss = min(abs(below + weight - s.need), abs(s.need - below))
             else:
                 s.need -= below
                 s.low, s.high = low, high
@@ -97,14 +99,21 @@ def kd_shards(groups: DataFrame, dims: list[str], shards: int) -> DataFrame:
     parts, first = {0: shards}, {0: 0}
     while any(p > 1 for p in parts.values()):
         rows = groups.groupBy("node").agg(F.sum("bytes").alias("bytes"), *(F.min(d).alias(f"low{i}") for i, d in enumerate(dims)), *(F.max(d).alias(f"high{i}") for i, d in enumerate(dims))).collect()
-        searches = []
-        for r in rows:
-            if parts[r["node"]] > 1:
-                spread = [(r[f"high{i}"] - r[f"low{i}"]) / whole[i] for i in range(len(dims))]
-                i = max(range(len(dims)), key=lambda i: (spread[i], -i))
-                p = parts[r["node"]]
-                searches.append(_Search(r["node"], p, dims[i], r[f"low{i}"], r[f"high{i}"], p // 2, r["bytes"] * (p // 2) / p))
-        _cuts(groups, searches, TOLERANCE * total / shards)
+        ranges, pending, best = {r["node"]: r for r in rows if parts[r["node"]] > 1}, [], {}
+        widest = {n: sorted(range(len(dims)), key=lambda i: (-(r[f"high{i}"] - r[f"low{i}"]) / whole[i], i)) for n, r in ranges.items()}
+        pending = list(ranges)
+        for attempt in range(len(dims)):
+            searches = []
+            for n in pending:
+                r, i, p = ranges[n], widest[n][attempt], parts[n]
+                searches.append(_Search(n, dims[i], r[f"low{i}"], r[f"high{i}"], r["bytes"] * (p // 2) / p))
+            _cuts(groups, searches, TOLERANCE * total / shards)
+            for s in searches:
+                best[s.node] = min(best.get(s.node, s), s, key=lambda s: s.miss)
+            pending = [n for n in pending if best[n].miss > MISS * total / shards]
+            if not pending:
+                break
+        searches = list(best.values())
         node, next_parts, next_first = F.col("node"), {}, {}
         for n, p in parts.items():
             if p == 1:
