@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,7 +77,7 @@ def _cuts(groups: DataFrame, searches: list[_Search], tolerance: float) -> None:
                 s.value, s.low, s.high = low, 0.0, 1.0
             elif low == high or weight <= tolerance:
                 # the bin goes where it leaves the smaller miss
-                edge = high if abs(below + weight - s.need) <= abs(s.need - below) else (bins[k - 1][3] if k else low - 1)
+                edge = high if abs(below + weight - s.need) <= abs(s.need - below) else math.nextafter(low, -math.inf)
                 s.cut = (edge, None) if s.value is None else (s.value, edge)
                 s.miss = min(abs(below + weight - s.need), abs(s.need - below))
             else:
