@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, line_dedup, quality, token_counts
+from . import decontaminate, extraction, langid, line_dedup, quality, token_counts
 from .ngram_join import ngram_join
 from .packing import pack_documents
 from .sharding import shard_documents
@@ -42,6 +42,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.fit(pages))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs), spans=False)
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_quality_rules": op4_quality_rules,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+        "op6_html_extraction": op6_html_extraction,
         "op8_language_id": op8_language_id,
         "op9_sharding": op9_sharding,
         "op10_best_fit_packing": op10_best_fit_packing,
