@@ -78,13 +78,13 @@ def pieces(page: str) -> Iterator[Piece]:
 
 
 def label(page: str) -> list[tuple[Piece, bool]] | None:
-    """Pieces with whether they lie in the page's one `article` element, or None if it has none or several."""
+    """Pieces outside OUT elements, with whether they lie in the page's one `article` element, or None if it has none or several."""
     found = list(pieces(page))
     opens = [i for i, p in enumerate(found) if p.name == "article" and not p.closing]
     closes = [i for i, p in enumerate(found) if p.name == "article" and p.closing]
     if len(opens) != 1 or len(closes) != 1 or closes[0] < opens[0]:
         return None
-    return [(p, opens[0] < i < closes[0] and not p.out) for i, p in enumerate(found)]
+    return [(p, opens[0] < i < closes[0]) for i, p in enumerate(found) if not p.out]
 
 
 class Weights:
@@ -138,13 +138,15 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_r
 
 
 def main_text(page: str | None, weights: Weights) -> str:
-    """The text of the best contiguous region, found by one scan, without the elements in it that are never main text."""
+    """The text of the best contiguous region, found by one scan; elements that are never main text weigh nothing and go."""
     found = list(pieces(page or ""))
     total, least, start, best, region = 0.0, 0.0, 0, 0.0, (0, 0)
     for i, piece in enumerate(found):
+        if piece.out:
+            continue
         if piece.text is None:
             total += weights.tag(piece.key)
-        elif not piece.out and (n := len(piece.text.split())):
+        elif n := len(piece.text.split()):
             total += n * weights.word(piece.key)
         if total < least:
             least, start = total, i + 1
