@@ -11,9 +11,11 @@ from . import decontaminate, extraction, langid, line_dedup, quality, token_coun
 from .ngram_join import ngram_join
 from .packing import pack_documents
 from .sharding import shard_documents
+from .urlfilter import Rule, judge_urls
 
 PACK_TOKENIZER = "word_bpe_49k.json"
 COUNT_PIECES = "piece_bpe_32k.model"
+URL_RULES = [Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block", "example.com/de/"), Rule("allow", "org/fr/")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(pages, extraction.fit(pages))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs), spans=False)
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_html_extraction": op6_html_extraction,
+        "op7_url_filters": op7_url_filters,
         "op8_language_id": op8_language_id,
         "op9_sharding": op9_sharding,
         "op10_best_fit_packing": op10_best_fit_packing,
