@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +21,15 @@ def build_session(master: str = "local[8]", app: str = "catalograin", **extra: s
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def with_checkpoints(spark: SparkSession) -> SparkSession:
+    """The session, sure to have a checkpoint folder: the cluster's `spark.checkpoint.dir`, or where that is unset and all runs in one JVM a temporary one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="catalograin-")
+        spark.sparkContext.setCheckpointDir(path)
+    return spark
