@@ -11,15 +11,15 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from .storage import stored
 
 MAX_TRAIN_ROWS = 20_000
 MAX_LANGUAGES = 200
 MAX_GRAMS = 40_000
-CACHE_WORDS = 400_000
-BLOCK_CHARS = 4_000_000
+CACHE_WORDS = 150_000
+BLOCK_CHARS = 1_500_000
 UNKNOWN = "und"
 #: First and last code point of the scripts that narrow the candidates. (Fixed values.)
 SCRIPTS = {
@@ -65,22 +65,15 @@ def held_out(id_col: str = "doc_id"):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, kind, item, n): the trigrams and words (g) and scripts (s) of the batch's texts."""
+    """Rows (lang, kind, item, n): the trigrams and words (g) and the letters by script (s) of a batch of (lang, word, n)."""
     for batch in batches:
-        grams: dict[str, Counter] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            grams.setdefault(lang, Counter()).update(words_of(text))
-        rows = []
-        for lang, words in grams.items():
-            counts: Counter = Counter()
-            for word, n in words.items():
-                if any(c.isalpha() for c in word):
-                    counts["s", script_of(word)] += n * len(word)
-                    for g in grams_of(word):
-                        counts["g", g] += n
-            rows += [(lang, kind, item, n) for (kind, item), n in counts.items()]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], ["lang", "kind", "item", "n"])
+        counts: Counter = Counter()
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts[lang, "s", script_of(word)] += n * len(word)
+            for g in grams_of(word):
+                counts[lang, "g", g] += n
+        columns = list(zip(*counts, strict=True)) if counts else [[]] * 3
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(counts.values(), pa.int64())], ["lang", "kind", "item", "n"])
 
 
 class Model:
@@ -121,7 +114,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for row in sizes:
         share = F.when(F.col("lang") == row["lang"], F.lit(int(1_000_000 * min(1.0, max_rows / len(sizes) / row["count"])))).otherwise(share)
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < share)
-    counts = sample.select("lang", "text").mapInArrow(_count, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    met = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    met = met.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = met.mapInArrow(_count, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")))
     ranked = stored(ranked.where((F.col("rank") <= MAX_GRAMS) & ((F.col("n") > 1) | (F.col("kind") == "s"))).drop("rank"), "grams")
     return Model([tuple(r) for r in ranked.collect()], [r["lang"] for r in sizes])
@@ -153,8 +148,10 @@ class Labeller:
     def _learn(self) -> None:
         """Score the words met since."""
         new, self.words.new = self.words.new, []
-        if not new:
-            return
+        for k in range(0, len(new), 20_000):
+            self._score(new[k : k + 20_000])
+
+    def _score(self, new: list[str]) -> None:
         gram, unseen = self.model.gram.get, len(self.model.gram)
         flat, cuts = [], []
         for word in new:
@@ -245,7 +242,7 @@ def _predict(model: Broadcast, penalty: float, spans: bool):
                 cut = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(labels, prepend=-1) != 0))
                 changes += np.bincount(owner[cut], minlength=len(block)).tolist()
                 if spans:
-                    ends = np.append(cut[1:], len(owner))
+                    ends = np.append(cut[1:], len(owner))[: len(cut)]
                     listed: list[list] = [[] for _ in block]
                     for c, e in zip(cut.tolist(), ends.tolist(), strict=True):
                         listed[owner[c]].append({"first_word": c - int(before[owner[c]]), "n_words": e - c, "lang": names[labels[c]] if n else UNKNOWN})
@@ -279,5 +276,5 @@ def identify(
     rows = docs.select(id_col, *carry, F.col(text_col).cast("string").alias("text of this row"))
     schema = StructType(rows.schema.fields[:-1]).add("lang_pred", "string").add("score", "double").add("n_spans", "long")
     if spans:
-        schema = schema.add("spans", "array<struct<first_word:int,n_words:int,lang:string>>")
+        schema = schema.add("spans", ArrayType(StructType().add("first_word", "integer").add("n_words", "integer").add("lang", "string")))
     return rows.mapInArrow(_predict(broadcast, penalty, spans), schema)

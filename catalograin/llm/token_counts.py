@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 400_000
-BLOCK_CHARS = 4_000_000
+CACHE_WORDS = 200_000
+BLOCK_CHARS = 1_500_000
 SPACE = "▁"
 #: Score of a code point that no piece covers, which counts as `n` byte tokens; below that of any piece.
 UNKNOWN_SCORE = -30.0
