@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -16,8 +17,8 @@ from .storage import stored
 CAPACITY = 4096
 #: Pieces that one task packs; beyond, more tasks do. Each leaves a handful of part-filled bins, which `_merge` packs again.
 CHUNK_PIECES = 50_000
-CACHE_WORDS = 400_000
-BLOCK_CHARS = 4_000_000
+CACHE_WORDS = 200_000
+BLOCK_CHARS = 1_500_000
 
 
 class WordEncoder:
@@ -29,6 +30,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -42,8 +44,8 @@ class WordEncoder:
         for part, encoding in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
             self.known[part] = np.array(encoding.ids, "<u4").tobytes()
 
-    def _encode_words(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+    def _encode_words(self, words: list[str], encoding) -> None:
+        ids = np.array(encoding.ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):
             self._encode_each(words)
@@ -67,8 +69,9 @@ class WordEncoder:
             else:
                 others.append(part)
         listed = list(words)
-        for k in range(0, len(listed), 2000):
-            self._encode_words(listed[k : k + 2000])
+        lists = [listed[k : k + 500] for k in range(0, len(listed), 500)]
+        for some, encoding in zip(lists, self.tokenizer.encode_batch_fast(list(map(" ".join, lists)), add_special_tokens=False), strict=True):
+            self._encode_words(some, encoding)
         self._encode_each(list(dict.fromkeys(others)))
         for part, core, mark in composed:
             self.known[part] = self.known[core] + self.known[mark]
@@ -86,21 +89,24 @@ class WordEncoder:
 
 
 def parts_of(text: str) -> list[str]:
-    """Parts between ASCII white space; lower-cased where that changes no id and saves repeated parts."""
+    """Parts between white space; lower-cased where that changes no id and saves repeated parts."""
     if "<|" not in text and (text.isascii() or (max(text) < "ɐ" and "İ" not in text)):
         text = text.lower()
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    return [p for p in text.translate(_SPACES).split(" ") if p]
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # white space to Python only
+        return [p for p in text.translate(_SPACES).split(" ") if p]
+    return text.split()
 
 
 _SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+#: One for each worker process.
 _encoders: dict[str, WordEncoder] = {}
 
 
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(path, None) or _encoders.__setitem__(path, WordEncoder(path)) or _encoders[path]
+        if path not in _encoders:
+            _encoders[path] = WordEncoder(path)
+        encoder = _encoders[path]
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -126,30 +132,25 @@ def _pieces(path: str, end_id: int, capacity: int):
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """A bin for each length, in the order given.
 
-    open[g] counts open bins with residual gap g. A piece goes where the sum of open[g] ** 2 becomes smallest: into a bin of
-    some gap, or a new bin; ties go to the smaller gap. Full bins don't count.
+    counts[g] is the number of open bins with residual gap g. A piece goes into the open bin it fits in for which the sum of
+    counts[g] ** 2 becomes smallest (ties: the smaller gap), and into a new bin only if it fits in none. Full bins don't count.
     """
-    counts = np.zeros(capacity + 1, np.int64)  # a gap of 0 is a full bin, and stays 0
+    counts = np.zeros(capacity + 1, np.int64)
     waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
     out = np.empty(len(lengths), np.int64)
     n_bins, far = 0, np.iinfo(np.int64).max
     for i, s in enumerate(lengths.tolist()):
-        into = counts[: capacity - s + 1]  # gaps left, for gaps before of s .. capacity
-        before = counts[s:]
-        change = np.where(before > 0, into - before + 1, far)
-        if s == capacity:
-            change[0] = far
-        elif before[0] > 0:
-            change[0] = 1 - 2 * before[0]
-        change[1:] = np.where(change[1:] == far, far, 2 * change[1:])
-        change[-1] = 2 * counts[capacity - s] + 1 if s < capacity else 0  # a new bin
+        before, after = counts[s:], counts[: capacity - s + 1]  # of gaps g, and of the gaps g - s that would be left
+        change = np.where(before > 0, 2 * (after - before + 1), far)
+        if before[0] > 0:
+            change[0] = 1 - 2 * before[0]  # it fills the bin
         g = int(np.argmin(change)) + s
-        if g == capacity:
-            b = n_bins
-            n_bins += 1
-        else:
+        if counts[g] > 0:
             b = waiting[g].pop()
             counts[g] -= 1
+        else:
+            b, g = n_bins, capacity
+            n_bins += 1
         out[i] = b
         if g > s:
             counts[g - s] += 1
