@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, extraction, langid, line_dedup, quality, token_counts
+from .ngram_join import ORACLE as NGRAM_ORACLE
 from .ngram_join import ngram_join
 from .packing import pack_documents
 from .sharding import shard_documents
@@ -86,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.ORACLE,
         "op2_benchmark_decontamination": decontaminate.ORACLE,
+        "op5_ngram_jaccard_join": NGRAM_ORACLE,
     }
