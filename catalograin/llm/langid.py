@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -224,11 +225,13 @@ def _predict(model: Broadcast, penalty: float, spans: bool):
         block_chars = max(100_000, BLOCK_CHARS * 4 // max(4, n))
         for batch in batches:
             texts, lang, score, changes, found = batch.column(batch.num_columns - 1), [], [], [], []
+            # texts of like length go together: a block takes as many steps as its longest has words
+            order = np.argsort(-pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), kind="stable")
             first = 0
             while first < len(texts):
                 block, chars = [], 0
                 while first + len(block) < len(texts) and (not block or chars < block_chars):
-                    block.append(texts[first + len(block)].as_py() or "")
+                    block.append(texts[int(order[first + len(block)])].as_py() or "")
                     chars += len(block[-1])
                 first += len(block)
                 ids, labels, before = labeller.label(block)
@@ -247,8 +250,10 @@ def _predict(model: Broadcast, penalty: float, spans: bool):
                     for c, e in zip(cut.tolist(), ends.tolist(), strict=True):
                         listed[owner[c]].append({"first_word": c - int(before[owner[c]]), "n_words": e - c, "lang": names[labels[c]] if n else UNKNOWN})
                     found += listed
-            columns = [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(changes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(found, _SPANS)] if spans else []), [str(k) for k in range(len(columns) + spans)])
+            back = np.argsort(order)
+            columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(changes, pa.int64()), *([pa.array(found, _SPANS)] if spans else [])]
+            columns = [*batch.columns[:-1], *(c.take(pa.array(back)) for c in columns)]
+            yield pa.RecordBatch.from_arrays(columns, [str(k) for k in range(len(columns))])
 
     return run
 

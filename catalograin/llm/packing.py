@@ -17,15 +17,18 @@ from .storage import stored
 CAPACITY = 4096
 #: Pieces that one task packs; beyond, more tasks do. Each leaves a handful of part-filled bins, which `_merge` packs again.
 CHUNK_PIECES = 50_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 BLOCK_CHARS = 1_500_000
+#: Characters that end a word and are a pre-token of their own after letters (the apostrophe is not: it starts contractions).
+MARKS = '.,;:!?*#$%&()[]{}<>|/-+=_~^@"'
 
 
 class WordEncoder:
     """Token ids (little-endian unsigned 32-bit) of texts, by white-space separated parts that are encoded once.
 
     The tokenizer drops white space and never joins tokens across it, so a text's ids are those of its parts in order. Parts of
-    letters only are one pre-token each, whose last token ends with `</w>`: they are encoded together and cut there.
+    letters only are one pre-token each, whose last token ends with `</w>`: they are encoded together and cut there. Letters and
+    marks behind them are two.
     The cache holds at most CACHE_WORDS parts and starts anew beyond.
     """
 
@@ -60,12 +63,12 @@ class WordEncoder:
         for part in parts:
             if part.isalpha():
                 words.add(part)
-            elif part[-1] in ".,;:!?" and (core := part[:-1]).isalpha():
-                composed.append((part, core, part[-1]))
+            elif (core := part.rstrip(MARKS)).isalpha():
+                composed.append((part, core, mark := part[len(core) :]))
                 if core not in self.known:
                     words.add(core)
-                if part[-1] not in self.known:
-                    others.append(part[-1])
+                if mark not in self.known:
+                    others.append(mark)
             else:
                 others.append(part)
         listed = list(words)
