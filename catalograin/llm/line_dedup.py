@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 WILD = "<*>"
-#: Documents (with a few positions each) that a broadcast may hold; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Positions (of 40 bytes) that a broadcast may hold; beyond, the join shuffles.
+BROADCAST_POSITIONS = 1_000_000
 
 
 def masked(line: Column) -> Column:
@@ -51,7 +51,8 @@ def dedup_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, min_do
     varied = distinct.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
     samples = distinct.join(varied, "leaf").groupBy("at.id", "at.th").agg(F.collect_list(F.struct("at.pos", "leaf", "h1", "h2", "n_docs")).alias("wanted"))
     samples = stored(samples, "samples")
-    samples = F.broadcast(samples) if samples.count() <= BROADCAST_ROWS else samples
+    size = samples.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    samples = F.broadcast(samples) if size <= BROADCAST_POSITIONS else samples
     texts = source.alias("d").join(samples.alias("s"), F.expr("d.id <=> s.id AND d.th = s.th"))
     picked = texts.select(F.split("d.text", "\n", -1).alias("all"), F.explode("s.wanted").alias("w")).select("w.*", F.split(masked(F.element_at("all", F.col("w.pos") + 1)), " ").alias("tokens"))
     picked = stored(picked, "leaves")
