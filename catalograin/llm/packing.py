@@ -63,7 +63,7 @@ class WordEncoder:
         for part in parts:
             if part.isalpha():
                 words.add(part)
-            elif (core := part.rstrip(MARKS)).isalpha():
+            elif (core := part.rstrip(MARKS)).isalpha() and core.lower().isalpha():  # a dotted capital I leaves its dot to the marks
                 composed.append((part, core, mark := part[len(core) :]))
                 if core not in self.known:
                     words.add(core)
