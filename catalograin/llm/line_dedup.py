@@ -2,7 +2,10 @@
 
 A line's path in the tree has a fixed depth: its token count, then its leading tokens, those with a digit masked. In a leaf,
 positions whose most frequent token has no majority among the documents are variable; a line that agrees with the rest of the
-template at enough positions belongs to it, another line is a template of its own. Templates found in `min_docs`
+template at enough positions belongs to it. The leaf's other lines form further templates: lines of one template share at least
+one of as many stretches of tokens as it may have variable positions, and one more, so lines meet by stretch, and each
+stretch shared has a template, first by majority, then by its heaviest line, until no line joins another. A line that fits none is a
+template of its own. Templates found in `min_docs`
 documents or more are recurring: of all their lines, the first (by document, then place) stays, the others go.
 
 Leaves and templates work on distinct lines with their document counts, by hash, so a line that a third of all
@@ -11,6 +14,8 @@ documents repeat is one row there; texts are read again only for leaves with mor
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +32,57 @@ def masked(line: Column) -> Column:
     return F.btrim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))
 
 
+def _agreed(template: Column) -> Column:
+    return F.size(F.filter(F.arrays_zip("tokens", template.alias("token")), lambda p: p["tokens"] == p["token"]))
+
+
+def _majority(lines: DataFrame, key: str) -> DataFrame:
+    """(key, template) of lines (key, n_docs, tokens): the tokens that more than half of the documents have, else the wild card."""
+    at = lines.select(key, "n_docs", F.posexplode("tokens").alias("k", "token")).groupBy(key, "k", "token").agg(F.sum("n_docs").alias("n"))
+    most = at.groupBy(key, "k").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
+    constant = F.when(F.col("top.n") * 2 > F.col("all"), F.col("top.token")).otherwise(F.lit(WILD))
+    listed = most.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", constant.alias("token")))).alias("template"))
+    return listed.select(key, F.col("template.token").alias("template"))
+
+
+def _more_templates(rest: DataFrame, depth: int, similarity: float) -> DataFrame | None:
+    """(h1, h2, g1, g2) of lines (leaf, h1, h2, n_docs, tokens) that share a further template of their leaf; None if there are none.
+
+    A line that fits several templates of a round joins the heaviest. What is left goes into the next round.
+    """
+    n = F.size("tokens")
+    spare = n - F.ceil(F.lit(similarity) * n).cast("int")
+    rest = rest.withColumn("n_bands", F.least(spare + 1, n - depth)).where((spare > 0) & (F.col("n_bands") > 0))
+    band = F.col("band")
+    start, stop = (F.floor((band + k) * (n - depth) / F.col("n_bands")).cast("int") for k in (0, 1))
+    found, level = [], 0
+    while True:
+        banded = rest.withColumn("band", F.explode(F.sequence(F.lit(0), F.col("n_bands") - 1)))
+        banded = banded.withColumn("bucket", F.xxhash64("leaf", "band", F.slice("tokens", start + depth + 1, stop - start)))
+        shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+        banded = stored(banded.join(shared, "bucket").select("bucket", "leaf", "h1", "h2", "n_docs", "n_bands", "tokens"), "banded")
+        if banded.isEmpty():
+            break
+        if level == 0:
+            templates = _majority(banded, "bucket")
+        else:
+            heaviest = F.max(F.struct("n_docs", F.xxhash64("h1", F.lit(level)).alias("x"), "tokens"))
+            templates = banded.groupBy("bucket").agg(heaviest.alias("top")).select("bucket", F.col("top.tokens").alias("template"))
+        fits = banded.join(templates, "bucket").where(_agreed(F.col("template")) >= similarity * F.size("tokens"))
+        fits = stored(fits.select("bucket", "h1", "h2", "n_docs"), "fits")
+        weights = fits.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_docs").alias("w")).where("n > 1")
+        chosen = fits.join(weights, "bucket").groupBy("h1", "h2").agg(F.max(F.struct("w", "bucket")).alias("top"))
+        chosen = stored(chosen.select("h1", "h2", F.col("top.bucket").alias("g1"), F.lit(level + 1).cast("long").alias("g2")), "chosen")
+        if not chosen.isEmpty():
+            found.append(chosen)
+        elif level > 0:
+            break
+        lines = banded.dropDuplicates(["h1", "h2"]).drop("bucket")
+        rest = stored(lines.join(chosen.select("h1", "h2"), ["h1", "h2"], "left_anti"), "rest")
+        level += 1
+    return functools.reduce(DataFrame.unionByName, found) if found else None
+
+
 def dedup_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, min_docs: int = 2, min_tokens: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with shortened texts, and n_lines and n_dropped (replacing columns of these names).
 
@@ -57,14 +113,12 @@ def dedup_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, min_do
     picked = texts.select(F.split("d.text", "\n", -1).alias("all"), F.explode("s.wanted").alias("w")).select("w.*", F.split(masked(F.element_at("all", F.col("w.pos") + 1)), " ").alias("tokens"))
     picked = stored(picked, "leaves")
 
-    # the template of a leaf: its majority tokens
-    at = picked.select("leaf", "n_docs", F.posexplode("tokens").alias("k", "token")).groupBy("leaf", "k", "token").agg(F.sum("n_docs").alias("n"))
-    most = at.groupBy("leaf", "k").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
-    constant = F.when(F.col("top.n") * 2 > F.col("all"), F.col("top.token")).otherwise(F.lit(WILD))
-    templates = most.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("k", constant.alias("token")))).alias("template"))
-    fits = picked.join(templates, "leaf").withColumn("pairs", F.arrays_zip("tokens", F.col("template.token").alias("token")))
-    agreed = F.size(F.filter("pairs", lambda p: p["tokens"] == p["token"]))
-    members = fits.where(agreed >= similarity * F.size("tokens")).select("h1", "h2", F.col("leaf").alias("g1"), F.lit(0).cast("long").alias("g2")).distinct()
+    # the template of a leaf: its majority tokens; then those of the lines that do not fit
+    fits = picked.join(_majority(picked, "leaf"), "leaf").withColumn("fits", _agreed(F.col("template")) >= similarity * F.size("tokens"))
+    fits = stored(fits.drop("template"), "fits")
+    members = fits.where("fits").select("h1", "h2", F.col("leaf").alias("g1"), F.lit(0).cast("long").alias("g2")).distinct()
+    more = _more_templates(fits.where("not fits").drop("fits").dropDuplicates(["h1", "h2"]), depth, similarity)
+    members = members if more is None else members.unionByName(more)
 
     # documents of each template, and its first line
     grouped = occurrences.select("id", "th", "pos", "h1", "h2").join(members, ["h1", "h2"], "left")

@@ -21,6 +21,20 @@ def test_variable_fields_make_a_template(spark):
     assert [got[i][2] for i in (10, 11, 12)] == [0, 1, 1]
 
 
+def test_several_templates_in_a_leaf(spark):
+    """Two equally common templates with one beginning, one that shares their end, and much unrelated prose of the same length and beginning."""
+    names = ["Ann", "Bob", "Eve", "Max"]
+    rows = [(k, f"Written by our editor {n} in the city office") for k, n in enumerate(names)]
+    rows += [(10 + k, f"Written by our reporter {n} from a farm house") for k, n in enumerate(names)]
+    rows += [(20 + k, f"Written by our guest {n} at the city office") for k, n in enumerate(names)]
+    rows += [(100 + k, "Written by our " + " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + p)}" for p in range(6))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = result(dedup_lines(docs))
+    for first in (0, 10, 20):
+        assert [got[first + k][2] for k in range(4)] == [0, 1, 1, 1]
+    assert sum(got[100 + k][2] for k in range(200)) == 0
+
+
 def test_one_document_and_short_lines_are_left(spark):
     docs = spark.createDataFrame([(1, "a b c d e\na b c d e"), (2, "the end\nx"), (3, "the end\ny")], "doc_id long, text string")
     assert all(n == 0 for _, _, n in result(dedup_lines(docs)).values())
