@@ -17,6 +17,8 @@ from .storage import stored
 CAPACITY = 4096
 #: Pieces that one task packs; beyond, more tasks do. Each leaves a handful of part-filled bins, which `_merge` packs again.
 CHUNK_PIECES = 50_000
+#: Share of a level's pieces in bins it leaves open, beyond which their bins stay as they are.
+MOST_LEFT = 0.75
 CACHE_WORDS = 400_000
 BLOCK_CHARS = 1_500_000
 #: Characters that end a word and are a pre-token of their own after letters (the apostrophe is not: it starts contractions).
@@ -181,7 +183,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, chunk_pieces: int = CHUNK_
     """`pieces` (any columns, with `length` long from 1 to capacity) with sequence_id and offset.
 
     Pieces are dealt evenly to chunks by hash; each chunk packs its own by sum of squares, longest first. Bins filled less
-    than `least_fill` are opened again and packed together once more, in fewer chunks, until one chunk is left.
+    than `least_fill` are opened again and packed together once more, until one chunk holds them all, or a level closes so few that
+    another would gain little: its bins stay as they are. So no chunk ever gets more than about `chunk_pieces`.
     """
     pieces = stored(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     rest, done, level = pieces.select("uid", "length"), [], 0
@@ -196,13 +199,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, chunk_pieces: int = CHUNK_
             done.append(packed.select("uid", number, "offset"))
             break
         open_again = F.col("filled") < int(capacity * least_fill)
-        done.append(packed.where(~open_again).select("uid", number, "offset"))
         rest = packed.where(open_again).select("uid", "length")
         left = rest.count()
+        if left > chunk_pieces and left > MOST_LEFT * n:
+            done.append(packed.select("uid", number, "offset"))
+            break
+        done.append(packed.where(~open_again).select("uid", number, "offset"))
         if left == 0:
             break
-        # what can't be packed better stays as it is, in ever larger chunks' last bins
-        n, level = min(left, n // 2), level + 1
+        n, level = left, level + 1
     placed = done[0]
     for more in done[1:]:
         placed = placed.union(more)

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -63,6 +64,17 @@ def test_pack(spark, chunk):
     assert len({r["sequence_id"] for r in rows}) <= (1.03 if chunk > 600 else 1.06) * sum(lengths) / 100 + 3
 
 
+def test_no_chunk_gets_everything(spark):
+    """Pieces of which no two fit together stay open at each level; beside them, small ones fill some bins."""
+    lengths = [60] * 1500 + [40] * 200
+    rows = pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long"), 100, 100).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(1700))
+    check(rows, 100)
+    assert len({r["sequence_id"] for r in rows}) <= 1.03 * 1500
+    chunks = Counter(r["sequence_id"] >> 32 for r in rows)  # level and chunk
+    assert max(chunks.values()) <= 150
+
+
 def test_documents(spark, edge_docs, no_docs):
     rows = pack_documents(edge_docs, PATH).collect()
     check(rows, 4096)
