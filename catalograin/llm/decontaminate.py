@@ -34,9 +34,9 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 
 class PositionalIndex:
-    """Stored postings (uid, pos, term) of the terms in `vocabulary(term string)`; and `rows` (uid, id, n_words).
+    """Stored postings (uid, pos, term) of the terms in `vocabulary(term string)`; and `rows` (uid, id, th, n_words).
 
-    uid tells rows apart that repeat an id. `terms` maps a word to its number.
+    th is the hash of a row's text. uid tells rows apart that repeat an id. `terms` maps a word to its number.
     """
 
     def __init__(self, docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
@@ -44,12 +44,12 @@ class PositionalIndex:
         self.terms = stored(vocabulary.select("word", (F.monotonically_increasing_id() + 1).alias("term")), "terms")
         self.n_terms = self.terms.count()
         numbered = self.terms.unionByName(docs.sparkSession.createDataFrame([(_END, 0)], "word string, term long"))
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select(F.monotonically_increasing_id().alias("uid"), "id", words(F.col("text")).alias("words"))
-        tokens = rows.select("uid", "id", F.posexplode(F.array_append("words", F.lit(_END))).alias("pos", "word"))
+        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select(F.monotonically_increasing_id().alias("uid"), "id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("words"))
+        tokens = rows.select("uid", "id", "th", F.posexplode(F.array_append("words", F.lit(_END))).alias("pos", "word"))
         found = tokens.join(_small(numbered, self.n_terms), "word")
-        self.all = stored(found.select("uid", F.when(F.col("term") == 0, F.col("id")).alias("id"), "pos", "term"), "postings")
+        self.all = stored(found.select("uid", F.when(F.col("term") == 0, F.col("id")).alias("id"), F.when(F.col("term") == 0, F.col("th")).alias("th"), "pos", "term"), "postings")
         self.postings = self.all.where("term > 0").select("uid", "pos", "term")
-        self.rows = self.all.where("term = 0").select("uid", "id", F.col("pos").cast("long").alias("n_words"))
+        self.rows = self.all.where("term = 0").select("uid", "id", "th", F.col("pos").cast("long").alias("n_words"))
 
     def frequencies(self) -> DataFrame:
         """(term, n) for every term that occurs."""
@@ -127,6 +127,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     each get their result, null ids stay, and other columns of any name are ignored. An empty table of documents
     gives no rows; an empty benchmark marks nothing.
     """
+    return _judged(docs, benchmark, width, id_col, text_col, item_col, item_text_col).drop("th")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """The rows of `decontaminate`, and th, the hash of a row's text."""
     listed = stored(windows(benchmark, width, item_col, item_text_col), "windows")
     phrases = stored(listed.select("words").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")
     index = PositionalIndex(docs, listed.select(F.explode("words").alias("word")), id_col, text_col)
@@ -140,15 +145,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "th",
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """`docs` without the documents that hold a benchmark window; rows that share an id go together."""
-    found = decontaminate(docs, benchmark, id_col=id_col, **options)
-    gone = stored(found.where("contaminated").select(F.col(id_col).alias("gone id")).distinct(), "gone")
-    return docs.join(_small(gone, gone.count()), F.col(id_col).eqNullSafe(F.col("gone id")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """`docs` without the rows that hold a benchmark window; rows that repeat an id are told apart by text."""
+    found = _judged(docs, benchmark, width, id_col, text_col, item_col, item_text_col)
+    gone = stored(found.where("contaminated").select(F.col(id_col).alias("gone id"), F.col("th").alias("gone text")).distinct(), "gone")
+    same = F.col(id_col).eqNullSafe(F.col("gone id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("gone text"))
+    return docs.join(_small(gone, gone.count()), same, "left_anti")
 
 
 #: The same rows in DuckDB's SQL.

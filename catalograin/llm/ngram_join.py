@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -67,7 +67,7 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
 def _summaries(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, first, second, prefixes, needs = batch.column(0), [], [], [], [], []
+            ids, texts, sizes, first, second, prefixes, needs = batch.column(0), batch.column(2), [], [], [], [], []
             for _, s in shingle_sets(batch.column(1), width):
                 n = len(s)
                 a, b = fingerprint(s)
@@ -79,8 +79,8 @@ def _summaries(width: int, percent: int):
             lengths = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(needs, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))],
-                ["doc_id", "n_shingles", "f1", "f2", "need", "prefix"],
+                [ids, texts, pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(needs, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))],
+                ["doc_id", "th", "n_shingles", "f1", "f2", "need", "prefix"],
             )
 
     return run
@@ -273,13 +273,22 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
     is kept, and counts in a component only if it has no other id. Other columns of any name are ignored. An empty
     table gives no rows. The id must be an integer.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, need long, prefix array<long>"
+    return _joined(docs, width, percent, id_col, text_col, block_shingles).select("doc_id", "n_shingles", "component_id")
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def _joined(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, block_shingles: int) -> DataFrame:
+    """The rows of `ngram_join` with th, the hash of a row's text, and root, its component's number (null without shingles)."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("th"))
+    schema = "doc_id long, th long, n_shingles long, f1 long, f2 long, need long, prefix array<long>"
     rows = stored(docs.mapInArrow(_summaries(width, percent), schema), "sets")
 
     # 1. classes of equal sets; f1 names a class (f2 guards the text lookup below)
     classes = rows.where("n_shingles > 0").groupBy("f1", "f2").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("need").alias("need"), F.first("prefix").alias("prefix")
+        F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "th")).alias("at"), F.first("n_shingles").alias("n"), F.first("need").alias("need"), F.first("prefix").alias("prefix")
     )
     classes = stored(classes.withColumn("cls", F.xxhash64("f1", "f2")), "classes")
 
@@ -287,12 +296,12 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
     tokens = classes.select("cls", F.explode("prefix").alias("h"))
     owned_twice = tokens.groupBy("h").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("h")
     shared = tokens.join(owned_twice, "h").groupBy("cls").agg(F.count("*").alias("shared"))
-    left = stored(classes.join(shared, "cls").where("shared >= need").select("cls", "rep", "f1", "f2", "n"), "left")
+    left = stored(classes.join(shared, "cls").where("shared >= need").select("cls", "at", "f1", "f2", "n"), "left")
 
     # 3. their whole sets
     n_left = left.count()
-    chosen = left.select("rep", "f1", "f2", "cls")
-    texts = docs.join(F.broadcast(chosen) if n_left <= BROADCAST_ROWS else chosen, docs.doc_id.eqNullSafe(chosen.rep))
+    chosen = left.select(F.col("at.doc_id").alias("rep"), F.col("at.th").alias("rep_th"), "f1", "f2", "cls")
+    texts = docs.join(F.broadcast(chosen) if n_left <= BROADCAST_ROWS else chosen, docs.doc_id.eqNullSafe(chosen.rep) & (docs.th == chosen.rep_th))
     sets = stored(texts.select("text", "f1", "f2", "cls").mapInArrow(_batched(_wanted_sets(width)), "cls long, n long, h long"), "tokens")
     frequent = sets.groupBy("h").agg(F.count("*").alias("df"), F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("h", "df")
     weighed = sets.join(frequent, "h").groupBy("cls", "n").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("t"))
@@ -318,23 +327,27 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
     found = components(links)
     ids = classes.join(found, classes.cls == found.node, "left").select("f1", "f2", "rep", F.coalesce("root", "cls").alias("root"))
     smallest = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = ids.join(smallest, "root").select("f1", "f2", "component_id")
+    named = ids.join(smallest, "root").select("f1", "f2", "root", "component_id")
     return (
-        rows.select("doc_id", "n_shingles", "f1", "f2")
+        rows.select("doc_id", "th", "n_shingles", "f1", "f2")
         .join(named, ["f1", "f2"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "th", "n_shingles", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """`docs` with one document of each component: the one with the smallest id. Rows that repeat an id count as one document, of which one row stays."""
-    found = stored(ngram_join(docs, id_col=id_col, **options), "joined")
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept id")).agg(F.count("*").alias("rows of it"))
-    stay = stored(stay, "stay")
-    n, most = stay.agg(F.count("*"), F.max("rows of it")).first()
-    ids = stay.select("kept id")
-    kept = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, F.col(id_col).cast("long").eqNullSafe(F.col("kept id")), "left_semi")
-    return kept.dropDuplicates([id_col]) if most and most > 1 else kept
+def keep_one(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """`docs` with one row of each component: one with the smallest id (null last). Rows that repeat an id are told apart by text;
+    of rows equal in id and text, one stays. Rows without shingles are linked with nothing, and stay."""
+    found = stored(_joined(docs, width, percent, id_col, text_col, block_shingles), "joined")
+    texts = found.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "n"))
+    linked = texts.where("root IS NOT NULL").groupBy("root").agg(first.alias("first")).select("first.doc_id", "first.th", "first.n")
+    stay = stored(linked.unionByName(texts.where("root IS NULL").select("doc_id", "th", "n")), "stay")
+    n, most = stay.agg(F.count("*"), F.max("n")).first()
+    ids = stay.select(F.col("doc_id").alias("kept id"), F.col("th").alias("kept text"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("kept id")) & (_text_hash(text_col) == F.col("kept text"))
+    kept = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, same, "left_semi")
+    return kept.dropDuplicates([id_col, text_col]) if most and most > 1 else kept
 
 
 #: The rows of `ngram_join` with its default parameters in DuckDB's SQL.

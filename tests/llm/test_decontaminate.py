@@ -55,3 +55,10 @@ def test_edges(spark, edge_docs, no_docs):
     assert decontaminate(no_docs, items).count() == 0
     assert not any(r["contaminated"] for r in decontaminate(edge_docs, items.limit(0)).collect())
     assert {r["doc_id"] for r in drop_contaminated(edge_docs, items).collect()} == {1, 2, 3, 5, 6, 7}
+
+
+def test_clean_rows_of_a_contaminated_id_stay(spark):
+    docs = spark.createDataFrame([(None, "say one two three"), (None, "clean"), (None, None), (4, "one two three"), (4, "also clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    got = drop_contaminated(docs, items).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, [(None, "clean"), (None, None), (4, "also clean")]))

@@ -51,6 +51,16 @@ def test_one_of_each_group_stays(spark, near_docs):
     assert sorted(r["doc_id"] for r in keep_one(docs).collect()) == sorted(want)
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    """Nothing links rows but their texts: neither a null id nor a repeated one."""
+    own = [" ".join(f"{c}{i}" for i in range(12)) for c in "abcdef"]
+    rows = [(None, own[0]), (None, own[1]), (None, own[1]), (7, own[2]), (7, own[3]), (8, own[3]), (9, own[4]), (None, own[4]), (7, own[5]), (7, ""), (7, None)]
+    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, own[0]), (None, own[1]), (7, own[2]), (7, own[3]), (7, own[5]), (9, own[4])]
+    assert sorted(map(str, (tuple(r) for r in got if r["text"]))) == sorted(map(str, want))
+    assert {r["text"] for r in got if not r["text"]} == {"", None}
+
+
 def test_shingles_are_of_whole_words():
     sets = dict(shingle_sets(pa.array(["A b  c\td e", "a B c d", None, "ab c d", "x"]), 4))
     assert [len(sets[i]) for i in range(5)] == [2, 1, 0, 1, 1]
