@@ -1,4 +1,7 @@
-"""HTML extraction by a maximum-scoring subsequence of words (positive) and tags (negative)."""
+"""HTML extraction by a maximum-scoring subsequence of words (positive) and tags (negative).
+
+Weights, and which names of elements and classes stand for menus, adverts and the like, are learned from pages that mark their main text.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +9,13 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_TRAIN_ROWS = 2_000
-MAX_KEYS = 5_000
 #: Weights of words and tags in surroundings that no labelled page has.
 NEW_WORD, NEW_TAG = 0.5, -1.0
 
@@ -29,131 +31,252 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 TEXTUAL = frozenset("blockquote br caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr img li ol p pre table tbody td th thead tr ul".split())
 WEAKEST_BREAK = -4.0
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements, and words in a class, id or role, whose content is not main text wherever it stands.
+#: Elements whose content is usually not main text, and words of which a class, id or role consists if its content is not. Both are where learning
+#: starts from: what labelled pages say of a name outweighs it.
 OUT_ELEMENTS = frozenset("nav header footer aside form button dialog menu head".split())
 OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices "
     "pagination popup promo promoted related reply replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+PLAIN_WORDS = frozenset("area bar block bottom box container content fixed global inner left list main outer page post posts right section site sticky top user wrap wrapper".split())
+#: Words that a name counts as having inside and outside main text before any page is seen, and the odds below which its content goes.
+USUAL, UNUSUAL, LEAST_ODDS = (20, 1), (1, 20), 0.1
+#: An element goes only if what is left of the page has at least this part of its words.
+LEAST_LEFT = 0.1
 
 
 class Piece:
-    """A stretch of text or a tag. key: the tag's name and class, or for text that of the element around it; out: below an element that is never main text."""
+    """A stretch of text or a tag. key: the tag's name and class, or for text that of the element around it; out: below an element that is not main text."""
+
+    __slots__ = ("text", "key", "out", "name", "closing", "element")
+
+    def __init__(self, text: str | None, key: str, element: int, name: str = "", closing: bool = False):
+        self.text, self.key, self.out, self.name, self.closing, self.element = text, key, False, name, closing, element
+
+
+class Element:
+    __slots__ = ("parent", "name", "names", "key", "words", "framing", "out")
 
-    __slots__ = ("text", "key", "out", "name", "closing")
+    def __init__(self, parent: int, name: str, names: list[str], key: str):
+        self.parent, self.name, self.names, self.key, self.words, self.framing, self.out = parent, name, names, key, 0, False, False
 
-    def __init__(self, text: str | None, key: str, out: bool, name: str = "", closing: bool = False):
-        self.text, self.key, self.out, self.name, self.closing = text, key, out, name, closing
 
+def _unusual(name: str) -> bool:
+    """Whether a name (an element's in angle brackets) is usual for what is not main text."""
+    if name[0] == "<":
+        return name[1:] in OUT_ELEMENTS
+    words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+    return any(w in OUT_WORDS for w in words) and all(w in OUT_WORDS or w in PLAIN_WORDS for w in words)
+
+
+def goes(name: str, inside: int = 0, outside: int = 0) -> bool:
+    """Whether the content of elements of a name goes, after so many words seen inside and outside main text.
+
+    Elements that are not in OUT_ELEMENTS never go by their own name, as main text may be in any of them.
+    """
+    unusual = _unusual(name)
+    if name[0] == "<" and not unusual:
+        return False
+    a, b = UNUSUAL if unusual else USUAL
+    return (inside + a) / (outside + b) < LEAST_ODDS
 
-def pieces(page: str) -> Iterator[Piece]:
-    """The page's texts (references decoded) and tags, in order; scripts, styles, comments and the like are left out."""
-    stack: list[tuple[str, str, bool]] = []
+
+def parsed(page: str, gone: Callable[[str], bool] = goes) -> tuple[list[Piece], list[Element]]:
+    """The page's texts (references decoded) and tags, in order, without scripts, styles and the like; and its elements.
+
+    Texts and tags in elements with a name that goes are `out`, unless the element is around the main text: around an `article` or
+    `main`, or around so much that less than LEAST_LEFT of its words would be left outside such elements.
+    """
+    found: list[Piece] = []
+    elements = [Element(-1, "", [], "")]
+    stack = [0]
     for m in _TOKEN.finditer(page):
         raw = m.group()
         if raw[0] != "<" or raw == "<":
-            key, out = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-            yield Piece(html.unescape(raw), key, out)
+            at = elements[stack[-1]]
+            found.append(Piece(html.unescape(raw), at.key, stack[-1]))
+            at.words += len(found[-1].text.split())
             continue
         if m.group(1) or raw[1] in "!?":
             if m.group(1):
-                yield Piece(None, m.group(1).lower(), True, m.group(1).lower())
+                found.append(Piece(None, "script", -1, m.group(1).lower()))
             continue
         name = _NAME.match(raw).group(1).lower()
-        kinds = _KIND.findall(raw)
-        words = re.split(r"[^a-z0-9]+", " ".join(kinds).lower())
-        key = f"{name}.{words[0]}" if kinds and words[0] else name
         if raw[1] == "/":
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            out = stack[at][2] if at is not None else False
-            key = stack[at][1] if at is not None else key
+            at = next((i for i in range(len(stack) - 1, 0, -1) if elements[stack[i]].name == name), None)
+            element = stack[at] if at is not None else stack[-1]
+            found.append(Piece(None, "/" + (elements[element].key if at is not None else name), element, name, True))
             if at is not None:
                 del stack[at:]
-            yield Piece(None, "/" + key, out, name, True)
             continue
-        out = bool(stack and stack[-1][2]) or name in OUT_ELEMENTS and not (name == "header" and any(s[0] == "article" for s in stack)) or any(w in OUT_WORDS for w in words)
-        yield Piece(None, key, out, name)
+        names = [n for kind in _KIND.findall(raw) for n in kind.lower().split()]
+        words = re.split(r"[^a-z0-9]+", names[0]) if names else [""]
+        key = f"{name}.{words[0]}" if words[0] else name
+        elements.append(Element(stack[-1], name, [f"<{name}", *names], key))
+        found.append(Piece(None, key, len(elements) - 1, name))
+        if name in ("article", "main"):
+            for i in stack:
+                elements[i].framing = True
         if name not in VOID and not raw.endswith("/>"):
-            stack.append((name, key, out))
+            stack.append(len(elements) - 1)
+    _mark(elements, gone)
+    for piece in found:
+        piece.out = piece.element < 0 or elements[piece.element].out
+    return found, elements
+
+
+def _mark(elements: list[Element], gone: Callable[[str], bool]) -> None:
+    """Mark the elements that go, from the outermost inwards."""
+    whole = [e.words for e in elements]
+    for i in range(len(elements) - 1, 0, -1):
+        whole[elements[i].parent] += whole[i]
+    in_article = [False] * len(elements)
+    inside = [False] * len(elements)  # of one that would go by its name
+    wanted = [False] * len(elements)
+    left = whole[0]
+    for i, e in enumerate(elements[1:], 1):
+        in_article[i] = e.name == "article" or in_article[e.parent]
+        wanted[i] = not e.framing and e.name not in ("html", "body", "article", "main") and not (e.name == "header" and in_article[i]) and any(map(gone, e.names))
+        inside[i] = inside[e.parent] or wanted[i]
+        if wanted[i] and not inside[e.parent]:
+            left -= whole[i]
+    for i, e in enumerate(elements[1:], 1):
+        if elements[e.parent].out:
+            e.out = True
+        elif wanted[i]:
+            if left < LEAST_LEFT * whole[i]:  # it is around the main text: what it has outside of others that go is left
+                left += _kept(elements, wanted, i, whole)
+            else:
+                e.out = True
+
+
+def _kept(elements: list[Element], wanted: list[bool], at: int, whole: list[int]) -> int:
+    """Words of an element outside of those within it that would go."""
+    kept, inner = whole[at], {at: False}
+    for j in range(at + 1, len(elements)):
+        above = inner.get(elements[j].parent)
+        if above is None:
+            continue
+        inner[j] = above or wanted[j]
+        if wanted[j] and not above:
+            kept -= whole[j]
+    return kept
+
 
+def label(page: str, gone: Callable[[str], bool] = goes) -> tuple[list[tuple[Piece, bool]], Counter, Counter] | None:
+    """Pieces that do not go, with whether they lie in the page's one `article` element; and the words by name of elements inside and outside it.
 
-def label(page: str) -> list[tuple[Piece, bool]] | None:
-    """Pieces outside OUT elements, with whether they lie in the page's one `article` element, or None if it has none or several."""
-    found = list(pieces(page))
+    None if the page has none or several. Names of elements around the article are not counted.
+    """
+    found, elements = parsed(page, gone)
     opens = [i for i, p in enumerate(found) if p.name == "article" and not p.closing]
     closes = [i for i, p in enumerate(found) if p.name == "article" and p.closing]
     if len(opens) != 1 or len(closes) != 1 or closes[0] < opens[0]:
         return None
-    return [(p, opens[0] < i < closes[0]) for i, p in enumerate(found) if not p.out]
+    article, inside, outside = found[opens[0]].element, Counter(), Counter()
+    for i, p in enumerate(found):
+        if p.text is not None and (n := len(p.text.split())):
+            into, at = (inside if opens[0] < i < closes[0] else outside), p.element
+            while at > 0 and at != article and not elements[at].framing:
+                for name in elements[at].names:
+                    into[name] += n
+                at = elements[at].parent
+    return [(p, opens[0] < i < closes[0]) for i, p in enumerate(found) if not p.out], inside, outside
 
 
 class Weights:
-    """Scores of words (by the element around them) and tags, as log-odds of lying inside main text."""
+    """Scores of words (by the element around them) and tags, as log-odds of lying inside main text; and the names of elements that go."""
 
     def __init__(self, counts: dict[tuple[str, str], tuple[int, int]]):
         self.words: dict[str, float] = {}
         self.tags: dict[str, float] = {}
+        self.names: dict[str, bool] = {}
         for (kind, key), (inside, outside) in counts.items():
             odds = math.log((inside + 0.5) / (outside + 0.5))
             if kind == "w":
                 self.words[key] = min(2.0, max(0.02, 1 + odds / 2))
+            elif kind == "n":
+                self.names[key] = goes(key, inside, outside)
             else:
                 least = WEAKEST_BREAK if key.lstrip("/").partition(".")[0] in INLINE | TEXTUAL else -math.inf
                 self.tags[key] = -0.02 if odds > 0 else max(least, -2.0 + 3 * odds)
 
     def word(self, key: str) -> float:
-        return self.words.get(key, NEW_WORD)
+        """The score of a word; with a class that no labelled page has, that of the element without one."""
+        return self.words.get(key, self.words.get(key.partition(".")[0], NEW_WORD))
 
     def tag(self, key: str) -> float:
-        return self.tags.get(key, NEW_TAG)
+        return self.tags.get(key, self.tags.get(key.partition(".")[0], NEW_TAG))
+
+    def gone(self, name: str) -> bool:
+        if name not in self.names:
+            return goes(name)
+        return self.names[name]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         inside, outside = Counter(), Counter()
         for page in batch.column(0).to_pylist():
-            for piece, within in label(page) or ():
+            labelled = label(page)
+            if labelled is None:
+                continue
+            for piece, within in labelled[0]:
                 into = inside if within else outside
                 if piece.text is None:
                     into["t", piece.key] += 1
                 elif n := len(piece.text.split()):
                     into["w", piece.key] += n
+            for into, names in ((inside, labelled[1]), (outside, labelled[2])):
+                into.update({("n", name): n for name, n in names.items()})
         keys = sorted(inside.keys() | outside.keys())
         columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([outside[k] for k in keys], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "inside", "outside"])
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_rows: int = MAX_TRAIN_ROWS) -> Weights:
-    """Weights from at most about `max_rows` pages, taken by a hash of the id, that mark their main text by one `article`.
+    """Weights from at most about `max_rows` of the pages that mark their main text by one `article`, taken by a hash of the id.
 
-    Counts are added up over whole pages; the MAX_KEYS most frequent surroundings are kept. Without such pages, all weights are the
-    defaults.
+    Counts are added up over whole pages, and all surroundings and names that these pages have are kept. Without such pages, all
+    weights are the defaults.
     """
-    pages = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html")).where("html IS NOT NULL")
+    pages = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html"))
+    pages = pages.where(F.regexp_count("html", F.lit(r"(?i)<article[\s>]")) == 1)
     share = int(1_000_000 * min(1.0, max_rows / max(pages.count(), 1)))
     sample = pages.where(F.pmod(F.xxhash64("id", F.lit("pages")), F.lit(1_000_000)) < share)
     counts = sample.select("html").mapInArrow(_count, "kind string, key string, inside long, outside long").groupBy("kind", "key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    rows = counts.orderBy(F.desc(F.col("inside") + F.col("outside")), "kind", "key").limit(MAX_KEYS).collect()
-    return Weights({(r["kind"], r["key"]): (r["inside"], r["outside"]) for r in rows})
+    return Weights({(r["kind"], r["key"]): (r["inside"], r["outside"]) for r in counts.collect()})  # what max_rows pages hold
 
 
-def main_text(page: str | None, weights: Weights) -> str:
-    """The text of the best contiguous region, found by one scan; elements that are never main text weigh nothing and go."""
-    found = list(pieces(page or ""))
-    total, least, start, best, region = 0.0, 0.0, 0, 0.0, (0, 0)
-    for i, piece in enumerate(found):
-        if piece.out:
-            continue
-        if piece.text is None:
-            total += weights.tag(piece.key)
-        elif n := len(piece.text.split()):
-            total += n * weights.word(piece.key)
+def best_stretch(scores: Iterable[float]) -> tuple[int, int]:
+    """Where the contiguous scores with the largest sum begin and end (exclusive), by one scan; (0, 0) if no sum is positive.
+
+    Of equally good ones, the one that ends first, and of those the longest: it begins before scores that sum to 0.
+    """
+    total, least, start, best, found = 0.0, 0.0, 0, 0.0, (0, 0)
+    for i, score in enumerate(scores):
+        total += score
         if total < least:
             least, start = total, i + 1
         elif total - least > best:
-            best, region = total - least, (start, i + 1)
+            best, found = total - least, (start, i + 1)
+    return found
+
+
+def main_text(page: str | None, weights: Weights) -> str:
+    """The text of the best contiguous region; elements that are not main text weigh nothing and go."""
+    found, _ = parsed(page or "", weights.gone)
+
+    def score(piece: Piece) -> float:
+        if piece.out:
+            return 0.0
+        if piece.text is None:
+            return weights.tag(piece.key)
+        return len(piece.text.split()) * weights.word(piece.key)
+
+    start, stop = best_stretch(map(score, found))
     parts = []
-    for piece in found[region[0] : region[1]]:
+    for piece in found[start:stop]:
         if piece.text is None:
             if piece.name not in INLINE:
                 parts.append(" ")
@@ -166,7 +289,7 @@ def extract(pages: DataFrame, weights: Weights, id_col: str = "page_id", url_col
     """Per row: page_id, url, text (main text of the whole page), n_chars (its code points).
 
     Null and empty pages, and pages without words, give an empty text. White space is one space, also between blocks. Repeated rows
-    and null ids or urls stay; other columns of any name are ignored; an empty table gives no rows.
+    and null ids or urls stay; other columns of any name are ignored; an empty table gives no rows. Of equally good regions the first counts.
     """
     broadcast = pages.sparkSession.sparkContext.broadcast(weights)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

@@ -3,8 +3,10 @@ import os
 import re
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
-from catalograin.llm.extraction import Weights, extract, fit, main_text
+from catalograin.llm.extraction import Weights, best_stretch, extract, fit, main_text
 
 DATA = "/root/testdata/sf0.01/pages.parquet"
 NAV = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">All our offers</a></li></ul></nav>'
@@ -24,12 +26,47 @@ def test_region_and_what_goes(weights):
 
 
 def test_best_region_is_the_maximum_sum():
-    weights = Weights({("w", "p"): (90, 10), ("t", "hr"): (0, 5)})
-    assert main_text("<p>a b c<hr><p>d e f g h<hr><p>i", weights).startswith("a b c") or "d e f g h" in main_text("<p>a b c<hr><p>d e f g h<hr><p>i", weights)
+    tied = Weights({("w", "p"): (90, 10), ("t", "section"): (0, 5), ("t", "/section"): (0, 5)})
+    assert main_text("<p>a b c</p><section></section><p>d e f</p>", tied) == "a b c"  # equally good: the first
     strong = Weights({("w", "p"): (90, 10), ("t", "section"): (0, 50), ("t", "/section"): (0, 50)})
     assert main_text("<p>a b</p><section></section><p>d e f g h</p><section></section><p>i</p>", strong) == "d e f g h"
 
 
+@given(st.lists(st.integers(-3, 3), max_size=12))
+def test_best_stretch_against_all_stretches(scores):
+    every = [(sum(scores[i:j]), -j, j - i, (i, j)) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+    best = max(every, default=(0, 0, 0, (0, 0)))
+    assert best_stretch(scores) == (best[3] if best[0] > 0 else (0, 0))
+
+
+@pytest.mark.parametrize("open_, close", [
+    ('<body class="has-sidebar">', "</body>"), ('<html class="js cookies"><body>', "</body></html>"), ('<body><form id="aspnetForm">', "</form></body>"), ('<body><div class="page-header-fixed">', "</div></body>"),
+    ('<body><div class="banner wrapper">', "</div></body>"), ('<body class="ad"><div role="navigation">', "</div></body>"),
+])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_frames_of_the_page_stay(weights, open_, close, inner):
+    page = f'{open_}{NAV}<{inner}><h1>A title</h1><p>Text of the page that is long enough to be found.</p><p class="social-history">More of it.</p><p class="related-work">And the rest.</p></{inner}><div class="cookie-notice">We use cookies</div>{close}'
+    assert main_text(page, weights) == "A title Text of the page that is long enough to be found. More of it. And the rest."
+
+
+def test_long_comments_go(weights):
+    page = "<body><div><p>A short text of its own.</p></div><div id='comments'>" + "<p>A reader says something.</p>" * 5 + "</div></body>"
+    assert main_text(page, weights) == "A short text of its own."
+
+
+def test_names_are_learned(spark):
+    body = '<article><p class="related">Words of the text {i} go on and on here</p></article><div class="zone-b">Other words that stand on each page {i}</div>'
+    weights = fit(spark.createDataFrame([(i, body.format(i=i)) for i in range(40)], "page_id long, html string"))
+    assert not weights.gone("related") and weights.gone("zone-b") and weights.gone("sidebar") and not weights.gone("prose")
+
+
+def test_only_labelled_pages_are_sampled(spark):
+    """Two labelled pages among many others are both learned from."""
+    rows = [(i, "<div>no mark here</div>") for i in range(500)] + [(1000 + i, "<article><p>words of a text</p></article><div>else</div>") for i in range(2)]
+    weights = fit(spark.createDataFrame(rows, "page_id long, html string"), max_rows=10)
+    assert weights.words["p"] > 1 and "div" in weights.words
+
+
 def test_edges(spark, weights):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "just words"), (3, "u", "just words"), (None, "v", "<p>broken <b <i>x"), (4, "w", "<p>" + "word " * 100_000), (5, "x", "<script>only"), (6, "y", '<p title="a > b">x</p><p \'unclosed>y')]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'q' AS text", "1 AS n_chars")
