@@ -1,161 +1,224 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
 A line's path in the tree has a fixed depth: its token count, then its leading tokens, those with a digit masked. In a leaf,
-positions whose most frequent token has no majority among the documents are variable; a line that agrees with the rest of the
-template at enough positions belongs to it. The leaf's other lines form further templates: lines of one template share at least
-one of as many stretches of tokens as it may have variable positions, and one more, so lines meet by stretch, and each
-stretch shared has a template, first by majority, then by its heaviest line, until no line joins another. A line that fits none is a
-template of its own. Templates found in `min_docs`
-documents or more are recurring: of all their lines, the first (by document, then place) stays, the others go.
-
-Leaves and templates work on distinct lines with their document counts, by hash, so a line that a third of all
-documents repeat is one row there; texts are read again only for leaves with more than one distinct line.
+positions whose most frequent token has no majority are variable, the others constant; a line that agrees with the constant
+positions at a least share of its tokens belongs to the leaf's template. The leaf's other lines form further templates: two lines of one
+template agree on at least one of as many stretches of tokens as it may have variable positions, and one more, so lines meet by
+stretch, and each stretch that lines share has a template by majority; a line joins the heaviest it fits. This is done for
+templates with few variable fields first, then for those with more. A line that fits none is a template of its own. Templates
+found in `min_docs` documents or more are recurring: of all their lines, the first (by document, then place) stays, the others go.
+
+Leaves and templates work on distinct lines with their counts, by hash, so a line that a third of all documents repeat is one row
+there; texts are read again only for leaves with more than one distinct line. Where such a line's places are looked up, the
+most frequent lines, of which there can be no more than a fixed number, are joined without a shuffle.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import small, stored
 
 WILD = "<*>"
-#: Positions (of 40 bytes) that a broadcast may hold; beyond, the join shuffles.
-BROADCAST_POSITIONS = 1_000_000
+PERCENTS = (80, 60)
+#: A line with more than this share of all lines is joined by a broadcast, of at most as many lines as the inverse.
+HOT_SHARE = 1e-3
+_PLACE = ("id", "th", "pos")
 
 
-def masked(line: Column) -> Column:
-    """A line's tokens joined by one space, those with a digit as the wild card."""
-    line = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*", WILD)).otherwise(line)
-    return F.btrim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))
+def masked(text: Column) -> Column:
+    """A text whose white space within lines is one space, and whose tokens with a digit are the wild card."""
+    odd = functools.reduce(Column.__or__, (F.contains(text, F.lit(c)) for c in ("  ", "\t", "\x0b", "\f", "\r")))
+    plain = F.when(odd, F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")).otherwise(text)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", WILD)).otherwise(plain)
+
+
+def _least(n: Column, percent: int, depth: int) -> Column:
+    """Constant tokens that a template of n tokens has at least: a share of all, and two beyond the leading ones."""
+    return F.greatest(F.floor((n * percent + 99) / 100), F.least(n, F.lit(depth + 2))).cast("int")
 
 
 def _agreed(template: Column) -> Column:
-    return F.size(F.filter(F.arrays_zip("tokens", template.alias("token")), lambda p: p["tokens"] == p["token"]))
+    """Constant positions of a template where the line's token is the same."""
+    return F.size(F.filter(F.arrays_zip("tokens", template.alias("token")), lambda p: (p["tokens"] == p["token"]) & (p["token"] != WILD)))
 
 
 def _majority(lines: DataFrame, key: str) -> DataFrame:
-    """(key, template) of lines (key, n_docs, tokens): the tokens that more than half of the documents have, else the wild card."""
-    at = lines.select(key, "n_docs", F.posexplode("tokens").alias("k", "token")).groupBy(key, "k", "token").agg(F.sum("n_docs").alias("n"))
+    """(key, template) of lines (key, n, tokens): the tokens that more than half of the lines have, else the wild card."""
+    at = lines.select(key, "n", F.posexplode("tokens").alias("k", "token")).groupBy(key, "k", "token").agg(F.sum("n").alias("n"))
     most = at.groupBy(key, "k").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
     constant = F.when(F.col("top.n") * 2 > F.col("all"), F.col("top.token")).otherwise(F.lit(WILD))
     listed = most.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", constant.alias("token")))).alias("template"))
     return listed.select(key, F.col("template.token").alias("template"))
 
 
-def _more_templates(rest: DataFrame, depth: int, similarity: float) -> DataFrame | None:
-    """(h1, h2, g1, g2) of lines (leaf, h1, h2, n_docs, tokens) that share a further template of their leaf; None if there are none.
+def _by_stretch(rest: DataFrame, percent: int, finest: int, depth: int) -> DataFrame:
+    """(h1, h2, template) of lines (leaf, h1, h2, n, tokens) that fit a template of lines with an equal stretch of tokens.
 
-    A line that fits several templates of a round joins the heaviest. What is left goes into the next round.
-    """
+    The stretches are those that the `finest` share asks for."""
     n = F.size("tokens")
-    spare = n - F.ceil(F.lit(similarity) * n).cast("int")
-    rest = rest.withColumn("n_bands", F.least(spare + 1, n - depth)).where((spare > 0) & (F.col("n_bands") > 0))
+    rest = rest.withColumn("n_bands", F.least(n - _least(n, finest, depth) + 1, n - depth)).where(n > _least(n, percent, depth))
     band = F.col("band")
     start, stop = (F.floor((band + k) * (n - depth) / F.col("n_bands")).cast("int") for k in (0, 1))
-    found, level = [], 0
-    while True:
-        banded = rest.withColumn("band", F.explode(F.sequence(F.lit(0), F.col("n_bands") - 1)))
-        banded = banded.withColumn("bucket", F.xxhash64("leaf", "band", F.slice("tokens", start + depth + 1, stop - start)))
-        shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        banded = stored(banded.join(shared, "bucket").select("bucket", "leaf", "h1", "h2", "n_docs", "n_bands", "tokens"), "banded")
-        if banded.isEmpty():
-            break
-        if level == 0:
-            templates = _majority(banded, "bucket")
-        else:
-            heaviest = F.max(F.struct("n_docs", F.xxhash64("h1", F.lit(level)).alias("x"), "tokens"))
-            templates = banded.groupBy("bucket").agg(heaviest.alias("top")).select("bucket", F.col("top.tokens").alias("template"))
-        fits = banded.join(templates, "bucket").where(_agreed(F.col("template")) >= similarity * F.size("tokens"))
-        fits = stored(fits.select("bucket", "h1", "h2", "n_docs"), "fits")
-        weights = fits.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_docs").alias("w")).where("n > 1")
-        chosen = fits.join(weights, "bucket").groupBy("h1", "h2").agg(F.max(F.struct("w", "bucket")).alias("top"))
-        chosen = stored(chosen.select("h1", "h2", F.col("top.bucket").alias("g1"), F.lit(level + 1).cast("long").alias("g2")), "chosen")
-        if not chosen.isEmpty():
-            found.append(chosen)
-        elif level > 0:
-            break
-        lines = banded.dropDuplicates(["h1", "h2"]).drop("bucket")
-        rest = stored(lines.join(chosen.select("h1", "h2"), ["h1", "h2"], "left_anti"), "rest")
-        level += 1
-    return functools.reduce(DataFrame.unionByName, found) if found else None
-
-
-def dedup_lines(docs: DataFrame, depth: int = 3, similarity: float = 0.8, min_docs: int = 2, min_tokens: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    banded = rest.withColumn("band", F.explode(F.sequence(F.lit(0), F.col("n_bands") - 1)))
+    banded = stored(banded.select(F.xxhash64("leaf", "band", F.slice("tokens", start + depth + 1, stop - start)).alias("bucket"), "h1", "h2"), "banded")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("lines")).where("lines > 1").select("bucket")
+    met = stored(banded.join(shared, "bucket").join(rest.select("h1", "h2", "n", "tokens"), ["h1", "h2"]), "met")
+    fits = met.join(_majority(met, "bucket"), "bucket").where(_agreed(F.col("template")) >= _least(n, percent, depth))
+    fits = stored(fits.select("h1", "h2", "n", F.array_join("template", " ").alias("template")).distinct(), "fits")
+    weights = fits.groupBy("template").agg(F.sum("n").alias("w"))
+    return fits.join(weights, "template").groupBy("h1", "h2").agg(F.max(F.struct("w", "template")).alias("top")).select("h1", "h2", "top.template")
+
+
+def _templates(source: DataFrame, distinct: DataFrame, percents: Sequence[int], depth: int) -> DataFrame:
+    """(h1, h2, g1, g2): the templates of lines that share their leaf with others."""
+    varied = distinct.where("leaf IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf")
+    wanted = distinct.join(varied, "leaf").groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.pos", "leaf", "h1", "h2", "n")).alias("wanted"))
+    wanted = stored(wanted, "wanted")
+    rows, places = wanted.agg(F.count("*"), F.sum(F.size("wanted"))).first()
+    texts = source.alias("d").join(small(wanted, 40 * rows + 48 * (places or 0)).alias("s"), F.expr("d.id <=> s.id AND d.th = s.th"))
+    # split below the generator, which would otherwise split the text again for each line
+    listed = texts.select(F.split(masked(F.col("d.text")), "\n", -1).alias("all"), "s.wanted").select("all", F.explode("wanted").alias("w"))
+    listed = listed.select("w.leaf", "w.h1", "w.h2", "w.n", F.split(F.btrim(F.element_at("all", F.col("w.pos") + 1)), " ").alias("tokens"))
+    listed = stored(listed.dropDuplicates(["h1", "h2"]), "leaves")
+
+    fits = listed.join(_majority(listed, "leaf"), "leaf").where(_agreed(F.col("template")) >= _least(F.size("tokens"), percents[-1], depth))
+    found = [stored(fits.select("h1", "h2", F.array_join("template", " ").alias("template")), "templates")]
+    rest = listed
+    for percent in percents:
+        rest = stored(rest.join(found[-1], ["h1", "h2"], "left_anti"), "rest")
+        found.append(stored(_by_stretch(rest, percent, percents[-1], depth), "templates"))
+    return functools.reduce(DataFrame.unionByName, found).select("h1", "h2", F.xxhash64("template").alias("g1"), F.xxhash64(F.lit(1), "template").alias("g2"))
+
+
+def _at_lines(occurrences: DataFrame, lines: DataFrame) -> DataFrame:
+    """The occurrences of `lines` (h1, h2, n and more), which are joined as their number and frequencies allow."""
+    total = occurrences.count()
+    keys = ["h1", "h2"]
+    rows = lines.count()
+    if small(lines, 120 * rows) is not lines:
+        return occurrences.join(F.broadcast(lines.drop("n")), keys)
+    hot = F.broadcast(lines.where(F.col("n") > HOT_SHARE * total).drop("n"))
+    others = occurrences.join(hot.select(*keys), keys, "left_anti").join(lines.where(F.col("n") <= HOT_SHARE * total).drop("n"), keys)
+    return occurrences.join(hot, keys).unionByName(others)
+
+
+def recurring_lines(source: DataFrame, depth: int, percents: Sequence[int], min_docs: int, short_docs: int, min_tokens: int, min_chars: int) -> DataFrame:
+    """(id, th, gone): the places of the lines that go from texts `source(id, text, th)`."""
+    lines = source.select("id", "th", F.posexplode(F.split(masked(F.col("text")), "\n", -1)).alias("pos", "line"))
+    lines = lines.withColumn("line", F.btrim("line")).where(F.replace(F.replace("line", F.lit(WILD), F.lit("")), F.lit(" "), F.lit("")) != "")
+    lines = lines.withColumn("n_tokens", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    leaf = F.when(F.col("n_tokens") > depth + 2, F.xxhash64("n_tokens", F.substring_index("line", " ", depth)))
+    short = (F.col("n_tokens") < min_tokens) & (F.length("line") < min_chars)
+    hashes = F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
+    occurrences = stored(lines.select(*_PLACE, leaf.alias("leaf"), *hashes, short.alias("short")), "lines")
+
+    distinct = occurrences.groupBy("h1", "h2").agg(
+        F.min("leaf").alias("leaf"), F.max("short").alias("short"), F.count("*").alias("n"), F.min(F.struct(*_PLACE)).alias("first"), F.max(F.struct("id", "th")).alias("last"),
+    )
+    distinct = stored(distinct, "distinct")
+    members = distinct.join(_templates(source, distinct, percents, depth), ["h1", "h2"], "left").where("n > 1 OR g1 IS NOT NULL")
+    members = members.select("h1", "h2", "n", "short", "first", "last", F.coalesce("g1", "h1").alias("g1"), F.coalesce("g2", "h2").alias("g2"))
+    members = stored(members, "members")
+
+    # templates of two documents or more; where more are asked for, they are counted
+    groups = members.groupBy("g1", "g2").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("short").alias("short"))
+    groups = groups.where(~F.struct("first.id", "first.th").eqNullSafe(F.struct("last.id", "last.th")))
+    groups = stored(groups.select("g1", "g2", "first", F.when(F.col("short"), short_docs).otherwise(min_docs).alias("need")), "groups")
+    counted = _at_lines(occurrences.select(*_PLACE, "h1", "h2"), stored(members.select("h1", "h2", "n", "g1", "g2").join(groups.where("need > 2"), ["g1", "g2"]).drop("first"), "counted"))
+    enough = counted.groupBy("g1", "g2", "need", "id", "th").agg(F.lit(1)).groupBy("g1", "g2", "need").agg(F.count("*").alias("docs")).where("docs >= need").select("g1", "g2")
+    recurring = groups.where("need <= 2").unionByName(groups.where("need > 2").join(enough, ["g1", "g2"])).drop("need")
+
+    going = stored(members.select("h1", "h2", "n", "g1", "g2").join(recurring, ["g1", "g2"]).select("h1", "h2", "n", "first"), "going")
+    found = _at_lines(occurrences.select(*_PLACE, "h1", "h2"), going).where(~F.struct(*_PLACE).eqNullSafe(F.col("first")))
+    return stored(found.groupBy("id", "th").agg(F.collect_set("pos").alias("gone")), "gone")
+
+
+def _with_gone(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """The rows of `docs` as c0, c1, ..., with `old` (a text's lines) and `gone` (places of those that go, or null)."""
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    gone = recurring_lines(source.withColumn("th", F.xxhash64("text")), **options)
+    n, places = gone.agg(F.count("*"), F.sum(F.size("gone"))).first()
+    size = 40 * n + 8 * (places or 0)
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    text = F.col(f"c{docs.columns.index(text_col)}").cast("string")
+    key = F.col(f"c{docs.columns.index(id_col)}").eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("th"))
+    chosen = small(gone, size)
+    joined = rows.join(chosen if chosen is not gone else gone.hint("shuffle_hash"), key, "left").drop("id", "th")
+    # a column of its own: within the expression that uses it, the text would be split again for each line
+    return joined.withColumn("old", F.when(F.col("gone").isNotNull(), F.split(text, "\n", -1)))
+
+
+def _shortened(text: Column) -> Column:
+    kept = F.array_except(F.sequence(F.lit(0), F.size("old") - 1), F.col("gone"))
+    return F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda k: F.get(F.col("old"), k)), "\n"))
+
+
+_DEFAULTS = {"depth": 3, "percents": PERCENTS, "min_docs": 2, "short_docs": 20, "min_tokens": 4, "min_chars": 24}
+
+
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """`docs`, with its own columns only, without the lines that `dedup_lines` drops."""
+    joined = _with_gone(docs, id_col, text_col, **_DEFAULTS | options)
+    return joined.select(*((_shortened(F.col(f"c{i}")) if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with shortened texts, and n_lines and n_dropped (replacing columns of these names).
 
-    Lines are what `\\n` separates, tokens what white space does. Blank lines and those of fewer than `min_tokens` tokens stay.
-    A template recurs if lines of `min_docs` documents have it; repetition within one document does not count. The first
+    Lines are what `\\n` separates, tokens what white space does. Options and their defaults: `depth` 3; `percents` (80, 60), the least shares of constant
+    tokens, tried in this order (the last one also for a leaf's first template), of which two lie beyond the leading ones; `min_docs` 2;
+    `short_docs` 20, the documents that a line of fewer than `min_tokens` 4 tokens and `min_chars` 24 code points (so
+    that scripts without spaces have long lines too) must stand in. A line of digits only is no template and stays, as blank ones do.
+    Repetition within one document does not count. The first
     document is the one with the smallest id (null first). Null texts stay null, an empty text stays empty, both with
     n_dropped 0; a text all of whose lines go becomes empty, and its row stays. Rows equal in id and text count as one
-    document and get the same result. Other columns of any name are kept; an empty table gives no rows.
+    document and get the same result. Equally heavy templates: the last by text. Other columns of any name are kept; an empty
+    table gives no rows.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    source = source.withColumn("th", F.xxhash64("text"))
-    lines = source.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.withColumn("line", masked(F.col("line"))).where("line <> ''")
-    lines = lines.withColumn("n_tokens", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where(F.col("n_tokens") >= min_tokens)
-    leaf = F.xxhash64("n_tokens", F.substring_index("line", " ", depth))
-    occurrences = stored(lines.select("id", "th", "pos", leaf.alias("leaf"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")), "lines")
-
-    # distinct lines, with their documents counted; leaves with more than one of them
-    per_doc = occurrences.groupBy("h1", "h2", "id", "th").agg(F.min("pos").alias("pos"), F.first("leaf").alias("leaf"))
-    distinct = per_doc.groupBy("h1", "h2").agg(F.first("leaf").alias("leaf"), F.count("*").alias("n_docs"), F.min(F.struct("id", "th", "pos")).alias("at"))
-    distinct = stored(distinct, "distinct")
-    varied = distinct.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
-    samples = distinct.join(varied, "leaf").groupBy("at.id", "at.th").agg(F.collect_list(F.struct("at.pos", "leaf", "h1", "h2", "n_docs")).alias("wanted"))
-    samples = stored(samples, "samples")
-    size = samples.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    samples = F.broadcast(samples) if size <= BROADCAST_POSITIONS else samples
-    texts = source.alias("d").join(samples.alias("s"), F.expr("d.id <=> s.id AND d.th = s.th"))
-    picked = texts.select(F.split("d.text", "\n", -1).alias("all"), F.explode("s.wanted").alias("w")).select("w.*", F.split(masked(F.element_at("all", F.col("w.pos") + 1)), " ").alias("tokens"))
-    picked = stored(picked, "leaves")
-
-    # the template of a leaf: its majority tokens; then those of the lines that do not fit
-    fits = picked.join(_majority(picked, "leaf"), "leaf").withColumn("fits", _agreed(F.col("template")) >= similarity * F.size("tokens"))
-    fits = stored(fits.drop("template"), "fits")
-    members = fits.where("fits").select("h1", "h2", F.col("leaf").alias("g1"), F.lit(0).cast("long").alias("g2")).distinct()
-    more = _more_templates(fits.where("not fits").drop("fits").dropDuplicates(["h1", "h2"]), depth, similarity)
-    members = members if more is None else members.unionByName(more)
-
-    # documents of each template, and its first line
-    grouped = occurrences.select("id", "th", "pos", "h1", "h2").join(members, ["h1", "h2"], "left")
-    grouped = grouped.select("id", "th", "pos", F.coalesce("g1", "h1").alias("g1"), F.coalesce("g2", "h2").alias("g2"))
-    grouped = stored(grouped, "grouped")
-    per_doc = grouped.groupBy("g1", "g2", "id", "th").agg(F.min("pos").alias("pos"))
-    recurring = per_doc.groupBy("g1", "g2").agg(F.count("*").alias("n_docs"), F.min(F.struct("id", "th", "pos")).alias("first")).where(F.col("n_docs") >= min_docs)
-    dropped = grouped.join(recurring, ["g1", "g2"]).where(~F.struct("id", "th", "pos").eqNullSafe(F.col("first")))
-    dropped = stored(dropped.groupBy("id", "th").agg(F.collect_set("pos").alias("gone")), "dropped")
-
-    # the texts without them
-    old = F.split(F.col(f"d.`{text_col}`").cast("string"), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(old) - 1), F.col("s.gone"))
-    new = F.when(F.col("s.gone").isNull(), F.col(f"d.`{text_col}`")).otherwise(F.array_join(F.transform(kept, lambda k: F.get(old, k)), "\n"))
-    match = F.col(f"d.`{id_col}`").eqNullSafe(F.col("s.id")) & (F.xxhash64(F.coalesce(F.col(f"d.`{text_col}`").cast("string"), F.lit(""))) == F.col("s.th"))
-    joined = docs.alias("d").join(dropped.alias("s").hint("shuffle_hash"), match, "left")
+    joined = _with_gone(docs, id_col, text_col, **_DEFAULTS | options)
+    text = F.col(f"c{docs.columns.index(text_col)}").cast("string")
     added = {
-        "n_lines": F.when(F.col(f"d.`{text_col}`").isNull(), F.lit(0)).otherwise(F.size(old)),
-        "n_dropped": F.when(F.col("s.gone").isNull(), F.lit(0)).otherwise(F.size("s.gone")),
+        "n_lines": F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)),
+        "n_dropped": F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")),
     }
-    columns = [new.alias(text_col) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns if c not in added]
+    columns = [(_shortened(F.col(f"c{i}")) if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns) if c not in added]
     return joined.select(*columns, *(v.cast("long").alias(k) for k, v in added.items()))
 
 
+def _stretch_sql(k: int, percent: int) -> str:
+    """Common table expressions r<k> (lines left) to e<k> (line, template) of one share of constant tokens."""
+    least, finest = (f"greatest((n * {p} + 99) // 100, least(n, 5))" for p in (percent, PERCENTS[-1]))
+    return f"""
+r{k} AS (SELECT * FROM (SELECT *, {least} AS c FROM {f"r{k - 1}" if k else "v"}) WHERE line NOT IN (SELECT line FROM e{k - 1 if k else "l"})),
+b{k} AS (SELECT line, n, cnt, t, c, concat(n, ' ', lead, ' ', band, ' ', array_to_string(t[4 + band * (n - 3) // nb : 3 + (band + 1) * (n - 3) // nb], ' ')) AS bucket
+  FROM (SELECT *, unnest(range(nb)) AS band FROM (SELECT *, least(n - {finest} + 1, n - 3) AS nb FROM r{k} WHERE n > c))),
+s{k} AS (SELECT * FROM b{k} WHERE bucket IN (SELECT bucket FROM b{k} GROUP BY bucket HAVING count(*) > 1)),
+k{k} AS (SELECT bucket, k, token, sum(cnt) AS w FROM (SELECT bucket, cnt, unnest(t) AS token, unnest(range(1, n + 1)) AS k FROM s{k}) GROUP BY ALL),
+m{k} AS (SELECT bucket, k, CASE WHEN 2 * max(w) > sum(w) THEN arg_max(token, w) ELSE '<*>' END AS token FROM k{k} GROUP BY bucket, k),
+p{k} AS (SELECT bucket, list(token ORDER BY k) AS p FROM m{k} GROUP BY bucket),
+f{k} AS (SELECT DISTINCT line, cnt, array_to_string(p, ' ') AS template FROM s{k} JOIN p{k} USING (bucket) WHERE len(list_filter(range(1, n + 1), lambda i: t[i] = p[i] AND p[i] <> '<*>')) >= c),
+w{k} AS (SELECT template, sum(cnt) AS w FROM f{k} GROUP BY template),
+e{k} AS (SELECT line, arg_max(template, (w, template)) AS template FROM f{k} JOIN w{k} USING (template) GROUP BY line)"""
+
+
 #: The same rows in DuckDB's SQL, with the default parameters.
-ORACLE = r"""
+ORACLE = rf"""
 WITH l AS (SELECT doc_id, i - 1 AS pos, trim(regexp_replace(regexp_replace(s[i], '[^ \t\x0B\f\r]*[0-9][^ \t\x0B\f\r]*', '<*>', 'g'), '[ \t\x0B\f\r]+', ' ', 'g'), ' ') AS line
   FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))),
-o AS (SELECT *, len(t) AS n, array_to_string(t[1:3], ' ') AS lead FROM (SELECT *, string_split(line, ' ') AS t FROM l WHERE line <> '') WHERE len(t) >= 4),
-d AS (SELECT line, any_value(n) AS n, any_value(lead) AS lead, any_value(t) AS t, count(DISTINCT doc_id) AS n_docs FROM o GROUP BY line),
+o AS (SELECT *, len(t) AS n, array_to_string(t[1:3], ' ') AS lead, len(t) < 4 AND length(line) < 24 AS short FROM (SELECT *, string_split(line, ' ') AS t FROM l WHERE replace(replace(line, '<*>', ''), ' ', '') <> '')),
+d AS (SELECT line, any_value(n) AS n, any_value(lead) AS lead, any_value(t) AS t, count(*) AS cnt FROM o WHERE n > 5 GROUP BY line),
 v AS (SELECT * FROM d WHERE (n, lead) IN (SELECT (n, lead) FROM d GROUP BY n, lead HAVING count(*) > 1)),
-k AS (SELECT n, lead, k, token, sum(n_docs) AS c FROM (SELECT n, lead, n_docs, unnest(t) AS token, unnest(range(1, n + 1)) AS k FROM v) GROUP BY ALL),
-m AS (SELECT n, lead, k, CASE WHEN 2 * max(c) > sum(c) THEN arg_max(token, c) ELSE '<*>' END AS token FROM k GROUP BY n, lead, k),
-p AS (SELECT n, lead, list(token ORDER BY k) AS template FROM m GROUP BY n, lead),
-f AS (SELECT v.line FROM v JOIN p USING (n, lead) WHERE len(list_filter(range(1, v.n + 1), lambda i: v.t[i] = p.template[i])) >= 0.8 * v.n),
-g AS (SELECT doc_id, pos, CASE WHEN line IN (SELECT line FROM f) THEN concat(n, ' ', lead) ELSE concat('own ', line) END AS g FROM o),
-r AS (SELECT g, min((doc_id, pos)) AS first FROM g GROUP BY g HAVING count(DISTINCT doc_id) >= 2),
+kl AS (SELECT n, lead, k, token, sum(cnt) AS w FROM (SELECT n, lead, cnt, unnest(t) AS token, unnest(range(1, n + 1)) AS k FROM v) GROUP BY ALL),
+ml AS (SELECT n, lead, k, CASE WHEN 2 * max(w) > sum(w) THEN arg_max(token, w) ELSE '<*>' END AS token FROM kl GROUP BY n, lead, k),
+pl AS (SELECT n, lead, list(token ORDER BY k) AS p FROM ml GROUP BY n, lead),
+el AS (SELECT v.line, array_to_string(p, ' ') AS template FROM v JOIN pl USING (n, lead) WHERE len(list_filter(range(1, v.n + 1), lambda i: v.t[i] = p[i] AND p[i] <> '<*>')) >= greatest((v.n * 60 + 99) // 100, least(v.n, 5))),{",".join(_stretch_sql(k, p) for k, p in enumerate(PERCENTS))},
+g AS (SELECT doc_id, pos, short, coalesce(template, o.line) AS g FROM o LEFT JOIN (SELECT * FROM el {" ".join(f"UNION ALL SELECT * FROM e{k}" for k in range(len(PERCENTS)))}) USING (line)),
+r AS (SELECT g, min((doc_id, pos)) AS first FROM g GROUP BY g HAVING count(DISTINCT doc_id) >= CASE WHEN bool_or(short) THEN 20 ELSE 2 END),
 x AS (SELECT doc_id, list(pos) AS gone FROM g JOIN r USING (g) WHERE (doc_id, pos) <> first GROUP BY doc_id)
 SELECT a.doc_id, CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda e, i: NOT list_contains(gone, i - 1)), chr(10)), '') END AS text,
   CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped

@@ -6,7 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: What a broadcast may hold, as its rows lie in memory; beyond, a join shuffles.
+BROADCAST_BYTES = 64 << 20
 _KEY = "spark.checkpoint.dir"
 
 
@@ -28,3 +31,8 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, size: int) -> DataFrame:
+    """`df` marked for a broadcast if its measured `size` in bytes allows, else `df` itself."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

@@ -54,3 +54,55 @@ def test_edges(edge_docs, no_docs):
     assert by_id[1]["text"] is None and by_id[1]["n_lines"] == 0
     assert by_id[2]["text"] == "" and by_id[5]["n_dropped"] == 0
     assert dedup_lines(no_docs).count() == 0
+
+
+def test_many_variable_fields(spark):
+    """Three of eight tokens vary; also among other lines of the same length and beginning."""
+    fields = [("Ann", "cats", "kids"), ("Bob", "dogs", "teens"), ("Eve", "birds", "adults"), ("Max", "frogs", "elders"), ("Kim", "cows", "babies"), ("Joe", "bees", "nurses")]
+    rows = [(k, f"report written by {a} about {b} for {c}") for k, (a, b, c) in enumerate(fields)]
+    got = result(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[k][2] for k in range(6)] == [0, 1, 1, 1, 1, 1]
+    rows += [(100 + k, "report written by " + " ".join(f"w{chr(97 + k)}{chr(97 + p)}" for p in range(5))) for k in range(26)]
+    got = result(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[k][2] for k in range(6)] == [0, 1, 1, 1, 1, 1] and sum(got[100 + k][2] for k in range(26)) == 0
+
+
+def test_like_beginnings_are_no_template(spark):
+    rows = [(k, f"we went to {a} {b}") for k, (a, b) in enumerate((("see", "them"), ("eat", "cake"), ("buy", "bread")))]
+    assert sum(n for _, _, n in result(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))).values()) == 0
+
+
+def test_short_lines_and_scripts_without_spaces(spark):
+    boiler = "本网站的所有内容均受版权保护未经许可不得转载或者使用任何内容"
+    rows = [(k, f"All rights reserved.\n{boiler}\n7 12 9 55 80 3\nown text number {chr(97 + k)}") for k in range(20)]
+    got = result(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[k][2] for k in range(20)] == [0] + [2] * 19
+    assert got[1][0] == "7 12 9 55 80 3\nown text number b"
+    got = result(dedup_lines(spark.createDataFrame(rows[:19], "doc_id long, text string")))
+    assert [got[k][2] for k in range(19)] == [0] + [1] * 18
+
+
+def test_long_text_is_rebuilt_in_one_pass(spark):
+    lines = [f"line of a long text with word{i} here {'x' * (i % 7)}".replace("word", chr(97 + i % 26)) for i in range(32_000)]
+    unique = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)} stands alone in its very own line {'y' * (i % 5)}" for i in range(0, 32_000, 2)]
+    docs = spark.createDataFrame([(1, "\n".join(lines + unique)), (2, "\n".join(lines[:20]))], "doc_id long, text string")
+    got = result(dedup_lines(docs))
+    assert got[2][2] == 20 and got[1][1] == 48_000
+
+
+def test_hot_and_shuffled_lines_agree(spark, monkeypatch):
+    from catalograin.llm import storage
+
+    rows = [(k, f"the same line in every document\nsome pair {chr(97 + k // 2)} of lines\nown {chr(97 + k)}") for k in range(26)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = result(dedup_lines(docs))
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 0)
+    assert result(dedup_lines(docs)) == expected
+    assert [expected[k][2] for k in range(4)] == [0, 2, 1, 2]
+
+
+def test_own_columns_stay(spark):
+    from catalograin.llm.line_dedup import drop_lines
+
+    docs = spark.createDataFrame([(1, "a line of five words", 7, "x"), (2, "a line of five words", 8, "y")], "doc_id long, text string, n_lines long, gone string")
+    assert sorted(map(tuple, drop_lines(docs).collect())) == [(1, "a line of five words", 7, "x"), (2, "", 8, "y")]
