@@ -10,15 +10,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .storage import stored
+from .storage import small, stored
 
 MAX_TRAIN_ROWS = 20_000
-MAX_LANGUAGES = 200
-MAX_GRAMS = 40_000
+#: Learned rows of this many words from which the floor of familiar text is taken; with fewer, there is none.
+FLOOR_ROWS, FLOOR_WORDS = 100, 20
 CACHE_WORDS = 150_000
 BLOCK_CHARS = 1_500_000
 UNKNOWN = "und"
@@ -78,49 +78,73 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Languages (sorted), log-probabilities per gram and language, and which scripts each language uses."""
+    """Languages (sorted), log-probabilities per gram and language, which scripts each language uses, and how unfamiliar a text may be.
 
-    def __init__(self, counts: list[tuple[str, str, str, int]], languages: list[str]):
-        self.languages = sorted(languages)
+    Of each gram only the languages that have it are held, so many languages cost no more than what was learned of them.
+    counts: arrays lang, kind, item, n. floor: the least familiarity (mean log-probability of a text's trigrams) of a known language.
+    """
+
+    def __init__(self, counts: pa.Table, languages: list[str]):
+        self.languages, self.floor = sorted(languages), -np.inf
         place = {lang: i for i, lang in enumerate(self.languages)}
         n = len(self.languages)
-        names = sorted({item for _, kind, item, _ in counts if kind == "g"})
-        self.gram = {g: i for i, g in enumerate(names)}
-        table, scripts = np.zeros((len(names) + 1, n)), {}
-        for lang, kind, item, c in counts:
-            if kind == "g":
-                table[self.gram[item], place[lang]] += c
-            else:
-                scripts.setdefault(item, np.zeros(n))[place[lang]] += c
-        # the last row is for grams never seen
-        self.scores = np.log((table + 0.5) / (table.sum(0) + 0.5 * len(table))) if n else table
-        self.scores = (self.scores - self.scores.max(1, keepdims=True) if n else table).astype(np.float32)
-        letters = sum(scripts.values(), np.zeros(n))
-        self.allowed = {s: c >= 0.01 * np.maximum(letters, 1) for s, c in scripts.items()}
+        grams, scripts = counts.filter(pc.equal(counts["kind"], "g")), counts.filter(pc.equal(counts["kind"], "s"))
+        items = pc.dictionary_encode(grams["item"].combine_chunks())
+        names, order = items.dictionary.to_pylist(), np.argsort(items.indices.to_numpy(zero_copy_only=False), kind="stable")
+        gram = items.indices.to_numpy(zero_copy_only=False)[order].astype(np.int64)
+        self.lang = np.array([place[x] for x in grams["lang"].to_pylist()], np.int64)[order]
+        times = grams["n"].to_numpy()[order].astype(np.float64)
+        self.gram = dict(zip(names, range(len(names)), strict=True))
+        self.start = np.searchsorted(gram, np.arange(len(names) + 1))
+        total = np.log(np.bincount(self.lang, times, n) + 0.5 * (len(names) + 1)) if n else np.zeros(0)
+        self.unseen = np.log(0.5) - total
+        self.more = (np.log(times + 0.5) - np.log(0.5)).astype(np.float32)  # than for a gram never seen
+        used: dict[str, np.ndarray] = {}
+        for lang, item, c in zip(*(scripts[k].to_pylist() for k in ("lang", "item", "n")), strict=True):
+            used.setdefault(item, np.zeros(n))[place[lang]] += c
+        letters = sum(used.values(), np.zeros(n))
+        self.allowed = {s: c >= 0.01 * np.maximum(letters, 1) for s, c in used.items()}
+
+    def sums(self, owners: np.ndarray, grams: np.ndarray, n_words: int) -> np.ndarray:
+        """(n_words, languages): the summed log-probabilities of grams (-1: never seen), each of an owner."""
+        n = len(self.languages)
+        known = grams >= 0
+        at, owner = grams[known], owners[known]
+        size = self.start[at + 1] - self.start[at]
+        ends = np.cumsum(size)
+        flat = np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        seen = np.bincount(np.repeat(owner, size) * n + self.lang[flat], self.more[flat], n_words * n).reshape(n_words, n)
+        return seen + np.bincount(owners, minlength=n_words)[:, None] * self.unseen
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """A model from at most about `max_rows` rows with text and language that are not held out.
 
-    The rows are taken by a hash of the id, evenly by language, so that rare languages keep theirs; at most MAX_LANGUAGES
-    of the most frequent languages are learned. Whole texts are counted. For each language the MAX_GRAMS most
-    frequent grams are kept. No row to learn from: a model without languages.
+    The rows are taken by a hash of the id, evenly by language, so that rare languages keep theirs. Every language, and every
+    trigram and word of the whole texts taken, is learned. Half as far again below the median as one learned row in a thousand lies
+    is the floor below which a text counts as of no learned language. No row to learn from: a model without languages.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return Model([], [])
-    share = F.lit(0)
-    for row in sizes:
-        share = F.when(F.col("lang") == row["lang"], F.lit(int(1_000_000 * min(1.0, max_rows / len(sizes) / row["count"])))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < share)
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    n = sizes.count()
+    if not n:
+        return Model(pa.table({"lang": [], "kind": pa.array([], pa.string()), "item": pa.array([], pa.string()), "n": []}), [])
+    # of languages with fewer rows than their share, all are taken, and a rare one has one row at least in the mean
+    share = (F.lit(1_000_000) * F.least(F.lit(1.0), F.lit(max_rows / n) / F.col("rows"))).cast("long").alias("share")
+    shares = sizes.select("lang", share)
+    sample = rows.join(small(shares, 60 * n), "lang").where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < F.col("share"))
+    sample = sample.select("id", "text", "lang")
     met = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     met = met.groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = met.mapInArrow(_count, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")))
-    ranked = stored(ranked.where((F.col("rank") <= MAX_GRAMS) & ((F.col("n") > 1) | (F.col("kind") == "s"))).drop("rank"), "grams")
-    return Model([tuple(r) for r in ranked.collect()], [r["lang"] for r in sizes])
+    table = counts.toArrow()  # what max_rows rows hold
+    model = Model(table, pc.unique(table["lang"]).to_pylist())
+    seen = identify(sample, model, "id", spans=False).where(F.col("n_words") >= FLOOR_WORDS)
+    n_seen, cuts = seen.agg(F.count("*"), F.percentile_approx("familiarity", F.array(F.lit(0.001), F.lit(0.5)), 10_000)).first()
+    if n_seen >= FLOOR_ROWS:
+        model.floor = cuts[0] - (cuts[1] - cuts[0]) / 2
+    return model
 
 
 class _Words(dict):
@@ -144,30 +168,36 @@ class Labeller:
         self.words = _Words()
         self.words.new = []
         self.scores = np.zeros((0, self.n), np.float32)
+        self.familiar = np.zeros((0, self.n), np.float32)
         self.letters = np.zeros(0, np.int32)
+        self.known = np.zeros(0, bool)
 
     def _learn(self) -> None:
         """Score the words met since."""
         new, self.words.new = self.words.new, []
-        for k in range(0, len(new), 20_000):
-            self._score(new[k : k + 20_000])
+        step = max(500, 80_000 // max(self.n, 4))
+        for k in range(0, len(new), step):
+            self._score(new[k : k + step])
 
     def _score(self, new: list[str]) -> None:
-        gram, unseen = self.model.gram.get, len(self.model.gram)
-        flat, cuts = [], []
-        for word in new:
-            cuts.append(len(flat))
-            flat += [gram(g, unseen) for g in grams_of(word)]
-        # overlapping grams say the same thing about thrice
-        scores = np.add.reduceat(self.model.scores[flat], cuts) / 3
+        get, lists = self.model.gram.get, [grams_of(word) for word in new]
+        size = np.array([len(x) - 1 for x in lists])  # trigrams; the last is the whole word
+        owners = np.repeat(np.arange(len(new)), size)
+        trigrams = self.model.sums(owners, np.array([get(g, -1) for x in lists for g in x[:-1]], np.int64), len(new))
+        whole = self.model.sums(np.arange(len(new)), np.array([get(x[-1], -1) for x in lists], np.int64), len(new))
+        scores = (trigrams + whole) / 3  # overlapping grams say the same thing about thrice
         letters = np.array([sum(map(str.isalpha, word)) for word in new], np.int32)
         scripts = [script_of(word) for word in new]
         none = np.zeros(self.n, bool)
-        allowed = np.array([self.model.allowed.get(s, none) for s in scripts])
-        scores = np.where(allowed, scores, np.float32(-30))
-        scores[(letters == 0) | ~allowed.any(1)] = 0
-        self.scores = np.concatenate([self.scores, scores.astype(np.float32)])
+        allowed = np.array([self.model.allowed.get(s, none) for s in scripts]).reshape(len(new), self.n)
+        known = allowed.any(1) & (letters > 0)
+        if self.n:
+            scores = np.where(allowed, scores - np.where(allowed, scores, -np.inf).max(1, keepdims=True, where=known[:, None], initial=-1e9), np.float32(-30))
+        scores[~known] = 0
+        self.scores = np.concatenate([self.scores, np.maximum(scores, -30).astype(np.float32)])
+        self.familiar = np.concatenate([self.familiar, (trigrams / size[:, None]).astype(np.float32)])
         self.letters = np.concatenate([self.letters, letters])
+        self.known = np.concatenate([self.known, known])
 
     def label(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number and label of every word, text after text, and for each text (one more at the end) the words before it.
@@ -222,9 +252,9 @@ def _predict(model: Broadcast, penalty: float, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model.value, penalty)
         names, n = labeller.model.languages, labeller.n
-        block_chars = max(100_000, BLOCK_CHARS * 4 // max(4, n))
+        block_chars = max(20_000, BLOCK_CHARS * 4 // max(4, n))
         for batch in batches:
-            texts, lang, score, changes, found = batch.column(batch.num_columns - 1), [], [], [], []
+            texts, lang, score, changes, familiar, n_words, found = batch.column(batch.num_columns - 1), [], [], [], [], [], []
             # texts of like length go together: a block takes as many steps as its longest has words
             order = np.argsort(-pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), kind="stable")
             first = 0
@@ -237,8 +267,13 @@ def _predict(model: Broadcast, penalty: float, spans: bool):
                 ids, labels, before = labeller.label(block)
                 letters = labeller.letters[ids]
                 owner = np.repeat(np.arange(len(block)), np.diff(before))
-                share = np.bincount(owner * max(n, 1) + labels, weights=letters, minlength=len(block) * max(n, 1)).reshape(len(block), -1)
-                total = share.sum(1)
+                known = letters * labeller.known[ids]
+                share = np.bincount(owner * max(n, 1) + labels, weights=known, minlength=len(block) * max(n, 1)).reshape(len(block), -1)
+                total = np.bincount(owner, weights=letters, minlength=len(block))
+                fit = np.bincount(owner, weights=known * labeller.familiar[ids, labels], minlength=len(block)) if n else np.zeros(len(block))
+                fit = fit / np.maximum(np.bincount(owner, weights=known, minlength=len(block)), 1)
+                familiar += fit.tolist()
+                n_words += np.diff(before).tolist()
                 top = share.argmax(1)
                 lang += [names[k] if t and n else UNKNOWN for k, t in zip(top, total, strict=True)]
                 score += (share.max(1) / np.maximum(total, 1)).tolist() if n else [0.0] * len(block)
@@ -251,7 +286,7 @@ def _predict(model: Broadcast, penalty: float, spans: bool):
                         listed[owner[c]].append({"first_word": c - int(before[owner[c]]), "n_words": e - c, "lang": names[labels[c]] if n else UNKNOWN})
                     found += listed
             back = np.argsort(order)
-            columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(changes, pa.int64()), *([pa.array(found, _SPANS)] if spans else [])]
+            columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(changes, pa.int64()), pa.array(familiar, pa.float64()), pa.array(n_words, pa.int64()), *([pa.array(found, _SPANS)] if spans else [])]
             columns = [*batch.columns[:-1], *(c.take(pa.array(back)) for c in columns)]
             yield pa.RecordBatch.from_arrays(columns, [str(k) for k in range(len(columns))])
 
@@ -259,27 +294,32 @@ def _predict(model: Broadcast, penalty: float, spans: bool):
 
 
 def keep_known(docs: DataFrame, model: Model, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, whose language is known with at least `min_score` of their letters."""
+    """The rows of `docs`, with all their columns, whose language is known with at least `min_score` of their letters.
+
+    Texts of FLOOR_WORDS words or more must also be as familiar as the model's floor asks for; shorter ones say too little of it.
+    """
     numbered = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
     text = f"c{docs.columns.index(text_col)}"
     found = identify(numbered, model, numbered.columns[0], text, spans=False, carry=numbered.columns[1:])
-    found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    familiar = (F.col("n_words") < FLOOR_WORDS) | (F.col("familiarity") >= float(model.floor))
+    found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score) & familiar)
     return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def identify(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 6.0, spans: bool = True, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """Per row: the id, columns to carry, lang_pred, score, n_spans and, if asked for, spans (first_word, n_words, lang) of its whole text.
+    """Per row: the id, columns to carry, lang_pred, score, n_spans, familiarity, n_words and, if asked for, spans (first_word, n_words, lang) of its whole text.
 
-    lang_pred is the language with most letters in its spans (ties: the first by name), score their share. Null texts and
+    lang_pred is the language with most letters in its spans (ties: the first by name), score their share of all letters, familiarity
+    the mean log-probability of the trigrams in the language of their span. Null texts and
     those without a letter are `und` with score 0 and no letters to share. Words of a script that no learned language uses are
-    neutral. Repeated rows each get their result, null ids stay, an empty table gives none; without a learned
+    neutral, and their letters count for none. Repeated rows each get their result, null ids stay, an empty table gives none; without a learned
     language all are `und`. Other columns of any name are ignored.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(id_col, *carry, F.col(text_col).cast("string").alias("text of this row"))
-    schema = StructType(rows.schema.fields[:-1]).add("lang_pred", "string").add("score", "double").add("n_spans", "long")
+    schema = StructType(rows.schema.fields[:-1]).add("lang_pred", "string").add("score", "double").add("n_spans", "long").add("familiarity", "double").add("n_words", "long")
     if spans:
         schema = schema.add("spans", ArrayType(StructType().add("first_word", "integer").add("n_words", "integer").add("lang", "string")))
     return rows.mapInArrow(_predict(broadcast, penalty, spans), schema)

@@ -1,5 +1,6 @@
 import itertools
 import os
+import random
 import zlib
 
 import numpy as np
@@ -69,6 +70,21 @@ def test_held_out_rows_are_never_learned(spark):
     assert docs.where(langid.held_out()).count() == sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in range(40))
 
 
+def test_scripts_and_languages_never_learned(spark):
+    """Letters of unknown scripts lower the score; texts far from all that was learned are not kept."""
+    rng = random.Random(3)
+    words = {"en": "the of and that with from this have which their would there other about into than them some time".split(), "de": "der die und das mit von nicht eine sich auch werden nach einer oder wenn noch nur mehr aber".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(40)), lang) for i in range(400) for lang in ("en", "de")]
+    rows += [(2000 + i, f"one{i} row", f"x{i}") for i in range(300)]  # many rare languages, all learned
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) > 200 and model.floor > -20
+    texts = [(1, "语言识别文本" * 10), (2, "the of and 语言识别文本"), (3, " ".join("qxzv jwkq zzxw vvqj kkxz"[j % 5 * 5 :][:4] for j in range(40))), (4, rows[0][1]), (5, rows[1][1])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.identify(docs, model, spans=False).collect()}
+    assert got[1]["score"] == 0 and got[1]["lang_pred"] in model.languages and got[2]["score"] == pytest.approx(8 / 14)
+    assert {r["doc_id"] for r in langid.keep_known(docs, model).collect()} == {2, 4, 5}
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="needs the test tables")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(DATA)
