@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ class WordEncoder:
         for part in parts:
             if part.isalpha():
                 words.add(part)
-            elif (core := part.rstrip(MARKS)).isalpha() and core.lower().isalpha():  # a dotted capital I leaves its dot to the marks
+            elif (core := part.rstrip(MARKS)).isalpha() and "İ" not in core:  # a dotted capital I leaves its dot to the marks
                 composed.append((part, core, mark := part[len(core) :]))
                 if core not in self.known:
                     words.add(core)
@@ -93,9 +94,17 @@ class WordEncoder:
             yield b"".join(map(get, parts))
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")  # much faster than a look at each character
+    except UnicodeEncodeError:
+        return max(text) < "ɐ" and "İ" not in text
+    return True
+
+
 def parts_of(text: str) -> list[str]:
     """Parts between white space; lower-cased where that changes no id and saves repeated parts."""
-    if "<|" not in text and (text.isascii() or (max(text) < "ɐ" and "İ" not in text)):
+    if "<|" not in text and (text.isascii() or _latin(text)):
         text = text.lower()
     if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # white space to Python only
         return [p for p in text.translate(_SPACES).split(" ") if p]
@@ -114,19 +123,19 @@ def _pieces(path: str, end_id: int, capacity: int):
         encoder = _encoders[path]
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            rows, first = [], 0
-            while first < len(ids):
+            ids, texts = batch.column(0).to_pylist(), pc.dictionary_encode(batch.column(1).fill_null(""))
+            distinct, rows, found = texts.dictionary, [], []  # equal texts of a batch are encoded once
+            while len(found) < len(distinct):
                 block, chars = [], 0
-                while first + len(block) < len(ids) and (not block or chars < BLOCK_CHARS):
-                    block.append(texts[first + len(block)].as_py() or "")
+                while len(found) + len(block) < len(distinct) and (not block or chars < BLOCK_CHARS):
+                    block.append(distinct[len(found) + len(block)].as_py())
                     chars += len(block[-1])
-                for k, raw in enumerate(encoder.encode(block)):
+                for raw in encoder.encode(block):
                     raw += last
-                    for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[at : at + 4 * capacity]
-                        rows.append((ids[first + k], piece, at // 4, len(part) // 4, zlib.crc32(part)))
-                first += len(block)
+                    parts = [raw[at : at + 4 * capacity] for at in range(0, len(raw), 4 * capacity)]
+                    found.append([(piece, piece * capacity, len(part) // 4, zlib.crc32(part)) for piece, part in enumerate(parts)])
+            for doc_id, k in zip(ids, texts.indices.to_pylist(), strict=True):
+                rows += [(doc_id, *piece) for piece in found[k]]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             types = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
