@@ -28,6 +28,8 @@ PERCENTS = (80, 60)
 #: A line with more than this share of all lines is joined by a broadcast, of at most as many lines as the inverse.
 HOT_SHARE = 1e-3
 _PLACE = ("id", "th", "pos")
+#: The leaf of lines too short for one; those of middling length have none.
+SHORT = 0
 
 
 def masked(text: Column) -> Column:
@@ -75,9 +77,10 @@ def _by_stretch(rest: DataFrame, percent: int, finest: int, depth: int) -> DataF
 
 
 def _templates(source: DataFrame, distinct: DataFrame, percents: Sequence[int], depth: int) -> DataFrame:
-    """(h1, h2, g1, g2): the templates of lines that share their leaf with others."""
-    varied = distinct.where("leaf IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf")
-    wanted = distinct.join(varied, "leaf").groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.pos", "leaf", "h1", "h2", "n")).alias("wanted"))
+    """The lines of `distinct` that share their leaf with others and fit a template, with g1, g2 for it."""
+    varied = stored(distinct.where(F.col("leaf") != SHORT).groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf"), "varied")
+    lines = stored(distinct.join(small(varied, 48 * varied.count()), "leaf"), "varied")
+    wanted = lines.groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.pos", "leaf", "h1", "h2", "n")).alias("wanted"))
     wanted = stored(wanted, "wanted")
     rows, places = wanted.agg(F.count("*"), F.sum(F.size("wanted"))).first()
     texts = source.alias("d").join(small(wanted, 40 * rows + 48 * (places or 0)).alias("s"), F.expr("d.id <=> s.id AND d.th = s.th"))
@@ -92,7 +95,8 @@ def _templates(source: DataFrame, distinct: DataFrame, percents: Sequence[int],
     for percent in percents:
         rest = stored(rest.join(found[-1], ["h1", "h2"], "left_anti"), "rest")
         found.append(stored(_by_stretch(rest, percent, percents[-1], depth), "templates"))
-    return functools.reduce(DataFrame.unionByName, found).select("h1", "h2", F.xxhash64("template").alias("g1"), F.xxhash64(F.lit(1), "template").alias("g2"))
+    named = functools.reduce(DataFrame.unionByName, found).select("h1", "h2", F.xxhash64("template").alias("g1"), F.xxhash64(F.lit(1), "template").alias("g2"))
+    return stored(lines.join(named, ["h1", "h2"]), "templated")
 
 
 def _at_lines(occurrences: DataFrame, lines: DataFrame) -> DataFrame:
@@ -112,23 +116,22 @@ def recurring_lines(source: DataFrame, depth: int, percents: Sequence[int], min_
     lines = source.select("id", "th", F.posexplode(F.split(masked(F.col("text")), "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("line", F.btrim("line")).where(F.replace(F.replace("line", F.lit(WILD), F.lit("")), F.lit(" "), F.lit("")) != "")
     lines = lines.withColumn("n_tokens", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    leaf = F.when(F.col("n_tokens") > depth + 2, F.xxhash64("n_tokens", F.substring_index("line", " ", depth)))
     short = (F.col("n_tokens") < min_tokens) & (F.length("line") < min_chars)
+    leaf = F.when(short, SHORT).when(F.col("n_tokens") > depth + 2, F.xxhash64("n_tokens", F.substring_index("line", " ", depth)))
     hashes = F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
-    occurrences = stored(lines.select(*_PLACE, leaf.alias("leaf"), *hashes, short.alias("short")), "lines")
+    occurrences = stored(lines.select(*_PLACE, leaf.alias("leaf"), *hashes), "lines")
 
-    distinct = occurrences.groupBy("h1", "h2").agg(
-        F.min("leaf").alias("leaf"), F.max("short").alias("short"), F.count("*").alias("n"), F.min(F.struct(*_PLACE)).alias("first"), F.max(F.struct("id", "th")).alias("last"),
-    )
+    doc = F.xxhash64("id", "th")
+    distinct = occurrences.groupBy("h1", "h2").agg(F.min("leaf").alias("leaf"), F.count("*").alias("n"), F.min(F.struct(*_PLACE)).alias("first"), F.min(doc).alias("low"), F.max(doc).alias("high"))
     distinct = stored(distinct, "distinct")
-    members = distinct.join(_templates(source, distinct, percents, depth), ["h1", "h2"], "left").where("n > 1 OR g1 IS NOT NULL")
-    members = members.select("h1", "h2", "n", "short", "first", "last", F.coalesce("g1", "h1").alias("g1"), F.coalesce("g2", "h2").alias("g2"))
-    members = stored(members, "members")
+    # a line that stands once, and fits no template, is no member of any
+    templated = _templates(source, distinct, percents, depth)
+    own = distinct.where("n > 1").join(templated.select("h1", "h2"), ["h1", "h2"], "left_anti")
+    members = stored(templated.unionByName(own.withColumns({"g1": F.col("h1"), "g2": F.col("h2")})), "members")
 
     # templates of two documents or more; where more are asked for, they are counted
-    groups = members.groupBy("g1", "g2").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("short").alias("short"))
-    groups = groups.where(~F.struct("first.id", "first.th").eqNullSafe(F.struct("last.id", "last.th")))
-    groups = stored(groups.select("g1", "g2", "first", F.when(F.col("short"), short_docs).otherwise(min_docs).alias("need")), "groups")
+    groups = members.groupBy("g1", "g2").agg(F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.coalesce(F.col("leaf") == SHORT, F.lit(False))).alias("short"))
+    groups = stored(groups.where("low <> high").select("g1", "g2", "first", F.when(F.col("short"), short_docs).otherwise(min_docs).alias("need")), "groups")
     counted = _at_lines(occurrences.select(*_PLACE, "h1", "h2"), stored(members.select("h1", "h2", "n", "g1", "g2").join(groups.where("need > 2"), ["g1", "g2"]).drop("first"), "counted"))
     enough = counted.groupBy("g1", "g2", "need", "id", "th").agg(F.lit(1)).groupBy("g1", "g2", "need").agg(F.count("*").alias("docs")).where("docs >= need").select("g1", "g2")
     recurring = groups.where("need <= 2").unionByName(groups.where("need > 2").join(enough, ["g1", "g2"])).drop("need")
