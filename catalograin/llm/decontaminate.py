@@ -13,11 +13,13 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import small, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows (of a few longs or a word) that a broadcast may hold; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: What a row of a few longs takes in a broadcast.
+ROW_BYTES = 64
+#: Words by which the terms of a phrase may lie apart from its rarest one to be near.
+WITHIN = 15
 _END = "\x00"  # no word has it
 
 
@@ -30,7 +32,7 @@ def words(text: Column) -> Column:
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return small(df, ROW_BYTES * n)
 
 
 class PositionalIndex:
@@ -42,11 +44,11 @@ class PositionalIndex:
     def __init__(self, docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         vocabulary = vocabulary.where(F.col("word").isNotNull()).select("word").distinct()
         self.terms = stored(vocabulary.select("word", (F.monotonically_increasing_id() + 1).alias("term")), "terms")
-        self.n_terms = self.terms.count()
+        self.n_terms, letters = self.terms.agg(F.count("*"), F.sum(F.octet_length("word"))).first()
         numbered = self.terms.unionByName(docs.sparkSession.createDataFrame([(_END, 0)], "word string, term long"))
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select(F.monotonically_increasing_id().alias("uid"), "id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("words"))
         tokens = rows.select("uid", "id", "th", F.posexplode(F.array_append("words", F.lit(_END))).alias("pos", "word"))
-        found = tokens.join(_small(numbered, self.n_terms), "word")
+        found = tokens.join(small(numbered, ROW_BYTES * self.n_terms + (letters or 0)), "word")
         self.all = stored(found.select("uid", F.when(F.col("term") == 0, F.col("id")).alias("id"), F.when(F.col("term") == 0, F.col("th")).alias("th"), "pos", "term"), "postings")
         self.postings = self.all.where("term > 0").select("uid", "pos", "term")
         self.rows = self.all.where("term = 0").select("uid", "id", "th", F.col("pos").cast("long").alias("n_words"))
@@ -55,19 +57,23 @@ class PositionalIndex:
         """(term, n) for every term that occurs."""
         return self.postings.groupBy("term").agg(F.count("*").alias("n"))
 
-    def _ranked(self, phrases: DataFrame) -> DataFrame:
+    def ranked(self, phrases: DataFrame) -> DataFrame:
         """(phrase, off, term, place, n_terms): the terms of each phrase, rarest first."""
         listed = phrases.select("phrase", F.size("words").alias("n_terms"), F.posexplode("words").alias("off", "word"))
-        listed = listed.join(self.terms, "word").join(self.frequencies(), "term", "left")
-        order = Window.partitionBy("phrase").orderBy(F.coalesce("n", F.lit(0)), "off")
+        # both tables are small for a benchmark of usual size, so that a frequent word's rows are not dealt to one task
+        counted = stored(self.terms.join(self.frequencies(), "term", "left").select("word", "term", F.coalesce("n", F.lit(0)).alias("n")), "counted")
+        size = counted.agg(F.sum(F.octet_length("word"))).first()[0] or 0
+        listed = listed.join(small(counted, ROW_BYTES * self.n_terms + size), "word")
+        order = Window.partitionBy("phrase").orderBy("n", "off")
         return stored(listed.select("phrase", "off", "term", "n_terms", F.row_number().over(order).alias("place")), "ranked")
 
-    def phrases(self, phrases: DataFrame) -> DataFrame:
+    def phrases(self, phrases: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
         """(phrase, uid, start, n_terms) for every exact occurrence of `phrases(phrase long, words array<string>)`.
 
-        Phrases without words occur nowhere; each phrase number must stand once, its words all in the vocabulary.
+        Phrases without words occur nowhere; each phrase number must stand once, its words all in the vocabulary. Their terms
+        are ranked if that is not given.
         """
-        ranked = self._ranked(phrases)
+        ranked = self.ranked(phrases) if ranked is None else ranked
         first, second, rest = (ranked.where(c).drop("place") for c in ("place = 1", "place = 2", "place > 2"))
         n_first, n_second = first.count(), second.count()
         starts = self.postings.join(_small(first, n_first), "term")
@@ -91,24 +97,35 @@ class PositionalIndex:
         confirmed = confirmed.where("n = n_terms - 2").drop("n")
         return stored(left.where("n_terms <= 2").unionByName(confirmed), "matches")
 
-    def near(self, phrases: DataFrame, within: int) -> DataFrame:
-        """(phrase, uid, pos): places of a phrase's rarest term with all its other terms at most `within` words away, in any order."""
-        ranked = self._ranked(phrases)
-        terms = ranked.groupBy("phrase", "term").agg(F.min("place").alias("place"), F.first("n_terms").alias("n_terms"))
-        first = ranked.where("place = 1").select("phrase", "term")
-        others = terms.join(first.withColumnRenamed("term", "rarest"), "phrase").where("term <> rarest").select("phrase", "term")
-        places = stored(self.postings.join(first, "term").select("phrase", "uid", "pos"), "places")
-        wanted = places.join(others, "phrase").withColumnRenamed("pos", "at")
+    def near(self, phrases: DataFrame, within: int, ranked: DataFrame | None = None) -> DataFrame:
+        """(phrase, uid, pos): places of a phrase's rarest term with all its other terms at most `within` (1 or more) words away, in any order.
+
+        As for exact phrases, the list of the second-rarest term thins out the places before the others confirm.
+        """
+        if within < 1:
+            raise ValueError("within must be 1 or more")
+        ranked = self.ranked(phrases) if ranked is None else ranked
+        terms = ranked.groupBy("phrase", "term").agg(F.min("place").alias("place"))
+        terms = terms.withColumn("rank", F.row_number().over(Window.partitionBy("phrase").orderBy("place"))).withColumn("n_terms", F.count("*").over(Window.partitionBy("phrase")))
+        terms = stored(terms.select("phrase", "term", "n_terms", "rank"), "terms")
+        first, second, rest = (terms.where(c).drop("rank") for c in ("rank = 1", "rank = 2", "rank > 2"))
+        n_first, n_second, n_rest = first.count(), second.count(), rest.count()
         # a list is cut into stretches of `within` words, of which the place's own and its neighbours count
         stretch = F.floor(F.col("pos") / within)
-        lists = self.postings.withColumn("stretch", stretch)
-        wanted = wanted.withColumn("stretch", F.explode(F.array(*(F.floor(F.col("at") / within) + k for k in (-1, 0, 1)))))
-        met = wanted.join(lists, ["uid", "term", "stretch"]).where(F.abs(F.col("at") - F.col("pos")) <= within)
-        met = met.groupBy("phrase", "uid", "at").agg(F.count_distinct("term").alias("met"))
-        needed = others.groupBy("phrase").agg(F.count("*").alias("needed"))
-        alone = places.join(needed, "phrase", "left_anti")
-        full = met.join(needed, "phrase").where("met = needed")
-        return full.select("phrase", "uid", F.col("at").alias("pos")).unionByName(alone)
+        around = F.explode(F.array(*(F.floor(F.col("at") / within) + k for k in (-1, 0, 1))))
+        close = F.abs(F.col("at") - F.col("pos")) <= within
+        places = stored(self.postings.join(_small(first, n_first), "term").select("phrase", "uid", F.col("pos").alias("at"), "n_terms"), "places")
+        wanted = places.where("n_terms > 1").join(_small(second.select("phrase", "term"), n_second), "phrase").withColumn("stretch", around)
+        lists = self.postings.join(_small(second.select("term").distinct(), n_second), "term").withColumn("stretch", stretch)
+        thinned = wanted.join(lists, ["uid", "term", "stretch"]).where(close).select("phrase", "uid", "at", "n_terms").distinct()
+        left = stored(places.where("n_terms = 1").unionByName(thinned), "places")
+        rows = left.where("n_terms > 2").select("uid").distinct()
+        n_rows = rows.count()
+        wanted = left.where("n_terms > 2").join(_small(rest.select("phrase", "term"), n_rest), "phrase").withColumn("stretch", around)
+        lists = self.postings.join(_small(rows, n_rows), "uid").withColumn("stretch", stretch)
+        met = wanted.join(lists, ["uid", "term", "stretch"]).where(close).select("phrase", "uid", "at", "n_terms", "term").distinct()
+        met = met.groupBy("phrase", "uid", "at", "n_terms").agg(F.count("*").alias("n")).where("n = n_terms - 2").drop("n")
+        return stored(left.where("n_terms <= 2").unionByName(met), "near").select("phrase", "uid", F.col("at").alias("pos"))
 
 
 def windows(benchmark: DataFrame, width: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -119,33 +136,42 @@ def windows(benchmark: DataFrame, width: int, item_col: str = "item_id", text_co
     return items.select("item", F.slice("w", F.col("at") + 1, F.lit(width)).alias("words")).distinct()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per row: the id, n_words, n_hit (words in any occurrence of a window), n_items, items_sha256, contaminated.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", within: int = WITHIN) -> DataFrame:
+    """Per row: the id, n_words, n_hit (words in any occurrence of a window), n_items, items_sha256, contaminated, n_near.
+
+    n_near is the number of items with a window all of whose words stand, in any order, at most `within` words from an occurrence of
+    the one of them that is rarest in `docs` (of equally rare ones, the first of the window).
 
     items_sha256 is the lowercase hex digest of the sorted item ids joined by commas (of "" for none). Null and empty texts have no
     words and no hits; null or wordless items have no window; a null item id counts in n_hit, but is no item. Repeated rows
     each get their result, null ids stay, and other columns of any name are ignored. An empty table of documents
     gives no rows; an empty benchmark marks nothing.
     """
-    return _judged(docs, benchmark, width, id_col, text_col, item_col, item_text_col).drop("th")
+    return _judged(docs, benchmark, width, id_col, text_col, item_col, item_text_col, within).drop("th")
 
 
-def _judged(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
-    """The rows of `decontaminate`, and th, the hash of a row's text."""
+def _judged(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, text_col: str, item_col: str, item_text_col: str, within: int | None = None) -> DataFrame:
+    """The rows of `decontaminate`, n_near only if `within` is given, and th, the hash of a row's text."""
     listed = stored(windows(benchmark, width, item_col, item_text_col), "windows")
     phrases = stored(listed.select("words").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")
     index = PositionalIndex(docs, listed.select(F.explode("words").alias("word")), id_col, text_col)
-    matches = index.phrases(phrases)
+    ranked = index.ranked(phrases)
+    matches = index.phrases(phrases, ranked)
     hit = matches.select("uid", F.explode(F.sequence("start", F.col("start") + F.col("n_terms") - 1)).alias("pos")).distinct()
     hit = hit.groupBy("uid").agg(F.count("*").alias("n_hit"))
     owners = listed.join(phrases, "words").where(F.col("item").isNotNull()).select("phrase", "item")
     items = matches.select("phrase", "uid").distinct().join(owners, "phrase").groupBy("uid").agg(F.sort_array(F.collect_set("item")).alias("items"))
     joined = index.rows.join(hit, "uid", "left").join(items, "uid", "left")
+    near = []
+    if within is not None:
+        found = index.near(phrases, within, ranked).select("phrase", "uid").distinct().join(owners, "phrase")
+        joined = joined.join(found.select("uid", "item").distinct().groupBy("uid").agg(F.count("*").alias("near")), "uid", "left")
+        near = [F.coalesce("near", F.lit(0).cast("long")).alias("n_near")]
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "th",
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *near, "th",
     )
 
 
@@ -168,8 +194,18 @@ dw AS (SELECT doc_id, s, k, array_to_string(w[s + 1 : s + k], ' ') AS p
   FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS s FROM d, ks WHERE len(w) >= k)),
 m AS (SELECT dw.doc_id, dw.s, dw.k, bw.item FROM dw JOIN bw ON dw.k = bw.k AND dw.p = bw.p),
 h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS pos FROM m) GROUP BY doc_id),
-i AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id)
+i AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id),
+ps AS (SELECT DISTINCT p FROM bw),
+pt AS (SELECT p, unnest(string_split(p, ' ')) AS w, unnest(range(0, len(string_split(p, ' ')))) AS off FROM ps),
+po AS (SELECT doc_id, w, pos FROM (SELECT doc_id, unnest(w) AS w, unnest(range(0, len(w))) AS pos FROM d) WHERE w IN (SELECT w FROM pt)),
+fr AS (SELECT w, count(*) AS n FROM po GROUP BY w),
+te AS (SELECT p, w, min((coalesce(n, 0), off)) AS place FROM pt LEFT JOIN fr USING (w) GROUP BY p, w),
+fi AS (SELECT p, arg_min(w, place) AS w, count(*) AS n_terms FROM te GROUP BY p),
+pl AS (SELECT p, w AS rarest, n_terms, doc_id, pos AS at FROM fi JOIN po USING (w)),
+nr AS (SELECT DISTINCT p, doc_id FROM pl WHERE n_terms = 1 UNION SELECT DISTINCT p, doc_id FROM (SELECT pl.p, pl.doc_id, pl.at, pl.n_terms FROM pl JOIN te ON te.p = pl.p AND te.w <> pl.rarest
+  JOIN po ON po.doc_id = pl.doc_id AND po.w = te.w AND po.pos BETWEEN pl.at - 15 AND pl.at + 15 GROUP BY ALL HAVING count(DISTINCT te.w) = pl.n_terms - 1)),
+ne AS (SELECT nr.doc_id, count(DISTINCT item) AS n_near FROM nr JOIN bw USING (p) GROUP BY nr.doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
-  sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+  sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated, coalesce(ne.n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN ne USING (doc_id)
 """

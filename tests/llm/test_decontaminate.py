@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+from collections import Counter
+
+import pytest
 
 from catalograin.llm.decontaminate import PositionalIndex, decontaminate, drop_contaminated
 
@@ -27,6 +30,22 @@ def brute(docs, items, width):
     return sorted(out, key=str)
 
 
+def brute_near(docs, items, width, within):
+    """Items near in each text: all words of a window around a place of the one that is rarest in all texts."""
+    counts = Counter(w for _, text in docs for w in words(text))
+    out = {}
+    for doc_id, text in docs:
+        w, found = words(text), set()
+        for item, t in items:
+            b = words(t)
+            for window in [b[i : i + width] for i in range(max(len(b) - width, 0) + 1)] if b else []:
+                rarest = min(window, key=lambda x: (counts[x], window.index(x)))
+                if any(w[p] == rarest and set(window) <= set(w[max(p - within, 0) : p + within + 1]) for p in range(len(w))):
+                    found.add(item)
+        out[doc_id] = len(found)
+    return out
+
+
 def test_against_brute_force(spark):
     rng = random.Random(3)
     vocabulary = ["the", "of", "a", "Élan", "x9", "foo", "BAR", "q", "zz", "über"]
@@ -34,7 +53,20 @@ def test_against_brute_force(spark):
     items = [(i, ", ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 5, 8])))) for i in range(12)]
     docs += [(100, "say " + items[0][1].upper() + " end"), (101, None)]
     got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), width=4)
-    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs, items, 4)
+    assert sorted((tuple(r) for r in got.drop("n_near").collect()), key=str) == brute(docs, items, 4)
+    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), width=4, within=3)
+    assert {r["doc_id"]: r["n_near"] for r in got.collect()} == brute_near(docs, items, 4, 3)
+
+
+def test_shuffled_tables_agree_with_broadcast_ones(spark, monkeypatch):
+    from catalograin.llm import storage
+
+    docs = spark.createDataFrame([(i, f"some text of number w{i % 3} and words here") for i in range(12)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "number w1 and"), (2, "here words"), (3, "absent")], "item_id long, text string")
+    expected = sorted(map(tuple, decontaminate(docs, items).collect()))
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, decontaminate(docs, items).collect())) == expected
+    assert [r[-1] for r in expected] == [2 if i % 3 == 1 else 1 for i in range(12)]
 
 
 def test_near(spark):
@@ -43,6 +75,8 @@ def test_near(spark):
     phrases = spark.createDataFrame([(0, ["apple", "tree"])], "phrase long, words array<string>")
     near = lambda k: {r["id"] for r in index.near(phrases, k).join(index.rows, "uid").collect()}
     assert near(4) == {1} and near(6) == {1, 2}
+    with pytest.raises(ValueError):
+        near(0)
 
 
 def test_edges(spark, edge_docs, no_docs):
