@@ -58,45 +58,64 @@ def _majority(lines: DataFrame, key: str) -> DataFrame:
     return listed.select(key, F.col("template.token").alias("template"))
 
 
-def _by_stretch(rest: DataFrame, percent: int, finest: int, depth: int) -> DataFrame:
-    """(h1, h2, template) of lines (leaf, h1, h2, n, tokens) that fit a template of lines with an equal stretch of tokens.
+def _fitted(lines: DataFrame, key: str, percent: int, depth: int) -> DataFrame:
+    """(h1, h2, n, size, template, agreed) of lines (key, lines, h1, h2, n, tokens) that agree with their key's majority at a least share of tokens.
 
-    The stretches are those that the `finest` share asks for."""
+    `lines` is how many lines have the key; most often two, which need no count of every token.
+    """
+    line = F.struct("h1", "h2", "n", "tokens")
+    pairs = lines.where("lines = 2").groupBy(key).agg(F.min(line).alias("a"), F.max(line).alias("b"))
+    equal = F.zip_with("a.tokens", "b.tokens", lambda x, y: F.when(x == y, x).otherwise(F.lit(WILD)))
+    template = F.when(F.col("a.n") > F.col("b.n"), F.col("a.tokens")).when(F.col("b.n") > F.col("a.n"), F.col("b.tokens")).otherwise(equal)
+    pairs = pairs.select(template.alias("template"), F.explode(F.array("a", "b")).alias("x")).select("x.*", "template")
+    many = lines.where("lines > 2")
+    many = many.join(_majority(many, key), key).select("h1", "h2", "n", "tokens", "template")
+    rows = pairs.unionByName(many).withColumns({"agreed": _agreed(F.col("template")), "size": F.size("tokens")}).where(F.col("agreed") >= _least(F.col("size"), percent, depth))
+    return stored(rows.select("h1", "h2", "n", "size", F.array_join("template", " ").alias("template"), "agreed").distinct(), "fits")
+
+
+def _heaviest(fits: DataFrame) -> DataFrame:
+    """(h1, h2, template): for each line the heaviest template that it shares with another line."""
+    weights = fits.groupBy("template").agg(F.sum("n").alias("w"), F.count("*").alias("lines")).where("lines > 1").drop("lines")
+    return stored(fits.join(weights, "template").groupBy("h1", "h2").agg(F.max(F.struct("w", "template")).alias("top")).select("h1", "h2", "top.template"), "templates")
+
+
+def _by_stretch(rest: DataFrame, percent: int, depth: int) -> DataFrame:
+    """`_fitted` lines of (leaf, h1, h2, n, tokens), in groups with an equal stretch of tokens."""
     n = F.size("tokens")
-    rest = rest.withColumn("n_bands", F.least(n - _least(n, finest, depth) + 1, n - depth)).where(n > _least(n, percent, depth))
+    rest = rest.withColumn("n_bands", F.least(n - _least(n, percent, depth) + 1, n - depth))
     band = F.col("band")
     start, stop = (F.floor((band + k) * (n - depth) / F.col("n_bands")).cast("int") for k in (0, 1))
     banded = rest.withColumn("band", F.explode(F.sequence(F.lit(0), F.col("n_bands") - 1)))
     banded = stored(banded.select(F.xxhash64("leaf", "band", F.slice("tokens", start + depth + 1, stop - start)).alias("bucket"), "h1", "h2"), "banded")
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("lines")).where("lines > 1").select("bucket")
-    met = stored(banded.join(shared, "bucket").join(rest.select("h1", "h2", "n", "tokens"), ["h1", "h2"]), "met")
-    fits = met.join(_majority(met, "bucket"), "bucket").where(_agreed(F.col("template")) >= _least(n, percent, depth))
-    fits = stored(fits.select("h1", "h2", "n", F.array_join("template", " ").alias("template")).distinct(), "fits")
-    weights = fits.groupBy("template").agg(F.sum("n").alias("w"))
-    return fits.join(weights, "template").groupBy("h1", "h2").agg(F.max(F.struct("w", "template")).alias("top")).select("h1", "h2", "top.template")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("lines")).where("lines > 1")
+    shared = stored(banded.join(shared, "bucket"), "shared")
+    met = rest.select("h1", "h2", "n", "tokens").join(small(shared, 64 * shared.count()), ["h1", "h2"])
+    return _fitted(stored(met, "met"), "bucket", percent, depth)
 
 
 def _templates(source: DataFrame, distinct: DataFrame, percents: Sequence[int], depth: int) -> DataFrame:
     """The lines of `distinct` that share their leaf with others and fit a template, with g1, g2 for it."""
-    varied = stored(distinct.where(F.col("leaf") != SHORT).groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf"), "varied")
+    varied = stored(distinct.where(F.col("leaf") != SHORT).groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1"), "varied")
     lines = stored(distinct.join(small(varied, 48 * varied.count()), "leaf"), "varied")
-    wanted = lines.groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.pos", "leaf", "h1", "h2", "n")).alias("wanted"))
+    wanted = lines.groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.pos", "leaf", "lines", "h1", "h2", "n")).alias("wanted"))
     wanted = stored(wanted, "wanted")
     rows, places = wanted.agg(F.count("*"), F.sum(F.size("wanted"))).first()
-    texts = source.alias("d").join(small(wanted, 40 * rows + 48 * (places or 0)).alias("s"), F.expr("d.id <=> s.id AND d.th = s.th"))
+    texts = source.alias("d").join(small(wanted, 40 * rows + 56 * (places or 0)).alias("s"), F.expr("d.id <=> s.id AND d.th = s.th"))
     # split below the generator, which would otherwise split the text again for each line
     listed = texts.select(F.split(masked(F.col("d.text")), "\n", -1).alias("all"), "s.wanted").select("all", F.explode("wanted").alias("w"))
-    listed = listed.select("w.leaf", "w.h1", "w.h2", "w.n", F.split(F.btrim(F.element_at("all", F.col("w.pos") + 1)), " ").alias("tokens"))
+    listed = listed.select("w.leaf", "w.lines", "w.h1", "w.h2", "w.n", F.split(F.btrim(F.element_at("all", F.col("w.pos") + 1)), " ").alias("tokens"))
     listed = stored(listed.dropDuplicates(["h1", "h2"]), "leaves")
 
-    fits = listed.join(_majority(listed, "leaf"), "leaf").where(_agreed(F.col("template")) >= _least(F.size("tokens"), percents[-1], depth))
-    found = [stored(fits.select("h1", "h2", F.array_join("template", " ").alias("template")), "templates")]
-    rest = listed
+    found = [_heaviest(_fitted(listed, "leaf", percents[-1], depth))]
+    keys = found[0].select("h1", "h2")
+    rest = listed.drop("lines").join(small(keys, 48 * keys.count()), ["h1", "h2"], "left_anti")
+    fits = _by_stretch(rest, percents[-1], depth)
     for percent in percents:
-        rest = stored(rest.join(found[-1], ["h1", "h2"], "left_anti"), "rest")
-        found.append(stored(_by_stretch(rest, percent, percents[-1], depth), "templates"))
+        found.append(_heaviest(fits.where(F.col("agreed") >= _least(F.col("size"), percent, depth))))
+        fits = fits.join(found[-1].select("h1", "h2"), ["h1", "h2"], "left_anti")
     named = functools.reduce(DataFrame.unionByName, found).select("h1", "h2", F.xxhash64("template").alias("g1"), F.xxhash64(F.lit(1), "template").alias("g2"))
-    return stored(lines.join(named, ["h1", "h2"]), "templated")
+    return stored(lines.drop("lines").join(small(named, 64 * named.count()), ["h1", "h2"]), "templated")
 
 
 def _at_lines(occurrences: DataFrame, lines: DataFrame) -> DataFrame:
@@ -193,20 +212,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.select(*columns, *(v.cast("long").alias(k) for k, v in added.items()))
 
 
-def _stretch_sql(k: int, percent: int) -> str:
-    """Common table expressions r<k> (lines left) to e<k> (line, template) of one share of constant tokens."""
-    least, finest = (f"greatest((n * {p} + 99) // 100, least(n, 5))" for p in (percent, PERCENTS[-1]))
+def _choice_sql(k: int, percent: int) -> str:
+    """Common table expressions up to e<k> (line, template): the choice among the templates of one share of constant tokens."""
     return f"""
-r{k} AS (SELECT * FROM (SELECT *, {least} AS c FROM {f"r{k - 1}" if k else "v"}) WHERE line NOT IN (SELECT line FROM e{k - 1 if k else "l"})),
-b{k} AS (SELECT line, n, cnt, t, c, concat(n, ' ', lead, ' ', band, ' ', array_to_string(t[4 + band * (n - 3) // nb : 3 + (band + 1) * (n - 3) // nb], ' ')) AS bucket
-  FROM (SELECT *, unnest(range(nb)) AS band FROM (SELECT *, least(n - {finest} + 1, n - 3) AS nb FROM r{k} WHERE n > c))),
-s{k} AS (SELECT * FROM b{k} WHERE bucket IN (SELECT bucket FROM b{k} GROUP BY bucket HAVING count(*) > 1)),
-k{k} AS (SELECT bucket, k, token, sum(cnt) AS w FROM (SELECT bucket, cnt, unnest(t) AS token, unnest(range(1, n + 1)) AS k FROM s{k}) GROUP BY ALL),
-m{k} AS (SELECT bucket, k, CASE WHEN 2 * max(w) > sum(w) THEN arg_max(token, w) ELSE '<*>' END AS token FROM k{k} GROUP BY bucket, k),
-p{k} AS (SELECT bucket, list(token ORDER BY k) AS p FROM m{k} GROUP BY bucket),
-f{k} AS (SELECT DISTINCT line, cnt, array_to_string(p, ' ') AS template FROM s{k} JOIN p{k} USING (bucket) WHERE len(list_filter(range(1, n + 1), lambda i: t[i] = p[i] AND p[i] <> '<*>')) >= c),
-w{k} AS (SELECT template, sum(cnt) AS w FROM f{k} GROUP BY template),
-e{k} AS (SELECT line, arg_max(template, (w, template)) AS template FROM f{k} JOIN w{k} USING (template) GROUP BY line)"""
+f{k} AS (SELECT * FROM {f"f{k - 1}" if k else "fs"} WHERE line NOT IN (SELECT line FROM e{k - 1 if k else "l"})),
+w{k} AS (SELECT template, sum(cnt) AS w FROM f{k} WHERE agreed >= greatest((n * {percent} + 99) // 100, least(n, 5)) GROUP BY template HAVING count(*) > 1),
+e{k} AS (SELECT line, arg_max(template, (w, template)) AS template FROM f{k} JOIN w{k} USING (template) WHERE agreed >= greatest((n * {percent} + 99) // 100, least(n, 5)) GROUP BY line)"""
 
 
 #: The same rows in DuckDB's SQL, with the default parameters.
@@ -219,7 +230,15 @@ v AS (SELECT * FROM d WHERE (n, lead) IN (SELECT (n, lead) FROM d GROUP BY n, le
 kl AS (SELECT n, lead, k, token, sum(cnt) AS w FROM (SELECT n, lead, cnt, unnest(t) AS token, unnest(range(1, n + 1)) AS k FROM v) GROUP BY ALL),
 ml AS (SELECT n, lead, k, CASE WHEN 2 * max(w) > sum(w) THEN arg_max(token, w) ELSE '<*>' END AS token FROM kl GROUP BY n, lead, k),
 pl AS (SELECT n, lead, list(token ORDER BY k) AS p FROM ml GROUP BY n, lead),
-el AS (SELECT v.line, array_to_string(p, ' ') AS template FROM v JOIN pl USING (n, lead) WHERE len(list_filter(range(1, v.n + 1), lambda i: v.t[i] = p[i] AND p[i] <> '<*>')) >= greatest((v.n * 60 + 99) // 100, least(v.n, 5))),{",".join(_stretch_sql(k, p) for k, p in enumerate(PERCENTS))},
+fl AS (SELECT v.line, array_to_string(p, ' ') AS template FROM v JOIN pl USING (n, lead) WHERE len(list_filter(range(1, v.n + 1), lambda i: v.t[i] = p[i] AND p[i] <> '<*>')) >= greatest((v.n * 60 + 99) // 100, least(v.n, 5))),
+el AS (SELECT * FROM fl WHERE template IN (SELECT template FROM fl GROUP BY template HAVING count(*) > 1)),
+re AS (SELECT *, least(n - greatest((n * 60 + 99) // 100, least(n, 5)) + 1, n - 3) AS nb FROM v WHERE line NOT IN (SELECT line FROM el)),
+ba AS (SELECT line, n, cnt, t, concat(n, ' ', lead, ' ', band, ' ', array_to_string(t[4 + band * (n - 3) // nb : 3 + (band + 1) * (n - 3) // nb], ' ')) AS bucket FROM (SELECT *, unnest(range(nb)) AS band FROM re)),
+sh AS (SELECT * FROM ba WHERE bucket IN (SELECT bucket FROM ba GROUP BY bucket HAVING count(*) > 1)),
+ks AS (SELECT bucket, k, token, sum(cnt) AS w FROM (SELECT bucket, cnt, unnest(t) AS token, unnest(range(1, n + 1)) AS k FROM sh) GROUP BY ALL),
+ms AS (SELECT bucket, k, CASE WHEN 2 * max(w) > sum(w) THEN arg_max(token, w) ELSE '<*>' END AS token FROM ks GROUP BY bucket, k),
+ps AS (SELECT bucket, list(token ORDER BY k) AS p FROM ms GROUP BY bucket),
+fs AS (SELECT DISTINCT * FROM (SELECT line, n, cnt, array_to_string(p, ' ') AS template, len(list_filter(range(1, n + 1), lambda i: t[i] = p[i] AND p[i] <> '<*>')) AS agreed FROM sh JOIN ps USING (bucket))),{",".join(_choice_sql(k, p) for k, p in enumerate(PERCENTS))},
 g AS (SELECT doc_id, pos, short, coalesce(template, o.line) AS g FROM o LEFT JOIN (SELECT * FROM el {" ".join(f"UNION ALL SELECT * FROM e{k}" for k in range(len(PERCENTS)))}) USING (line)),
 r AS (SELECT g, min((doc_id, pos)) AS first FROM g GROUP BY g HAVING count(DISTINCT doc_id) >= CASE WHEN bool_or(short) THEN 20 ELSE 2 END),
 x AS (SELECT doc_id, list(pos) AS gone FROM g JOIN r USING (g) WHERE (doc_id, pos) <> first GROUP BY doc_id)
