@@ -41,8 +41,11 @@ def stable_lines(text: Column) -> Column:
     """
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
     value = lambda x: (F.length(x) <= 40) & x.rlike(f"(?i){VALUE}")
-    paired = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.coalesce(is_label(F.get(lines, i - 1)), F.lit(False)).alias("below")))
-    return F.transform(F.filter(paired, lambda p: ~(is_label(p["line"]) | is_volatile(p["line"]) | (p["below"] & value(p["line"])))), lambda p: p["line"])
+    # each line beside the one above it: looked up by place, the lines would be made anew for each of them
+    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), is_label(x).alias("label")))
+    above = F.concat(F.array(F.lit(False)), F.transform(marked, lambda m: m["label"]))
+    keep = lambda m, below: m.isNotNull() & ~(m["label"] | is_volatile(m["line"]) | (F.coalesce(below, F.lit(False)) & value(m["line"])))
+    return F.array_compact(F.zip_with(marked, above, lambda m, below: F.when(keep(m, below), m["line"])))
 
 
 def tokens(text: Column) -> Column:

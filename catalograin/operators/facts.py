@@ -92,6 +92,16 @@ def lookup_stats(items: DataFrame, aliases: DataFrame, most: int = MAX_LOOKUPS)
     return counted.select("*", F.greatest(F.col("names") - F.col("products"), F.lit(0)).alias("merged"), F.least("products", F.lit(most)).alias("to_look_up"), F.greatest(F.col("products") - most, F.lit(0)).alias("remaining"))
 
 
+def to_ask(wanted: DataFrame, in_flight: DataFrame, aliases: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(canonical, key): each product and key of `wanted(identity, key)` once, without those that some job is asking for already.
+
+    aliases: (identity, canonical); synonyms: (key, synonym), a key standing for its synonyms.
+    """
+    own = synonyms.select(F.col("synonym").alias("key"), F.col("key").alias("own"))
+    named = lambda df: df.join(aliases, "identity", "left").join(own, "key", "left").select(F.coalesce("canonical", "identity").alias("canonical"), F.coalesce("own", "key").alias("key")).distinct()
+    return named(wanted).join(named(in_flight), ["canonical", "key"], "left_anti")
+
+
 def extras(ranked: DataFrame, asked: DataFrame, stated: DataFrame, known: DataFrame, most: int = MAX_EXTRAS) -> DataFrame:
     """(identity, key): further keys worth asking for on the same lookup, from `ranked(identity, key, rank)`, without those asked, stated or cached."""
     rest = ranked

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import attribute_key, coerced
+
 GONE_SHARE = 0.5
 GONE_LEAST = 4
 RELOAD_SHARE, REJECT_SHARE = 0.1, 0.3
@@ -89,6 +91,30 @@ def reusable(wanted: DataFrame, items: DataFrame, sources: DataFrame | None = No
     return found.join(other, "id", "left").select("url", "content_hash", "id", stated.alias("specs"))
 
 
+def adopted(donor: DataFrame, registry: DataFrame, synonyms: DataFrame, skip: str = "focus") -> DataFrame:
+    """(id, ordinal, key, value, type, unit) of a donor's attributes (also label), fitted to the `registry(key, type, unit)` that takes them over.
+
+    A key that the registry lacks takes the first name (by `synonyms(key, synonym)`) that it has; values take the registry's type, and go
+    if they can't. Of several for one key the first stays; the donor's own answer to another question (`skip`) goes.
+    """
+    known = registry.select(F.col("key").alias("own"), F.col("type").alias("own_type"), F.col("unit").alias("own_unit"))
+    other = synonyms.join(known.select(F.col("own").alias("synonym")), "synonym", "left_semi").groupBy("key").agg(F.min("synonym").alias("synonym"))
+    named = donor.join(known.select(F.col("own").alias("key"), F.lit(True).alias("has")), "key", "left").join(other, "key", "left")
+    named = named.withColumn("own", F.when(F.col("has"), F.col("key")).otherwise(F.coalesce("synonym", "key"))).drop("key")
+    fitted = named.join(known, "own", "left").withColumn("kind", F.coalesce("own_type", "type"))
+    fitted = fitted.withColumn("value", coerced(F.col("value"), F.col("kind"))).where(F.col("value").isNotNull() & (F.col("own") != skip))
+    first = fitted.withColumn("r", F.row_number().over(Window.partitionBy("id", "own").orderBy("ordinal"))).where("r = 1")
+    return first.select("id", "ordinal", F.col("own").alias("key"), "value", F.col("kind").alias("type"), F.coalesce("own_unit", "unit").alias("unit"))
+
+
+def normalized(tuples: DataFrame, registry: DataFrame, skip: str = "focus") -> DataFrame:
+    """(id, place, key, value, type) of extracted `tuples(id, ordinal, name, value, type)`: keys in normal form, the registry's types, the last of several at the first one's place."""
+    keyed = tuples.withColumn("key", attribute_key(F.col("name"))).where((F.col("key") != "") & (F.col("key") != skip))
+    typed = keyed.join(registry.select("key", F.col("type").alias("own_type")), "key", "left").withColumn("kind", F.coalesce("own_type", "type"))
+    typed = typed.withColumn("value", coerced(F.col("value"), F.col("kind"))).where("value IS NOT NULL")
+    return last_wins(typed.select("id", "ordinal", "key", "value", F.col("kind").alias("type")), "id").select("id", "place", "key", "value", "type")
+
+
 def last_wins(tuples: DataFrame, *groups: str) -> DataFrame:
     """Attribute tuples (groups, key, ordinal, ...) with one row per key: the last, at the first one's place."""
     each = Window.partitionBy(*groups, "key")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.items import long_form
+from .products import names_related
 
 TOP_SAMPLES = 12
 TOP_CURRENCIES = 10
@@ -73,6 +74,67 @@ def apply_merges(items: DataFrame, merges: DataFrame) -> DataFrame:
     return rows.withColumn("specs", F.when(F.col("plan").isNull() | F.col("specs").isNull(), F.col("specs")).otherwise(F.map_from_entries(kept))).drop("plan")
 
 
+def _plan(merges: DataFrame) -> DataFrame:
+    return merges.select(F.col("from_key").alias("key"), "to_key", "factor")
+
+
+def merge_results(items: DataFrame, merges: DataFrame) -> DataFrame:
+    """(id, key, to_key, moved): the values that `apply_merges` takes from each item, and which of them it moves."""
+    cells = items.select("id", "specs", F.explode(F.map_keys("specs")).alias("key")).join(F.broadcast(_plan(merges)), "key")  # merges are few
+    free = ~F.map_contains_key(F.col("specs"), F.col("to_key"))
+    first = F.row_number().over(Window.partitionBy("id", "to_key").orderBy("key")) == 1
+    return cells.select("id", "key", "to_key", (free & first).alias("moved"))
+
+
+def merged_sources(sources: DataFrame, items: DataFrame, merges: DataFrame) -> DataFrame:
+    """Sources of values (id, key, ...) after a merge: they follow values that move, and go with those that don't."""
+    found = merge_results(items, merges)
+    joined = sources.join(found, ["id", "key"], "left").where(F.coalesce("moved", F.lit(True)))
+    return joined.select(*(F.coalesce("to_key", "key").alias(c) if c == "key" else F.col(c) for c in sources.columns))
+
+
+def merged_registry(registry: DataFrame, merges: DataFrame) -> DataFrame:
+    """The registry without merged keys."""
+    return registry.join(F.broadcast(_plan(merges).select("key")), "key", "left_anti")
+
+
+def merge_aliases(merges: DataFrame) -> DataFrame:
+    """(alias, key): merges that only rename, which hold for later extractions too."""
+    return merges.where("factor = 1").select(F.col("from_key").alias("alias"), F.col("to_key").alias("key"))
+
+
+def checked_merges(proposed: DataFrame, registry: DataFrame) -> DataFrame:
+    """(from_key, to_key, factor) of `proposed(ordinal, from_key, to_key, factor)` that may be done, by `registry(key, type, count)`.
+
+    Both keys are known, differ, have one type and related names. The key that more items have stands (then the shorter name, then the proposed
+    one), with the factor turned round if need be; only numbers have one. A key is merged away once, and nothing is merged into such a key.
+    """
+    a = registry.select(F.col("key").alias("from_key"), F.col("type").alias("from_type"), F.col("count").alias("from_count"))
+    b = registry.select(F.col("key").alias("to_key"), F.col("type").alias("to_type"), F.col("count").alias("to_count"))
+    rows = proposed.join(a, "from_key").join(b, "to_key").where("from_key <> to_key AND from_type = to_type")
+    rows = rows.where(names_related(F.col("from_key"), F.col("to_key"), F.col("from_type") == "boolean"))
+    factor = F.when(F.col("from_type") == "number", F.coalesce("factor", F.lit(1.0))).otherwise(F.lit(1.0))
+    turn = (F.col("to_count") < F.col("from_count")) | ((F.col("to_count") == F.col("from_count")) & (F.length("to_key") > F.length("from_key")))
+    rows = rows.select(
+        "ordinal", F.when(turn, F.col("to_key")).otherwise(F.col("from_key")).alias("from_key"), F.when(turn, F.col("from_key")).otherwise(F.col("to_key")).alias("to_key"),
+        F.when(turn & (factor != 1), 1 / factor).otherwise(factor).alias("factor"),
+    )
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("from_key").orderBy("ordinal"))).where("r = 1").drop("r", "ordinal")
+    return first.join(first.select(F.col("from_key").alias("to_key")), "to_key", "left_anti").select("from_key", "to_key", "factor")
+
+
+def searched_synonyms(merges: DataFrame, asked: DataFrame, registry: DataFrame) -> DataFrame:
+    """(alias, key): checked merges which say that an `asked(key)` is a field the registry has, in the same unit."""
+    found = merges.where("factor = 1").join(asked.select(F.col("key").alias("from_key")), "from_key", "left_semi").join(registry.select(F.col("key").alias("to_key")), "to_key", "left_semi")
+    return found.select(F.col("from_key").alias("alias"), F.col("to_key").alias("key"))
+
+
+def unchecked(asked: DataFrame, checks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """`asked(key)` not yet compared with each collection's registry at its present size; checks (key, collection_id, size), sizes (collection_id, size)."""
+    done = asked.select("key").crossJoin(F.broadcast(sizes)).join(checks, ["key", "collection_id", "size"], "left_anti")  # keys that a request asks for
+    return asked.join(done.select("key").distinct(), "key", "left_semi")
+
+
 def flatten_aliases(aliases: dict[str, str], alias: str, canonical: str) -> dict[str, str]:
     """Key aliases with one more: every alias points at a key that is its own, never at another alias."""
     root = aliases.get(canonical, canonical)

@@ -60,11 +60,23 @@ def nearest_rank(column: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
 
 
-def floor_index(values: DataFrame, column: str, p: float, *groups: str) -> DataFrame:
-    """(groups, value): the value at index min(n - 1, floor(p * n)) of the sorted values."""
-    each = Window.partitionBy(*groups)
-    placed = values.where(F.col(column).isNotNull()).withColumn("i", F.row_number().over(each.orderBy(column)) - 1).withColumn("n", F.count("*").over(each))
-    return placed.where(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * p))).select(*groups, F.col(column).alias("value"))
+def floor_index(values: DataFrame, column: str, p: float, *groups: str, near: float = 0.001) -> DataFrame:
+    """(groups, value): the value at index min(n - 1, floor(p * n)) of the sorted values.
+
+    Approximate percentiles on both sides bracket it; what lies below is counted, and only the distinct values within the bracket are put in order.
+    """
+    rows = values.where(F.col(column).isNotNull()).select(*groups, F.col(column).alias("v"))
+    at = lambda q: F.percentile_approx("v", min(1.0, max(0.0, q)), F.lit(int(4 / near)))
+    ends = rows.groupBy(*groups).agg(F.count("*").alias("n"), at(p - near).alias("low"), at(p + near).alias("high"), F.min("v").alias("least"), F.max("v").alias("most"))
+    low = F.when(F.col("n") * near < 4, F.col("least")).otherwise(F.col("low"))
+    high = F.when(F.col("n") * near < 4, F.col("most")).otherwise(F.col("high"))
+    ends = ends.select(*groups, F.least(F.col("n") - 1, F.floor(F.col("n") * p)).alias("i"), low.alias("low"), high.alias("high"))
+    placed = rows.join(F.broadcast(ends), list(groups)) if groups else rows.crossJoin(F.broadcast(ends))  # a row for each group
+    below = placed.where("v < low").groupBy(*groups).agg(F.count("*").alias("below"))
+    inside = placed.where("v BETWEEN low AND high").groupBy(*groups, "v").agg(F.count("*").alias("k"), F.first("i").alias("i"))
+    inside = inside.join(below, list(groups), "left") if groups else inside.crossJoin(F.broadcast(below))
+    upto = F.coalesce("below", F.lit(0)) + F.sum("k").over(Window.partitionBy(*groups).orderBy("v"))
+    return inside.withColumn("upto", upto).where(F.col("upto") > F.col("i")).groupBy(*groups).agg(F.min("v").alias("value"))
 
 
 def knee(steps: DataFrame) -> DataFrame:

@@ -189,12 +189,18 @@ def product_groups(items: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def same_product_listings(items: DataFrame, aliases: DataFrame, top: int = 20) -> DataFrame:
-    """(id, other, total): for each item the other listings of its product, active ones first, then the newest."""
+    """(id, other, total): for each item the other listings of its product, active ones first, then the newest.
+
+    A product's listings are put in order once, and each listing meets the first top + 1 of them only.
+    """
     named = items.join(aliases, "identity", "left").withColumn("root", F.coalesce("canonical", "identity")).where(F.coalesce("root", F.lit("")) != "").select("id", "root", "gone_at", "indexed_at")
-    pairs = named.select("id", "root").join(named.select(F.col("id").alias("other"), "root", "gone_at", "indexed_at"), "root").where("id <> other")
-    each = Window.partitionBy("id")
-    order = each.orderBy(F.col("gone_at").isNotNull(), F.desc("indexed_at"), "other")
-    return pairs.withColumn("place", F.row_number().over(order)).withColumn("total", F.count("*").over(each)).where(F.col("place") <= top).select("id", "other", "total")
+    order = Window.partitionBy("root").orderBy(F.col("gone_at").isNotNull(), F.desc("indexed_at"), "id")
+    placed = named.withColumn("place", F.row_number().over(order))
+    first = placed.where(F.col("place") <= top + 1).select("root", F.col("id").alias("other"), F.col("place").alias("at"))
+    counts = named.groupBy("root").agg((F.count("*") - 1).alias("total"))
+    pairs = placed.select("id", "root", "place").join(first, "root").where("id <> other").join(counts, "root")
+    # a listing among the first ones leaves room for one more
+    return pairs.where(F.col("at") <= top + F.when(F.col("place") <= top, 1).otherwise(0)).select("id", "other", "total")
 
 
 #: Words of attribute names that carry no meaning of their own, or the same one. (Fixed values.)

@@ -20,12 +20,15 @@ def _types(registry: Iterable[Key]) -> dict[str, str]:
 
 
 def order_by(sort: Sort | None, types: dict[str, str], semantic: bool) -> list[Column]:
-    """The sort key with missing values last either way, then score or recency, then id. A key nobody knows is ignored."""
+    """The sort key with missing values last either way, then score or recency, then id. A key nobody knows is ignored.
+
+    Texts are in the order of readers: letters of either case and with accents side by side.
+    """
     order = []
     kind = sort and (LISTING_TYPES.get(sort.key) or types.get(sort.key))
     if kind:
         column = typed_value(sort.key, kind)
-        column = F.lower(column) if kind == "string" else column.cast("double") if kind == "number" else column.cast("int")
+        column = F.collate(column, "UNICODE") if kind == "string" else column.cast("double") if kind == "number" else column.cast("int")
         order.append(column.asc_nulls_last() if sort.dir == "asc" else column.desc_nulls_last())
     order.append(F.coalesce(F.col("score"), F.lit(-1.0)).desc() if semantic else F.col("indexed_at").desc())
     return [*order, F.col("id").asc()]
@@ -87,6 +90,17 @@ def coverage(rows: DataFrame, keys: Iterable[str], registry: Sequence[Key], syno
     return listed.select("c.key", "c.covered", "pool", ((F.col("pool") > 0) & (F.col("c.covered") < COVERAGE * F.col("pool"))).alias("poor"))
 
 
+def offer(filled: DataFrame, aliases: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """One row: what a lookup is offered for: at most MAX_OFFERED attributes, and the listings, and distinct products, that still `need` one of them.
+
+    filled: items as `facts.fill` returns them for these attributes.
+    """
+    asked = F.array(*map(F.lit, attributes[:MAX_OFFERED])).cast("array<string>")
+    lacking = filled.where(F.arrays_overlap("need", asked)).join(aliases, "identity", "left")
+    product = F.coalesce("canonical", F.nullif("identity", F.lit("")), F.lower("title"))
+    return lacking.agg(F.count_distinct(product).alias("products"), F.count("*").alias("listings")).select(asked.alias("attributes"), "products", "listings")
+
+
 def weak_divider(ranked: DataFrame) -> DataFrame:
     """One row: place of the first `low` row among matches in order (`place`, from 0) and the number of such rows."""
     low = F.col("relevance") == "low"

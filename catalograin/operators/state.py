@@ -77,6 +77,11 @@ def upsert_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("id"), "id", "left_anti").unionByName(new)
 
 
+def delete_vectors(old: DataFrame, ids: DataFrame) -> DataFrame:
+    """Vectors without those of `ids(id)`."""
+    return old.join(ids.select("id"), "id", "left_anti")
+
+
 def focus_pending(items: DataFrame, collections: DataFrame) -> DataFrame:
     """Items whose answer is for another focus than their collection's (null counts as a focus of its own)."""
     c = collections.select(F.col("id").alias("c_id"), F.col("focus").alias("c_focus"))

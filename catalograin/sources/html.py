@@ -101,11 +101,15 @@ def snapshots(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, SCHEMA)
 
 
-def page_kind(known_cards: Column, ld_types: Column, og_type: Column) -> Column:
-    """A page's kind: `listing` with ten known cards or several products or a list, `item` with one product, `article`, else null (to be asked)."""
+def page_kind(known_cards: Column, ld_types: Column, og_type: Column, listing_url: Column | bool = False, item_url: Column | bool = False) -> Column:
+    """A page's kind: `listing` with ten known cards, or one at a known listing's address, or several products or a list; `item` at an item's address
+    or with one product; `article`; else null (to be asked)."""
     products = F.size(F.filter(ld_types, lambda t: t.isin("Product", "Vehicle", "Car", "Offer")))
+    flag = lambda c: c if isinstance(c, Column) else F.lit(c)
     return (
         F.when(known_cards >= 10, "listing")
+        .when(flag(listing_url) & (known_cards >= 1), "listing")
+        .when(flag(item_url), "item")
         .when((products >= 2) | F.arrays_overlap(ld_types, F.array(F.lit("ItemList"), F.lit("CollectionPage"))), "listing")
         .when((products == 1) | (og_type == "product"), "item")
         .when(F.arrays_overlap(ld_types, F.array(F.lit("Article"), F.lit("NewsArticle"))) | (og_type == "article"), "article")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,33 @@ def documents(collections: DataFrame, items: DataFrame, keys: DataFrame, aliases
     return out
 
 
+def lines(collections: DataFrame, items: DataFrame, keys: DataFrame, aliases: DataFrame, facts: DataFrame) -> DataFrame:
+    """(collection_id, kind, body): the same content as `documents`, one JSON text for each collection, item, key, alias and fact.
+
+    For collections of any size: no row holds more than one of these, and no task a whole collection.
+    """
+    names = items.where("identity <> ''").select("collection_id", "identity").distinct()
+    mine = names.join(aliases, "identity").select("collection_id", "canonical").distinct()
+    around = mine.join(aliases, "canonical").select("collection_id", "identity", "canonical").distinct()
+    touched = names.union(mine.select("collection_id", "canonical")).union(around.select("collection_id", "identity")).distinct()
+    line = lambda df, kind, *fields: df.select("collection_id", F.lit(kind).alias("kind"), F.to_json(F.struct(*fields)).alias("body"))
+    parts = [
+        line(collections, "collection", F.lit(FORMAT_VERSION).alias("version"), "name"), line(items, "item", "url", "title", "description", "price", "currency", "identity", "indexed_at", "gone_at", "specs"),
+        line(keys, "key", "key", "type", "unit", "label", "example", "origin"), line(around, "alias", "identity", "canonical"), line(touched.join(facts, "identity"), "fact", "identity", "key", "value", "confidence", "found"),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").partitionBy("collection_id", "kind").text(path)
+
+
+def read_items(spark: SparkSession, path: str, collection_id: int) -> DataFrame:
+    """The items of one exported collection, by the fixed schema."""
+    rows = spark.read.text(f"{path}/collection_id={collection_id}/kind=item")
+    return rows.select(F.from_json("value", _ITEM).alias("i")).select("i.*")
+
+
 def write(docs: DataFrame, path: str) -> None:
     docs.drop("collection_id").write.mode("overwrite").json(path)
 

@@ -41,7 +41,7 @@ def rates(events: DataFrame, late: str = "10 minutes", width: str = "1 minute")
     return rows.groupBy(F.window("ts", width).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "user_id", "n")
 
 
-def _buffer(size: int, retire_ms: int):
+def _buffer(size: int, retire_ms: int, events: bool = False):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -53,6 +53,9 @@ def _buffer(size: int, retire_ms: int):
         flat = [(int(s), str(m)) for s, m in held]
         state.update((flat,))
         state.setTimeoutDuration(retire_ms)
+        if events:
+            yield pd.DataFrame({"channel": [key[0]] * len(flat), "seq": [s for s, _ in flat], "message": [m for _, m in flat]})
+            return
         yield pd.DataFrame({"channel": [key[0]], "n": [len(flat)], "first_seq": [flat[0][0] if flat else None], "last_seq": [flat[-1][0] if flat else None]})
 
     return run
@@ -63,3 +66,23 @@ def buffers(events: DataFrame, size: int = BUFFER, retire_ms: int = RETIRE_MS) -
     return events.groupBy("channel").applyInPandasWithState(
         _buffer(size, retire_ms), "channel string, n long, first_seq long, last_seq long", "held array<struct<seq:long,message:string>>", "update", GroupStateTimeout.ProcessingTimeTimeout
     )
+
+
+def held_events(events: DataFrame, size: int = BUFFER, retire_ms: int = RETIRE_MS) -> DataFrame:
+    """A stream's replay buffers themselves: (channel, seq, message) of all events a channel holds, whenever it gets new ones, so that a reader can replay from a batch."""
+    return events.groupBy("channel").applyInPandasWithState(
+        _buffer(size, retire_ms, True), "channel string, seq long, message string", "held array<struct<seq:long,message:string>>", "update", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
+def subscribed(events: DataFrame, channels: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
+    """What one subscriber gets: events of its channels and types (None: all)."""
+    for column, wanted in (("channel", channels), ("type", types)):
+        if wanted is not None:
+            events = events.where(F.col(column).isin(wanted))
+    return events
+
+
+def retired(events: DataFrame, now: Column, quiet: str = "10 minutes") -> DataFrame:
+    """(channel, last): channels whose newest event (`ts`) is older than `quiet`; a new event brings one back."""
+    return events.groupBy("channel").agg(F.max("ts").alias("last")).where(F.col("last") <= now - F.expr(f"INTERVAL {quiet}"))

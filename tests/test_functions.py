@@ -1,9 +1,12 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from catalograin.functions import change, text, urls
+from catalograin.plans.model import normalize_key
 
-PAGE = "Škoda Octavia\n25.900 KM\nBroj pregleda\n9075\nFuel\nDiesel\nYear\n2019"
+PAGE = "Lampa Orbit\n64,50 EUR\nViews\n118\nSocket\nE14\nHeight\n210"
 
 
 def column(spark, values, expression, kind="string"):
@@ -19,24 +22,24 @@ def same(spark, a, b):
 @pytest.mark.parametrize(
     "other",
     [
-        PAGE.upper(), PAGE.replace("\n", "\r\n  "), PAGE.replace("9075", "9.200"), PAGE + "\n2 hours ago", PAGE + "\nPregleda: 456", PAGE + "\nObnovljen\n06.10.2026 u 14:52", "Diesel\n" + PAGE, PAGE + "\nPitanja (3)",
-        "Fuel Diesel Year 2019\nŠkoda Octavia 25.900 KM",
+        PAGE.upper(), PAGE.replace("\n", "\r\n  "), PAGE.replace("118", "2.041"), PAGE + "\n5 minutes ago", PAGE + "\nAufrufe: 31", PAGE + "\nUpdated:\n03.02.2025 at 08:15", "E14\n" + PAGE, PAGE + "\nFragen (12)",
+        "Socket E14 Height 210\nLampa Orbit 64,50 EUR",
     ],
 )
 def test_equal_fingerprints(spark, other):
     assert same(spark, PAGE, other)
 
 
-@pytest.mark.parametrize("other", [PAGE.replace("25.900", "24.500"), PAGE + "\nTowbar", PAGE.replace("2019", "2020"), ""])
+@pytest.mark.parametrize("other", [PAGE.replace("64,50", "59,00"), PAGE + "\nDimmable", PAGE.replace("210", "230"), ""])
 def test_different_fingerprints(spark, other):
     assert not same(spark, PAGE, other)
 
 
 def test_differences(spark):
-    rows = spark.createDataFrame([("price 25.900 km", "price 24.500 km"), ("a b", "a"), ("", "x"), ("a", "a")], "o string, n string")
+    rows = spark.createDataFrame([("cost 64,50 eur", "cost 59,00 eur"), ("a b", "a"), ("", "x"), ("a", "a")], "o string, n string")
     rows = rows.select(change.tokens(F.col("o")).alias("o"), change.tokens(F.col("n")).alias("n"))
     got = rows.select(change.changed(F.col("o"), F.col("n")).alias("c"), change.removed_share(F.col("o"), F.col("n")).alias("s")).collect()
-    assert got[0]["c"] == ["- 25.900", "+ 24.500"] and [r["s"] for r in got] == [pytest.approx(1 / 3), 0.5, 0.0, 0.0]
+    assert got[0]["c"] == ["- 64,50", "+ 59,00"] and [r["s"] for r in got] == [pytest.approx(1 / 3), 0.5, 0.0, 0.0]
 
 
 def test_numbers_and_booleans(spark):
@@ -70,3 +73,24 @@ def test_patterns_of_hosts(spark):
     rows = spark.createDataFrame([(f"https://s.com/cars/used/{i}",) for i in range(9)] + [("https://s.com/about",), ("https://t.com/x/1",)], "url string")
     assert [tuple(r) for r in urls.directory_prefixes(rows).collect()] == [("s.com", "/cars/used/", 9)]
     assert [tuple(r) for r in urls.common_shape(rows).collect()] == [("s.com", "s.com/cars/used/*", 9)]
+
+
+def test_long_pages_are_read_in_one_pass(spark):
+    page = "\n".join(f"line {i} of it" for i in range(20_000))
+    began = time.perf_counter()
+    assert len(column(spark, [page, page + "\n3 days ago"], change.fingerprint)[0]) == 64
+    assert time.perf_counter() - began < 60
+
+
+def test_values_above_and_keys(spark):
+    assert column(spark, ["Views\n12\nViews\nof it\n7", "12\nViews", "Updated\n1.2.2024\n5"], lambda v: F.array_join(change.stable_lines(v), "|")) == ["of it|7", "12", "5"]
+    names = ["area m²", "Größe №", "x", None]
+    assert column(spark, names, text.attribute_key) == [None if n is None else normalize_key(n) for n in names]
+
+
+@pytest.mark.parametrize(("answer", "want"), [
+    ('{"a": 1}', '{"a":1}'), ('Sure!\n```json\n[1, 2]\n```\nbye', "[1,2]"), ('so {"a": [1]} it is', '{"a":[1]}'), (r'{"css": "\.x"}', r'{"css":"\\.x"}'), ('{"rows": [{"k": "]"}, {"k": "b"}, {"k": ', '{"rows":[{"k":"]"},{"k":"b"}]}'),
+    ("[[1, 2], [3", "[[1,2]]"), ("nothing", None), ("", None), (None, None),
+])
+def test_broken_answers(answer, want):
+    assert text.mended_json(answer) == want
