@@ -45,7 +45,7 @@ class PositionalIndex:
         vocabulary = vocabulary.where(F.col("word").isNotNull()).select("word").distinct()
         self.terms = stored(vocabulary.select("word", (F.monotonically_increasing_id() + 1).alias("term")), "terms")
         self.n_terms, letters = self.terms.agg(F.count("*"), F.sum(F.octet_length("word"))).first()
-        numbered = self.terms.unionByName(docs.sparkSession.createDataFrame([(_END, 0)], "word string, term long"))
+        numbered = self.terms.unionByName(docs.sparkSession.range(1).select(F.lit(_END).alias("word"), F.col("id").alias("term")))
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select(F.monotonically_increasing_id().alias("uid"), "id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("words"))
         tokens = rows.select("uid", "id", "th", F.posexplode(F.array_append("words", F.lit(_END))).alias("pos", "word"))
         found = tokens.join(small(numbered, ROW_BYTES * self.n_terms + (letters or 0)), "word")
