@@ -28,7 +28,8 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     if spark.sparkContext.getCheckpointDir() is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if path is None:
-            if not spark.sparkContext.master.startswith("local"):
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = tempfile.mkdtemp(prefix="catalograin-")
         spark.sparkContext.setCheckpointDir(path)
