@@ -13,6 +13,7 @@ from .ngram_join import ngram_join
 from .packing import pack_documents
 from .sharding import shard_documents
 from .urlfilter import Rule, judge_urls
+from .urlfilter import oracle as url_oracle
 
 PACK_TOKENIZER = "word_bpe_49k.json"
 COUNT_PIECES = "piece_bpe_32k.model"
@@ -88,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": line_dedup.ORACLE,
         "op2_benchmark_decontamination": decontaminate.ORACLE,
         "op5_ngram_jaccard_join": NGRAM_ORACLE,
+        "op7_url_filters": url_oracle(URL_RULES),
     }

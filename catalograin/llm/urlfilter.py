@@ -15,7 +15,10 @@ ROUNDS = 12
 #: A host is blocked when its distrust exceeds its trust by as much as a host has half of whose pages rules block.
 THRESHOLD = 0.5
 BROADCAST_ROWS = 1_000_000
-_LINK = r"(?i)\bhref\s*=\s*[\"']?\s*[a-z][a-z0-9+.-]*://([^/?#\"'\s<>]+)"
+#: The host of an absolute link, with its scheme or with that of its page.
+_LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s<>]+)"
+#: What is no markup of the page itself.
+_ASIDE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>"
 
 
 @dataclass(frozen=True)
@@ -58,8 +61,9 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """(source, target) pairs of different hosts, from `pages(host, html)`: a page's absolute links."""
-    links = pages.where("host <> ''").select(F.col("host").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)))).alias("target"))
+    """(source, target) pairs of different hosts, from `pages(host, html)`: a page's absolute links, comments and scripts aside."""
+    markup = F.when(F.contains("html", F.lit("//")), F.regexp_replace("html", _ASIDE, " ")).otherwise("")  # without, no link is absolute
+    links = pages.where("host <> ''").select(F.col("host").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all(markup, F.lit(_LINK), F.lit(1)))).alias("target"))
     return links.select("source", lower_ascii(F.col("target")).alias("target")).where("source <> target").distinct()
 
 
@@ -99,6 +103,7 @@ def host_scores(pages: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING
 def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """Per row: page_id, host, path, rule (null if none fits), verdict (`allow` or `block`).
 
+    Equal trust and distrust allow; so does a host that both reach equally.
     A rule's verdict holds; otherwise the host's: `block` if its distrust exceeds its trust by (1 - damping) * threshold or more, else
     `allow`, as for hosts that no seed reaches. Null urls and those without `://` have an empty host and path and are allowed.
     Null html has no links. Repeated rows each get their result, and count in their host's shares; null ids stay; other columns of any
@@ -115,3 +120,31 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     blocked = stored(scores.where(F.col("distrust") - F.col("trust") >= (1 - damping) * threshold).select("host", F.lit("block").alias("by_host")), "blocked")
     blocked = F.broadcast(blocked) if blocked.count() <= BROADCAST_ROWS else blocked
     return rows.drop("html").join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "by_host", F.lit("allow")).alias("verdict"))
+
+
+def _spread_sql(name: str, seed: str, source: str, target: str, rounds: int, damping: float) -> str:
+    """Common table expressions <name>0 to <name><rounds> (host, score): unrolled rounds along links from source to target."""
+    out = [f"{name}s AS (SELECT host, {1 - damping} * {seed} AS score FROM h WHERE {seed} > 0)", f"{name}d AS (SELECT {source} AS host, count(*) AS degree FROM k GROUP BY 1)", f"{name}0 AS (SELECT * FROM {name}s)"]
+    for i in range(rounds):
+        handed = f"SELECT {target} AS host, {damping} * score / degree AS score FROM k JOIN {name}{i} c ON c.host = k.{source} JOIN {name}d d ON d.host = k.{source}"
+        out.append(f"{name}{i + 1} AS (SELECT host, sum(score) AS score FROM ({handed} UNION ALL SELECT * FROM {name}s) GROUP BY host)")
+    return ",\n".join(out)
+
+
+def oracle(rules: list[Rule], threshold: float = THRESHOLD, rounds: int = ROUNDS, damping: float = DAMPING) -> str:
+    """The rows of `judge_urls` in DuckDB's SQL."""
+    ordered = sorted(rules, key=lambda r: (-len(r.text), r.text))
+    fits = " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.text}'" for r in ordered)
+    says = " ".join(f"WHEN rule = '{r.text}' THEN '{r.verdict}'" for r in rules)
+    lower = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
+    link, aside = _LINK.removeprefix("(?i)").replace("'", "''"), _ASIDE.removeprefix("(?is)")
+    return f"""
+WITH p AS (SELECT page_id, html, translate(CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://([^/?#]*)', 1, 's') ELSE '' END, {lower}) AS host, CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path FROM pages),
+r AS (SELECT *, CASE WHEN host IS NULL THEN NULL {fits} END AS rule FROM p), v AS (SELECT *, CASE {says} END AS said FROM r),
+h AS (SELECT host, avg(CASE WHEN said = 'allow' THEN 1.0 ELSE 0.0 END) AS allow, avg(CASE WHEN said = 'block' THEN 1.0 ELSE 0.0 END) AS block FROM v WHERE host <> '' GROUP BY host),
+k AS (SELECT DISTINCT source, target FROM (SELECT host AS source, translate(unnest(regexp_extract_all(regexp_replace(html, '{aside}', ' ', 'gis'), '{link}', 1, 'i')), {lower}) AS target FROM v WHERE host <> '') WHERE source <> target),
+{_spread_sql("t", "allow", "source", "target", rounds, damping)},
+{_spread_sql("x", "block", "target", "source", rounds, damping)},
+b AS (SELECT coalesce(t.host, x.host) AS host FROM t{rounds} t FULL JOIN x{rounds} x ON t.host = x.host WHERE coalesce(x.score, 0) - coalesce(t.score, 0) >= {(1 - damping) * threshold})
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(said, CASE WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM v
+"""

@@ -1,6 +1,6 @@
 import pytest
 
-from catalograin.llm.urlfilter import Rule, host_scores, judge_urls, propagate
+from catalograin.llm.urlfilter import Rule, host_links, host_scores, judge_urls, propagate
 
 RULES = [Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block", "example.com/de/"), Rule("allow", "org/fr/")]
 
@@ -32,6 +32,19 @@ def test_distrust_runs_against_links_and_trust_along_them(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
 
 
+def test_links_that_count(spark):
+    html = """<a href="//Spam.net/x">a</a><a href=https://two.com>b</a><!-- <a href="https://no.com/"> --><script>x='<a href="https://never.com/">'</script><a href="/own//path">c</a><a href='HTTPS://two.com/z'>d</a>"""
+    links = host_links(spark.createDataFrame([("me.com", html), ("me.com", html), ("two.com", '<a href="https://two.com/self">'), ("", html)], "host string, html string"))
+    assert sorted(map(tuple, links.collect())) == [("me.com", "spam.net"), ("me.com", "two.com")]
+
+
+def test_repeated_rows_null_ids_and_ties(spark):
+    rows = [(None, "http://farm.com/", '<a href="http://spam.net/">'), (None, "http://farm.com/", '<a href="http://spam.net/">'), (7, "http://spam.net/", ""), (8, "http://both.com/", '<a href="http://spam.net/">'), (9, "http://x.org/fr/", '<a href="http://both.com/">')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r["page_id"] or 0, r["host"], r["verdict"]) for r in judge_urls(pages, RULES).collect()))
+    assert got == [(0, "farm.com", "allow"), (0, "farm.com", "allow"), (7, "spam.net", "block"), (8, "both.com", "allow"), (9, "x.org", "allow")]
+
+
 def test_pagerank_against_plain_iteration(spark):
     links = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("d", "a")]
     got = {r["host"]: r["score"] for r in propagate(spark.createDataFrame(links, "source string, target string"), spark.createDataFrame([("a", 1.0), ("d", 0.5)], "host string, seed double"), 5, 0.8).collect()}
