@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import stored
+from .storage import small, stored
 from .wordbytes import blocks, mix, runs
 
-#: Ids that a broadcast may hold (16 MB); beyond, the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: What a row of a few longs takes in a broadcast.
+ROW_BYTES = 80
 BLOCK_SHINGLES = 2_000_000
 
 
@@ -301,7 +301,7 @@ def _joined(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     # 3. their whole sets
     n_left = left.count()
     chosen = left.select(F.col("at.doc_id").alias("rep"), F.col("at.th").alias("rep_th"), "f1", "f2", "cls")
-    texts = docs.join(F.broadcast(chosen) if n_left <= BROADCAST_ROWS else chosen, docs.doc_id.eqNullSafe(chosen.rep) & (docs.th == chosen.rep_th))
+    texts = docs.join(small(chosen, ROW_BYTES * n_left), docs.doc_id.eqNullSafe(chosen.rep) & (docs.th == chosen.rep_th))
     sets = stored(texts.select("text", "f1", "f2", "cls").mapInArrow(_batched(_wanted_sets(width)), "cls long, n long, h long"), "tokens")
     frequent = sets.groupBy("h").agg(F.count("*").alias("df"), F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("h", "df")
     weighed = sets.join(frequent, "h").groupBy("cls", "n").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("t"))
@@ -328,11 +328,10 @@ def _joined(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     ids = classes.join(found, classes.cls == found.node, "left").select("f1", "f2", "rep", F.coalesce("root", "cls").alias("root"))
     smallest = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = ids.join(smallest, "root").select("f1", "f2", "root", "component_id")
-    return (
-        rows.select("doc_id", "th", "n_shingles", "f1", "f2")
-        .join(named, ["f1", "f2"], "left")
-        .select("doc_id", "th", "n_shingles", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    # texts without shingles are linked with nothing, so they need no join, in which they all would have one key
+    linked = rows.where("n_shingles > 0").select("doc_id", "th", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
+    alone = rows.where("n_shingles = 0").select("doc_id", "th", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    return linked.select("doc_id", "th", "n_shingles", "root", "component_id").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -346,7 +345,7 @@ def keep_one(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "
     n, most = stay.agg(F.count("*"), F.max("n")).first()
     ids = stay.select(F.col("doc_id").alias("kept id"), F.col("th").alias("kept text"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("kept id")) & (_text_hash(text_col) == F.col("kept text"))
-    kept = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, same, "left_semi")
+    kept = docs.join(small(ids, ROW_BYTES * n), same, "left_semi")
     return kept.dropDuplicates([id_col, text_col]) if most and most > 1 else kept
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import small, stored
 
 BINS = 512
 #: A cut may miss its share of a leaf's bytes by this part of a shard.
@@ -17,7 +17,6 @@ TOLERANCE = 1e-4
 MISS = 5e-3
 #: Chunks in which a shard's slots are numbered side by side.
 MAX_CHUNKS = 20_000
-BROADCAST_ROWS = 1_000_000
 
 
 @dataclass
@@ -171,5 +170,5 @@ def _with_slots(placed: DataFrame, shards: int) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # at most shards * MAX_CHUNKS rows
     place = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("uid")) - 1
-    numbered = chunked.withColumn("place", place).join(F.broadcast(offsets) if shards * chunks <= BROADCAST_ROWS else offsets, ["shard", "chunk"])
+    numbered = chunked.withColumn("place", place).join(small(offsets, 48 * shards * chunks), ["shard", "chunk"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -8,13 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import small, stored
 
 DAMPING = 0.85
 ROUNDS = 12
 #: A host is blocked when its distrust exceeds its trust by as much as a host has half of whose pages rules block.
 THRESHOLD = 0.5
-BROADCAST_ROWS = 1_000_000
 #: The host of an absolute link, with its scheme or with that of its page.
 _LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s<>]+)"
 #: What is no markup of the page itself.
@@ -118,7 +117,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     rows = rows.withColumn("verdict", verdict)
     scores = host_scores(rows, rounds, damping)
     blocked = stored(scores.where(F.col("distrust") - F.col("trust") >= (1 - damping) * threshold).select("host", F.lit("block").alias("by_host")), "blocked")
-    blocked = F.broadcast(blocked) if blocked.count() <= BROADCAST_ROWS else blocked
+    n, letters = blocked.agg(F.count("*"), F.sum(F.octet_length("host"))).first()
+    blocked = small(blocked, 64 * n + (letters or 0))
     return rows.drop("html").join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "by_host", F.lit("allow")).alias("verdict"))
 
 
