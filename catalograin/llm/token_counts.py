@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE_WORDS = 200_000
+#: Nodes of a task's trie, of about 200 bytes.
+MAX_NODES = 500_000
 BLOCK_CHARS = 1_500_000
 SPACE = "▁"
 #: Score of a code point that no piece covers, which counts as `n` byte tokens; below that of any piece.
@@ -30,40 +32,58 @@ def unigram_pieces(model_path: str) -> dict[str, float]:
 class PreTokenTrie:
     """Best unigram segmentations of pre-tokens, as counts.
 
-    Pre-tokens are inserted in sorted order, so the path from the root to the last one is all of the trie that a later one can
-    share: for each prefix on it, the best score of its segmentations and their least number of tokens among equals
-    are kept, and computed once for all pre-tokens below. Terminal counts are kept for at most CACHE_WORDS pre-tokens.
+    A node stands for a prefix and holds the best score of its segmentations and their least number of tokens among equals, computed once
+    for all pre-tokens below, of whatever text. Terminal counts are kept for at most CACHE_WORDS pre-tokens, and the trie starts
+    anew beyond MAX_NODES nodes, so that a task's memory is bounded.
     """
 
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
         self.longest = max(map(len, pieces), default=1)
         self.counts: dict[str, int] = {}
-        self.nodes = 0
+        self._reset()
+
+    def _reset(self) -> None:
+        self.below: dict[int, int] = {}  # a node's number and a code point, to the node below
+        self.best, self.count = [0.0], [0]
+
+    @property
+    def nodes(self) -> int:
+        return len(self.best) - 1
 
     def insert(self, words: list[str]) -> None:
         """Store the terminal counts of pre-tokens."""
         pieces, longest, get = self.pieces, self.longest, self.pieces.get
-        path, best, count = "", [0.0], [0]
+        path, at, best, count = "", [0], [0.0], [0]  # of the pre-token before: in sorted order most of the way down is the same
         for word in sorted(words):
+            if len(self.best) > MAX_NODES:
+                self._reset()
+                path, at, best, count = "", [0], [0.0], [0]
+            below, bests, counts = self.below, self.best, self.count
             marked = SPACE + word
             shared, most = 0, min(len(path), len(marked))
             while shared < most and path[shared] == marked[shared]:
                 shared += 1
-            del best[shared + 1 :], count[shared + 1 :]
+            del at[shared + 1 :], best[shared + 1 :], count[shared + 1 :]
             for end in range(shared + 1, len(marked) + 1):
                 code = ord(marked[end - 1])
-                top = best[end - 1] + UNKNOWN_SCORE
-                n = count[end - 1] + (1 if code < 0x80 else 2 if code < 0x800 else 3 if code < 0x10000 else 4)
-                for begin in range(max(0, end - longest), end):
-                    score = get(marked[begin:end])
-                    if score is not None:
-                        score += best[begin]
-                        if score > top or (score == top and count[begin] + 1 < n):
-                            top, n = score, count[begin] + 1
-                best.append(top)
-                count.append(n)
-            self.nodes += len(marked) - shared
+                key = at[-1] << 21 | code
+                node = below.get(key)
+                if node is None:
+                    top = best[end - 1] + UNKNOWN_SCORE
+                    n = count[end - 1] + (1 if code < 0x80 else 2 if code < 0x800 else 3 if code < 0x10000 else 4)
+                    for begin in range(max(0, end - longest), end):
+                        score = get(marked[begin:end])
+                        if score is not None:
+                            score += best[begin]
+                            if score > top or (score == top and count[begin] + 1 < n):
+                                top, n = score, count[begin] + 1
+                    node = below[key] = len(bests)
+                    bests.append(top)
+                    counts.append(n)
+                at.append(node)
+                best.append(bests[node])
+                count.append(counts[node])
             path = marked
             self.counts[word] = count[-1]
 

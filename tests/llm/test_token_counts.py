@@ -32,6 +32,18 @@ def test_shared_prefixes_are_computed_once():
     assert trie.nodes == len(SPACE + "abc") + 2
 
 
+def test_the_trie_lasts_beyond_a_block(monkeypatch):
+    pieces = {c: -1.0 for c in "abcde" + SPACE} | {"ab": -1.2, "cd": -1.1}
+    trie = PreTokenTrie(pieces)
+    list(trie.totals(["abcd"]))
+    before = trie.nodes
+    assert [list(trie.totals([t])) for t in ("abce", "abcd abc")] == [[(1, viterbi(pieces, "abce"))], [(2, viterbi(pieces, "abcd") + viterbi(pieces, "abc"))]]
+    assert trie.nodes == before + 1
+    monkeypatch.setattr("catalograin.llm.token_counts.MAX_NODES", 3)
+    small = PreTokenTrie(pieces)
+    assert list(small.totals(["abcd abce dab", "cab abcd"])) == [(3, sum(viterbi(pieces, w) for w in ("abcd", "abce", "dab"))), (2, sum(viterbi(pieces, w) for w in ("cab", "abcd")))]
+
+
 def test_full_cache_starts_anew(monkeypatch):
     monkeypatch.setattr("catalograin.llm.token_counts.CACHE_WORDS", 3)
     trie = PreTokenTrie({c: -1.0 for c in "abcdef" + SPACE})
