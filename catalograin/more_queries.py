@@ -123,7 +123,6 @@ def answers_mended(spark, sf_dir):
 
 # Change detection ---------------------------------------------------------------------------------------------------------------------
 
-_VOLATILE = " OR ".join(f"regexp_matches(x, '{p}', 'i')" for p in (q.replace("(?:", "(").replace("'", "''") for q in change.VOLATILE))
 _PAGE_LINES = f"p AS (SELECT p_partkey AS id, [p_name, CASE p_partkey % 6 WHEN 0 THEN (p_size || ' days ago') WHEN 1 THEN 'Pregleda: ' || p_size WHEN 2 THEN 'Featured' WHEN 3 THEN 'great deal' WHEN 4 THEN 'Updated today' ELSE 'A day in ' || p_type END, 'Size', CAST(p_size AS VARCHAR), 'Views', '1.' || p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Obnovljen:' ELSE 'Since' END, '12.10.2026'] AS l FROM part)"
 
 
@@ -844,3 +843,35 @@ def subscriber_events(spark, sf_dir):
 def retired_channels(spark, sf_dir):
     events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("channel"), "ts")
     return feed.retired(events, F.lit(events.agg(F.max("ts")).first()[0]), "10 minutes")
+
+
+# Reuse --------------------------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT o_custkey % 5 AS collection_id, o_orderpriority AS query, arg_max(CAST(o_orderkey AS VARCHAR), o_orderkey) AS plan, max(o_orderkey) AS used_at FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2),
+a AS (SELECT query, arg_max(plan, used_at) AS plan FROM c GROUP BY query) SELECT collection_id, query, plan, CASE WHEN collection_id = 3 THEN 2 ELSE 1 END AS hits, CASE WHEN collection_id = 3 THEN 99999999 ELSE used_at END AS used_at FROM c UNION ALL SELECT 9, query, plan, 1, 99999999 FROM a""")
+def plan_cache_used(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    cache = orders.groupBy((F.col("o_custkey") % 5).alias("collection_id"), F.col("o_orderpriority").alias("query"), F.lit("sig").alias("signature")).agg(
+        F.max_by(F.col("o_orderkey").cast("string"), "o_orderkey").alias("plan"), F.lit(1).cast("long").alias("hits"), F.max("o_orderkey").alias("used_at")
+    )
+    wanted = cache.select("query", "signature").distinct().withColumn("collection_id", F.explode(F.array(*(F.lit(c).cast("long") for c in (3, 9)))))
+    return state.used_plans(cache, wanted, F.lit(99999999).cast("long")).select("collection_id", "query", "plan", "hits", "used_at")
+
+
+@query(f"WITH {ITEMS} SELECT id, 'size' AS key, CASE WHEN id % 3 = 0 THEN 'user' ELSE 'web' END AS origin FROM items WHERE id % 2 = 0 OR id % 3 = 0")
+def sources_set(spark, sf_dir):
+    items = items_of_parts(spark, sf_dir)
+    row = lambda where, origin, ordinal: items.where(where).select("id", F.lit("size").alias("key"), F.lit(ordinal).alias("ordinal"), F.lit(origin).alias("origin"), F.lit(None).cast("string").alias("url"), F.lit(1.0).alias("confidence"))
+    old = row("id % 2 = 0", "web", 0).drop("ordinal")
+    return state.set_sources(old, row("id % 3 = 0", "web", 0).unionByName(row("id % 3 = 0", "user", 1))).select("id", "key", "origin")
+
+
+@query("WITH r AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, doc_id % 4 <> 0 AND (doc_id % 3 <> 0 OR doc_id % 9 = 0) AS ok FROM documents) SELECT r.doc_id, m.reused FROM r JOIN (SELECT h, max(doc_id) AS reused FROM r WHERE ok GROUP BY h) m USING (h)")
+def reuse_visible(spark, sf_dir):
+    """Every document asks; a quarter of the rows was imported, a third read in browsers, of which a third was the asking user's."""
+    k = F.col("doc_id")
+    docs = _table(spark, sf_dir, "documents").select(k.alias("id"), F.lit("u").alias("url"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), k.alias("indexed_at"), F.lit(None).cast("map<string,string>").alias("specs"))
+    items = docs.withColumns({"imported": F.col("id") % 4 == 0, "browser_user": F.when(F.col("id") % 3 == 0, F.when(F.col("id") % 9 == 0, 7).otherwise(8))})
+    found = ingest.reusable(docs, items, viewer_id=7).select("content_hash", F.col("id").alias("reused"))
+    return docs.select(F.col("id").alias("doc_id"), "content_hash").join(found, "content_hash").select("doc_id", "reused")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ingest import visible
+
 CONFIDENT = 0.6
 OTHER_BRAND_CAP = 0.3
 SIBLING_CONFIDENCE = 0.95
@@ -41,11 +43,11 @@ def cached(wanted: DataFrame, facts: DataFrame, aliases: DataFrame, synonyms: Da
 
 
 def sibling_values(items: DataFrame, aliases: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """(canonical, key, value, url, confidence): a value stated on the page of some listing of the product.
+    """(canonical, key, value, url, confidence): a value stated on the page of some listing of the product, of those that nobody imported or read in a browser of their own.
 
     Zero, blank text and values that came from elsewhere (sources: id, key) don't count; the oldest listing's is taken.
     """
-    named = items.join(aliases, "identity", "left").withColumn("canonical", F.coalesce("canonical", "identity")).where(F.coalesce("canonical", F.lit("")) != "")
+    named = visible(items).join(aliases, "identity", "left").withColumn("canonical", F.coalesce("canonical", "identity")).where(F.coalesce("canonical", F.lit("")) != "")
     cells = named.select("id", "canonical", "url", F.explode("specs").alias("key", "value"))
     stated = cells.where(F.col("value.flag").isNotNull() | (F.coalesce(F.col("value.num"), F.lit(0.0)) != 0) | (F.btrim(F.coalesce("value.txt", F.lit(""))) != ""))
     if sources is not None:

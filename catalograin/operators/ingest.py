@@ -80,8 +80,18 @@ def render_verdict(share: str = "removed_share"):
     return F.when(F.col(share) > REJECT_SHARE, "reject").when(F.col(share) > RELOAD_SHARE, "reload").otherwise("take")
 
 
-def reusable(wanted: DataFrame, items: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """For each `wanted(url, content_hash)` the newest extraction of the same page elsewhere: its id and the values its page states."""
+def visible(items: DataFrame, viewer_id: int | None = None) -> DataFrame:
+    """Items whose page anyone may rely on: not `imported`, and of those read in someone's own browser (`browser_user`) only the viewer's. Columns that are absent say nothing."""
+    if "imported" in items.columns:
+        items = items.where(~F.coalesce("imported", F.lit(False)))
+    if "browser_user" in items.columns:
+        items = items.where(F.col("browser_user").isNull() | (F.col("browser_user") == F.lit(viewer_id)))
+    return items
+
+
+def reusable(wanted: DataFrame, items: DataFrame, sources: DataFrame | None = None, viewer_id: int | None = None) -> DataFrame:
+    """For each `wanted(url, content_hash)` the newest `visible` extraction of the same page elsewhere: its id and the values its page states."""
+    items = visible(items, viewer_id)
     best = items.where("content_hash IS NOT NULL").groupBy("url", "content_hash").agg(F.max_by(F.struct("id", "specs"), F.struct("indexed_at", "id")).alias("b"))
     found = wanted.select("url", "content_hash").distinct().join(best, ["url", "content_hash"]).select("url", "content_hash", "b.id", "b.specs")
     if sources is None:

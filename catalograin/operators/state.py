@@ -19,6 +19,15 @@ def cached_plans(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return found.select("collection_id", *keys, F.coalesce("own_plan", "any_plan").alias("plan"), F.col("own_plan").isNotNull().alias("own"))
 
 
+def used_plans(cache: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
+    """The cache (collection_id, query, signature, plan, hits, used_at) after `wanted` was looked up: own plans are hit once more, plans of others are copied."""
+    keys = ["collection_id", "query", "signature"]
+    found = cached_plans(wanted.select(*keys).distinct(), cache)
+    hit = found.where("own").select(*keys, F.lit(True).alias("hit"))
+    bumped = cache.join(hit, keys, "left").select(*keys, "plan", (F.col("hits") + F.when(F.col("hit"), 1).otherwise(0)).alias("hits"), F.when(F.col("hit"), now).otherwise(F.col("used_at")).alias("used_at"))
+    return bumped.unionByName(found.where("NOT own AND plan IS NOT NULL").select(*keys, "plan", F.lit(1).cast("long").alias("hits"), now.alias("used_at")))
+
+
 def slot(collection: Column, group: Column) -> Column:
     """Where a search belongs in a user's history: its collection, its group (negative), or everywhere (0)."""
     return F.coalesce(collection, -group, F.lit(0))
@@ -51,6 +60,12 @@ def set_values(items: DataFrame, values: DataFrame) -> DataFrame:
     return joined.select(*(F.when(F.col("new").isNull(), F.col("specs")).otherwise(put).alias(c) if c == "specs" else F.col(c) for c in items.columns))
 
 
+def set_sources(sources: DataFrame, values: DataFrame) -> DataFrame:
+    """Sources (id, key, origin, url, confidence) after `values(id, key, ordinal, origin, url, confidence)` were set: the last of each replaces what was there."""
+    last = values.groupBy("id", "key").agg(F.max_by(F.struct("origin", "url", "confidence"), "ordinal").alias("s")).select("id", "key", "s.*")
+    return sources.join(last.select("id", "key"), ["id", "key"], "left_anti").select("id", "key", "origin", "url", "confidence").unionByName(last)
+
+
 def without_key(items: DataFrame, key: str, collections: list[int] | None = None) -> DataFrame:
     """`items` without a key, in some collections or all: what a changed focus does to its answers."""
     dropped = F.map_filter("specs", lambda k, _: k != key)

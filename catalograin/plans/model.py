@@ -65,6 +65,8 @@ class Request:
     offset: int = 0
     unknown_offset: int = 0
     include_gone: bool = False
+    facets: bool = False
+    enrich: bool = False
 
     def __post_init__(self):
         if not 1 <= self.limit <= 200 or self.offset < 0 or self.unknown_offset < 0:

@@ -368,10 +368,15 @@ def estimated_cost(spark, sf_dir):
 _TOKENS = r"list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '[^\p{L}\p{N}.,]+'), lambda w: trim(w, '.,')), lambda w: w <> '')))"
 
 
-@query(f"SELECT doc_id, sha256(array_to_string({_TOKENS}, ' ')) AS fingerprint FROM documents WHERE NOT regexp_matches(lower(text), '(view|update|follow|ago|heute|today|gestern|favo|pregled|refresh|renew)')")
+_SQL_VOLATILE = " OR ".join("regexp_matches(x, '{}', 'i')".format(p.replace("(?:", "(").replace("'", "''")) for p in change.VOLATILE)
+_SQL_STABLE = f"""list_filter(list_transform(range(1, len(l) + 1), lambda i: struct_pack(x := l[i], above := CASE WHEN i > 1 THEN l[i - 1] ELSE '' END)), lambda p: NOT regexp_matches(p.x, '{change.VOLATILE_LABEL}', 'i')
+  AND NOT (regexp_matches(p.above, '{change.VOLATILE_LABEL}', 'i') AND length(p.x) <= 40 AND regexp_matches(p.x, '{change.VALUE}', 'i')) AND NOT (length(p.x) <= 120 AND ({_SQL_VOLATILE.replace("(x, ", "(p.x, ")})))"""
+
+
+@query(rf"""WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, array_to_string(list_transform({_SQL_STABLE}, lambda p: p.x), chr(10)) AS text FROM d) SELECT doc_id, sha256(array_to_string({_TOKENS}, ' ')) AS fingerprint FROM s UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL""")
 def fingerprint_tokens(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where(~F.lower("text").rlike("(view|update|follow|ago|heute|today|gestern|favo|pregled|refresh|renew)"))
-    return docs.select("doc_id", change.fingerprint(F.col("text")).alias("fingerprint"))
+    return _table(spark, sf_dir, "documents").select("doc_id", change.fingerprint(F.col("text")).alias("fingerprint"))
 
 
 @query("WITH r AS (SELECT doc_id, sha256(text) AS h FROM documents) SELECT doc_id, max(other) AS reused FROM (SELECT a.doc_id, b.doc_id AS other FROM r a JOIN r b ON a.h = b.h AND b.doc_id % 2 = 1 WHERE a.doc_id % 2 = 0) GROUP BY doc_id")
