@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: What a broadcast may hold, as its rows lie in memory; beyond, a join shuffles.
 BROADCAST_BYTES = 64 << 20
 _KEY = "spark.checkpoint.dir"
+#: Spark's own setting: shuffle files go when an execution ends, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,10 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read again, so lost executors cost no recomputation."""
+    """`df` written once as Parquet in the shared folder and read again, so lost executors cost no recomputation.
+
+    The shuffle files of the write are not needed again and go with its end, so a chain of tables needs the disk of its largest step only.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
