@@ -136,8 +136,8 @@ def windows(benchmark: DataFrame, width: int, item_col: str = "item_id", text_co
     return items.select("item", F.slice("w", F.col("at") + 1, F.lit(width)).alias("words")).distinct()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", within: int = WITHIN) -> DataFrame:
-    """Per row: the id, n_words, n_hit (words in any occurrence of a window), n_items, items_sha256, contaminated, n_near.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", within: int | None = None) -> DataFrame:
+    """Per row: the id, n_words, n_hit (words in any occurrence of a window), n_items, items_sha256, contaminated, and n_near if `within` is given (WITHIN is usual).
 
     n_near is the number of items with a window all of whose words stand, in any order, at most `within` words from an occurrence of
     the one of them that is rarest in `docs` (of equally rare ones, the first of the window).
@@ -194,18 +194,8 @@ dw AS (SELECT doc_id, s, k, array_to_string(w[s + 1 : s + k], ' ') AS p
   FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS s FROM d, ks WHERE len(w) >= k)),
 m AS (SELECT dw.doc_id, dw.s, dw.k, bw.item FROM dw JOIN bw ON dw.k = bw.k AND dw.p = bw.p),
 h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS pos FROM m) GROUP BY doc_id),
-i AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id),
-ps AS (SELECT DISTINCT p FROM bw),
-pt AS (SELECT p, unnest(string_split(p, ' ')) AS w, unnest(range(0, len(string_split(p, ' ')))) AS off FROM ps),
-po AS (SELECT doc_id, w, pos FROM (SELECT doc_id, unnest(w) AS w, unnest(range(0, len(w))) AS pos FROM d) WHERE w IN (SELECT w FROM pt)),
-fr AS (SELECT w, count(*) AS n FROM po GROUP BY w),
-te AS (SELECT p, w, min((coalesce(n, 0), off)) AS place FROM pt LEFT JOIN fr USING (w) GROUP BY p, w),
-fi AS (SELECT p, arg_min(w, place) AS w, count(*) AS n_terms FROM te GROUP BY p),
-pl AS (SELECT p, w AS rarest, n_terms, doc_id, pos AS at FROM fi JOIN po USING (w)),
-nr AS (SELECT DISTINCT p, doc_id FROM pl WHERE n_terms = 1 UNION SELECT DISTINCT p, doc_id FROM (SELECT pl.p, pl.doc_id, pl.at, pl.n_terms FROM pl JOIN te ON te.p = pl.p AND te.w <> pl.rarest
-  JOIN po ON po.doc_id = pl.doc_id AND po.w = te.w AND po.pos BETWEEN pl.at - 15 AND pl.at + 15 GROUP BY ALL HAVING count(DISTINCT te.w) = pl.n_terms - 1)),
-ne AS (SELECT nr.doc_id, count(DISTINCT item) AS n_near FROM nr JOIN bw USING (p) GROUP BY nr.doc_id)
+i AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
-  sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated, coalesce(ne.n_near, 0) AS n_near
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN ne USING (doc_id)
+  sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
