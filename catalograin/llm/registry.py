@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extraction, fim, langid, line_dedup, quality, token_counts
+from . import decontaminate, extraction, fim, langid, line_dedup, quality, token_counts, vector_codes
 from .ngram_join import ORACLE as NGRAM_ORACLE
 from .ngram_join import ngram_join
 from .packing import pack_documents
@@ -69,6 +69,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(PACK_TOKENIZER))
 
 
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.fill_in_middle(_table(spark, sf_dir, "documents")))
 
@@ -85,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_sharding": op9_sharding,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op12_vector_code_compression": op12_vector_code_compression,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
 
@@ -95,5 +100,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_benchmark_decontamination": decontaminate.ORACLE,
         "op5_ngram_jaccard_join": NGRAM_ORACLE,
         "op7_url_filters": url_oracle(URL_RULES),
+        "op12_vector_code_compression": vector_codes.oracle(),
         "op13_fill_in_middle": fim.ORACLE,
     }
