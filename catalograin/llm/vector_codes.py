@@ -215,8 +215,8 @@ def encode(vectors: DataFrame, books: Codebooks, scale: int = 256, id_col: str =
     """
     parts = len(books.entries)
     kept, _ = _kept(vectors, parts, id_col, vector_col, label_col)
-    if not books.entries[0]:
-        kept = kept.limit(0)
+    if not books.entries[0]:  # nothing was there to learn from
+        return kept.limit(0).select("vec_id", "label", F.lit("").alias("code"), F.lit(0).cast("long").alias("error"))
     types = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
     return kept.select("v", "vec_id", "label").mapInArrow(_codes(books.arrays(), scale), f"vec_id {types['vec_id']}, label {types['label']}, code string, error long")
 
