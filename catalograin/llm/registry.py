@@ -14,6 +14,8 @@ from .packing import pack_documents
 from .sharding import shard_documents
 from .urlfilter import Rule, judge_urls
 from .urlfilter import oracle as url_oracle
+from .vector_join import ORACLE as VECTOR_ORACLE
+from .vector_join import near_vectors
 
 PACK_TOKENIZER = "word_bpe_49k.json"
 COUNT_PIECES = "piece_bpe_32k.model"
@@ -69,6 +71,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(PACK_TOKENIZER))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
 
@@ -89,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_sharding": op9_sharding,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_embedding_near_dedup": op11_embedding_near_dedup,
         "op12_vector_code_compression": op12_vector_code_compression,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
@@ -100,6 +107,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_benchmark_decontamination": decontaminate.ORACLE,
         "op5_ngram_jaccard_join": NGRAM_ORACLE,
         "op7_url_filters": url_oracle(URL_RULES),
+        "op11_embedding_near_dedup": VECTOR_ORACLE,
         "op12_vector_code_compression": vector_codes.oracle(),
         "op13_fill_in_middle": fim.ORACLE,
     }
