@@ -15,7 +15,7 @@ def next_control(controls: DataFrame, visited: DataFrame) -> DataFrame:
     """(page_id, pos, href, score): the control of each page that looks most like one to the next page; pages without such one have no row.
 
     controls: (page_id, here, pos, rel, label, cls, href, disabled); visited: (page_id, url). Ten for `rel`, five for label or class, less as much for the
-    previous page; minus eight for a page walked before, fifty if disabled; of equal ones the first. A score below -1 is none. href is null
+    previous page; minus eight for a page walked before, fifty if disabled, a hundredth for each control before it. A score below -1 is none. href is null
     where the control is no link to another page: it must be pressed.
     """
     points = lambda c, n: F.when(F.coalesce(c, F.lit(False)), F.lit(float(n))).otherwise(F.lit(0.0))
@@ -28,7 +28,7 @@ def next_control(controls: DataFrame, visited: DataFrame) -> DataFrame:
         points(like("rel", r"\bnext\b"), 10) - points(like("rel", r"\bprev"), 10)
         + points(F.coalesce(like("label", NEXT), F.lit(False)) | F.coalesce(like("cls", "next"), F.lit(False)), 5)
         - points(F.coalesce(like("label", PREVIOUS), F.lit(False)) | F.coalesce(like("cls", "prev"), F.lit(False)), 5)
-        - points(F.col("walked") & web & (F.col("link") != F.col("at")), 8) - points(F.col("disabled"), 50)
+        - points(F.col("walked") & web & (F.col("link") != F.col("at")), 8) - points(F.col("disabled"), 50) - F.col("pos") / F.lit(100.0)
     )
     target: Column = F.when(web & (F.col("link") != F.col("at")), F.col("href"))
     best = F.max_by(F.struct("pos", target.alias("href"), "score"), F.struct("score", -F.col("pos")))

@@ -136,17 +136,22 @@ def prompt_text(html: Column, head: int = 160_000, tail: int = 40_000) -> Column
     return F.when(F.length(plain) <= head + tail, plain).otherwise(F.concat(F.substring(plain, 1, head), F.lit(" … "), F.right(plain, F.lit(tail))))
 
 
-def card_url_scores(links: DataFrame, pattern: str | None = None) -> DataFrame:
-    """(page_id, card, url, score): how likely each link of a card is the item's own; the best is the item.
+def card_url_scores(links: DataFrame, pattern: str | None = None, cards: DataFrame | None = None) -> DataFrame:
+    """(page_id, card, url, score, first): how likely each link of a card is the item's own; the best is the item. first: its first place in the card.
 
-    links: (page_id, card, pos, url, in_title, has_image). One each, two in the title, one with an image, a half for the first, a hundred for
-    the pattern of item URLs, minus five for links shared by a third of the page's cards (three at least).
+    links: (page_id, card, pos, url, in_title, has_image). Each time that a link stands in the card counts one, two more in a title, one more with an image,
+    a half more if nothing stands before it. Once a link, a hundred for the pattern of item URLs, minus five if it stands in a third
+    of the page's cards (three at least). cards: (page_id, cards), how many cards a page has; without it, those with links.
     """
-    cards = links.groupBy("page_id").agg(F.count_distinct("card").alias("cards"))
-    shared = links.groupBy("page_id", "url").agg(F.count_distinct("card").alias("in_cards"))
-    rows = links.join(shared, ["page_id", "url"]).join(cards, "page_id")
+    if cards is None:
+        cards = links.groupBy("page_id").agg(F.count_distinct("card").alias("cards"))
     point = lambda c, n: F.when(c, F.lit(float(n))).otherwise(F.lit(0.0))
-    score = F.lit(1.0) + point(F.col("in_title"), 2) + point(F.col("has_image"), 1) + point(F.col("pos") == 0, 0.5) - point(F.col("in_cards") >= F.greatest(F.lit(3.0), 0.3 * F.col("cards")), 5)
+    own = F.lit(1.0) + point(F.col("in_title"), 2) + point(F.col("has_image"), 1)
+    first = links.groupBy("page_id", "card").agg(F.min("pos").alias("start"))
+    each = links.withColumn("own", own).groupBy("page_id", "card", "url").agg(F.sum("own").alias("own"), F.min("pos").alias("first"))
+    shared = each.groupBy("page_id", "url").agg(F.count("*").alias("in_cards"))
+    rows = each.join(first, ["page_id", "card"]).join(shared, ["page_id", "url"]).join(cards, "page_id")
+    score = F.col("own") + point(F.col("first") == F.col("start"), 0.5) - point(F.col("in_cards") >= F.greatest(F.lit(3.0), F.ceil(0.3 * F.col("cards"))), 5)
     if pattern:
         score = score + point(F.col("url").rlike(pattern), 100)
-    return rows.withColumn("score", score).groupBy("page_id", "card", "url").agg(F.sum("score").alias("score"))
+    return rows.select("page_id", "card", "url", score.alias("score"), "first")
