@@ -783,7 +783,7 @@ def card_links(spark, sf_dir):
     p = _table(spark, sf_dir, "pages")
     row = lambda pos, url, title, image: p.select("page_id", F.lit(0).alias("card"), F.lit(pos).alias("pos"), url.alias("url"), F.lit(title).alias("in_title"), F.lit(image).alias("has_image"))
     links = row(0, F.concat(F.lit("https://s.example/i"), "page_id"), True, True).unionByName(row(1, F.lit("https://s.example/more"), False, False))
-    return state.card_url_scores(links).withColumn("score", F.col("score").cast("double"))
+    return state.card_url_scores(links).drop("first")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 4 = 1 THEN 0 ELSE 1 END AS pos, CASE page_id % 4 WHEN 0 THEN 'https://s.example/?p=3' WHEN 1 THEN NULL END AS href FROM pages WHERE page_id % 4 IN (0, 1)")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import with_checkpoints
-from ..sources.tree import VOID, absolute, around, holds, links, marked, members, seen, texts
+from ..sources.tree import VOID, absolute, around, holds, links, marked, members, seen, text_content, texts
 from .state import card_url_scores
 
 TITLES = "h1, h2, h3, h4, h5, h6, [class*=title i], [class*=name i]"
@@ -18,7 +18,7 @@ FRAMES = "nav, header, footer"
 TRAILS = '[aria-label*="breadcrumb" i], .breadcrumb, .breadcrumbs, [class*="breadcrumb" i]'
 CARD_TEXT, CARD_TITLE = 1_000, 200
 #: Words that stand beside a price. (Fixed values.)
-CURRENCIES = r"(?i)\b(KM|BAM|EUR|USD|GBP|CHF|RSD|HRK|kn|zł|Kč|Ft|lei)\b"
+CURRENCIES = r"(?i)(?<!\w)(KM|BAM|EUR|USD|GBP|CHF|RSD|HRK|kn|zł|Kč|Ft|lei)(?!\w)"
 
 
 def _is_item(url: Column, here: Column) -> Column:
@@ -73,19 +73,24 @@ def _described(nodes: DataFrame, found: DataFrame, chosen: DataFrame) -> DataFra
     return out.select("page_id", F.col("root").alias("card"), "url", F.coalesce("title", F.lit("")).alias("title"), F.substring(F.coalesce("text", F.lit("")), 1, CARD_TEXT).alias("text"), "image")
 
 
+def card_links(nodes: DataFrame, pages: DataFrame, selector: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Links inside of cards as `card_url_scores` takes them, (page_id, cards) counts, all links, and the nodes with is_card and titled."""
+    nodes = marked(marked(seen(nodes), selector, "is_card"), TITLES, "titled")
+    nodes = _once(nodes.withColumns({"in_title": F.col("titled") | around(F.col("titled")), "has_image": holds(F.col("tag") == "img")}))
+    found, boxes = links(nodes, pages), nodes.where("is_card")
+    inner = members(found.withColumn("url", _plain(F.col("href"))).where(_is_item(F.col("url"), F.col("here"))), boxes).where("root <> pos")
+    inner = inner.select("page_id", F.col("root").alias("card"), "pos", "url", "in_title", "has_image")
+    return inner, boxes.groupBy("page_id").agg(F.count("*").alias("cards")), found, nodes
+
+
 def cards(nodes: DataFrame, pages: DataFrame, selector: str, pattern: str | None = None) -> DataFrame:
     """(page_id, card, url, title, text, image) of each element that `selector` chooses and that leads to an item; pages: (page_id, url).
 
     A card that is a link itself leads there. Else the best link inside by `card_url_scores` wins, of equal ones the first.
     """
-    nodes = marked(marked(seen(nodes), selector, "is_card"), TITLES, "titled")
-    nodes = _once(nodes.withColumns({"in_title": F.col("titled") | around(F.col("titled")), "has_image": holds(F.col("tag") == "img")}))
-    found = links(nodes, pages)
-    boxes = nodes.where("is_card")
+    inner, counts, found, nodes = card_links(nodes, pages, selector)
     own = found.where("is_card").where(_is_item(F.col("href"), F.col("here"))).select("page_id", F.col("pos").alias("card"), F.col("href").alias("url"))
-    inner = members(found.withColumn("url", _plain(F.col("href"))).where(_is_item(F.col("url"), F.col("here"))), boxes).where("root <> pos")
-    inner = inner.select("page_id", F.col("root").alias("card"), "pos", "url", "in_title", "has_image")
-    scored = card_url_scores(inner, pattern, boxes.groupBy("page_id").agg(F.count("*").alias("cards")))
+    scored = card_url_scores(inner, pattern, counts)
     best = scored.groupBy("page_id", "card").agg(F.max_by("url", F.struct("score", -F.col("first"))).alias("url"))
     chosen = own.unionByName(best.join(own.select("page_id", "card"), ["page_id", "card"], "left_anti"))
     return _described(nodes, found, chosen)
@@ -106,12 +111,6 @@ def pattern_cards(nodes: DataFrame, pages: DataFrame, pattern: str) -> DataFrame
     return fitting.join(told, ["page_id", "card", "url"]).select("page_id", "card", "url", "title", "text", "image")
 
 
-def text_content(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(page_id, pos, content): all text of each root as written."""
-    inside = members(nodes.where("tag = '#text'"), roots).groupBy("page_id", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"))
-    return inside.select("page_id", F.col("root").alias("pos"), F.array_join(F.col("t.text"), "").alias("content"))
-
-
 def controls(nodes: DataFrame, pages: DataFrame, selector: str) -> DataFrame:
     """(page_id, here, pos, rel, label, cls, href, disabled) of each element that `selector` chooses, as `navigation.next_control` takes them.
 

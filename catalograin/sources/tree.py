@@ -153,10 +153,15 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 _STEP = re.compile(r"""\s*([>,])\s*|(\s+)|([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[\s*([\w:-]+)\s*(?:([*^$~]?=)\s*("[^"]*"|'[^']*'|[\w-]+)\s*(i)?\s*)?\]""")
 
 
-def _in_order():
+def in_order():
+    """A page's rows in the order of its nodes."""
     return Window.partitionBy("page_id").orderBy("pos")
 
 
+def by_card():
+    return Window.partitionBy("page_id", "card")
+
+
 def _compound(found: list[tuple]) -> Column:
     attrs, test = F.col("attrs"), F.col("tag") != "#text"
     for tag, ident, cls, name, how, value, fold in found:
@@ -204,12 +209,12 @@ def parse_selector(selector: str) -> list[list[tuple[str, list[tuple]]]]:
 
 def around(test: Column) -> Column:
     """Whether a node lies inside one that passes `test`: of those that start before it, the one that ends last has not ended. (A window by page.)"""
-    return F.coalesce(F.max(F.when(test, F.col("last"))).over(_in_order().rowsBetween(Window.unboundedPreceding, -1)) >= F.col("pos"), F.lit(False))
+    return F.coalesce(F.max(F.when(test, F.col("last"))).over(in_order().rowsBetween(Window.unboundedPreceding, -1)) >= F.col("pos"), F.lit(False))
 
 
 def holds(test: Column) -> Column:
     """Whether a node that passes `test` lies inside this one: the next such one starts before it ends. (A window by page.)"""
-    return F.coalesce(F.min(F.when(test, F.col("pos"))).over(_in_order().rowsBetween(1, Window.unboundedFollowing)) <= F.col("last"), F.lit(False))
+    return F.coalesce(F.min(F.when(test, F.col("pos"))).over(in_order().rowsBetween(1, Window.unboundedFollowing)) <= F.col("last"), F.lit(False))
 
 
 def marked(nodes: DataFrame, selector: str, name: str) -> DataFrame:
@@ -268,9 +273,15 @@ def texts(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return lines.select("page_id", F.col("root").alias("pos"), F.array_join(F.filter(clean, lambda x: x != ""), "\n").alias("text"))
 
 
+def text_content(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(page_id, pos, content): all text of each root as written."""
+    inside = members(nodes.where("tag = '#text'"), roots).groupBy("page_id", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"))
+    return inside.select("page_id", F.col("root").alias("pos"), F.array_join(F.col("t.text"), "").alias("content"))
+
+
 def absolute(href: Column, base: Column) -> Column:
     """A link as an address: resolved against the page's, dot segments taken away; null without a link."""
-    link = F.btrim(href)
+    link = F.regexp_replace(href, r"^\s+|\s+$", "")
     root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     plain = F.regexp_extract(base, r"^([^?#]*)", 1)
     folder = F.when(plain == root, F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(plain, r"[^/]*$", ""))
