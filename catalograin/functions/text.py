@@ -192,7 +192,8 @@ def answer_json(answers: pd.Series) -> pd.Series:
 
 
 def first_line(text: Column) -> Column:
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
+    """The first line with anything but white space, without that at its ends, at most 200 characters."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     return F.substring(F.get(lines, F.lit(0)), 1, 200)
 
 

@@ -123,3 +123,8 @@ def is_safe_pattern(pattern: str) -> bool:
     except re.error:
         return False
     return True
+
+
+def safe_pattern(pattern: Column) -> Column:
+    """`is_safe_pattern` of every row; null is not safe. Whether a pattern is valid can only be told by compiling it."""
+    return F.pandas_udf(lambda rows: rows.map(lambda p: isinstance(p, str) and is_safe_pattern(p)).astype(bool), "boolean")(pattern)

@@ -82,19 +82,17 @@ def source_hosts(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", text.source_host(F.concat(F.lit("https://www."), F.regexp_extract("url", "://(.*)$", 1))).alias("host"))
 
 
-@query(f"""WITH {ITEMS} SELECT id, concat_ws(chr(10), title, nullif(identity, ''), description, concat_ws(', ', 'promo: ' || CASE WHEN promo THEN 'yes' WHEN NOT promo THEN 'no' END, 'size: ' || CAST(size AS VARCHAR), 'type: ' || type)) AS embedded FROM items WHERE size IS NOT NULL OR type IS NOT NULL OR promo IS NOT NULL""")
+@query(f"""WITH {ITEMS} SELECT id, concat_ws(chr(10), title, nullif(identity, ''), description, coalesce(nullif(concat_ws(', ', 'promo: ' || CASE WHEN promo THEN 'yes' WHEN NOT promo THEN 'no' END, 'size: ' || CAST(size AS VARCHAR), 'type: ' || type), ''), '')) AS embedded FROM items""")
 def embedding_texts(spark, sf_dir):
-    items = items_of_parts(spark, sf_dir).where("size(specs) > 0")
-    return items.select("id", text.embedding_text(F.col("title"), F.col("identity"), F.col("description"), F.col("specs")).alias("embedded"))
+    return items_of_parts(spark, sf_dir).select("id", text.embedding_text(F.col("title"), F.col("identity"), F.col("description"), F.col("specs")).alias("embedded"))
 
 
-_LINES = "(SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\t\\x0B\\f\\r]'))"
+_LINES = "(SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')), lambda x: x <> '') AS l FROM documents)"
 
 
 @query(f"SELECT doc_id, substring(l[1], 1, 200) AS line FROM {_LINES}")
 def first_lines(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where(r"text IS NOT NULL AND NOT text RLIKE '[\\t\\x0B\\f\\r]'")
-    return docs.select("doc_id", text.first_line(F.col("text")).alias("line"))
+    return _table(spark, sf_dir, "documents").select("doc_id", text.first_line(F.col("text")).alias("line"))
 
 
 @query("SELECT p_partkey AS id, p_type || ' · ' || p_size || ' cm' AS snippet FROM part")
@@ -103,10 +101,14 @@ def card_snippets(spark, sf_dir):
     return _labelled(spark, sf_dir, text.card_snippet(card, F.col("p_name")).alias("snippet"))
 
 
-@query("""SELECT * FROM (VALUES ('boot_volume_l', 'trunk_liters', true), ('heated_seats', 'seats', false), ('front_camera', 'rear_camera', false), ('max_power_kw', 'maximum_hp', true), ('max_speed', 'top_speed_km', true), ('length_mm', 'width_mm', false), ('kerb_weight', 'curb_weight_kg', true)) v(a, b, related)""")
+@query("""SELECT p_partkey AS id, replace(p_name, ' ', '_') AS a, CASE p_partkey % 5 WHEN 2 THEN false WHEN 4 THEN false ELSE true END AS related FROM part""")
 def names_related_pairs(spark, sf_dir):
-    pairs = [("boot_volume_l", "trunk_liters"), ("heated_seats", "seats"), ("front_camera", "rear_camera"), ("max_power_kw", "maximum_hp"), ("max_speed", "top_speed_km"), ("length_mm", "width_mm"), ("kerb_weight", "curb_weight_kg")]
-    return spark.createDataFrame(pairs, "a string, b string").withColumn("related", products.names_related(F.col("a"), F.col("b")))
+    """A unit or a plural more, another word for the same, a qualifier, one plain word, three plain words."""
+    k, a = F.col("p_partkey"), F.replace("p_name", F.lit(" "), F.lit("_"))
+    first, b = F.when(k % 5 == 1, F.concat(F.lit("top_"), a)).otherwise(a), (
+        F.when(k % 5 == 0, F.concat(a, F.lit("s_kg"))).when(k % 5 == 1, F.concat(F.lit("maximum_"), a)).when(k % 5 == 2, F.concat(F.lit("heated_"), a)).when(k % 5 == 3, F.concat(a, F.lit("_spare"))).otherwise(F.concat(a, F.lit("_for_spare_boxes")))
+    )
+    return _labelled(spark, sf_dir, a.alias("a"), products.names_related(first, b).alias("related"))
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL WHEN 3 THEN '{"items":[' || event_id || ',2]}' ELSE '{"n":' || event_id || ',"t":"' || event_type || '"}' END AS json FROM events""")
@@ -192,20 +194,23 @@ def slug_patterns(spark, sf_dir):
     return urls.slug_words(_table(spark, sf_dir, "part").select(F.concat(F.lit("https://shop"), k % 4, F.lit(".example/"), last).alias("url")))
 
 
-@query("SELECT * FROM (VALUES ('^https://a\\.example/item/', true), ('(a+)+$', false), ('(?=x)', false), ('[', false), ('a b', false)) v(pattern, safe)")
+@query("SELECT s_suppkey AS id, s_suppkey % 5 = 0 AS safe FROM supplier")
 def safe_patterns(spark, sf_dir):
-    patterns = [r"^https://a\.example/item/", "(a+)+$", "(?=x)", "[", "a b"]
-    return spark.createDataFrame([(p, urls.is_safe_pattern(p)) for p in patterns], "pattern string, safe boolean")
+    """A plain pattern, a repeat of a repeat, a look-ahead, one that isn't valid, one with a space."""
+    k = F.col("s_suppkey")
+    kinds = F.array(*(F.concat(F.lit(a), k, F.lit(b)) for a, b in ((r"^https://shop", r"\.example/item/"), ("(a+", ")+$"), ("(?=", ")"), ("[", ""), ("a ", "b"))))
+    return _table(spark, sf_dir, "supplier").select(k.alias("id"), urls.safe_pattern(F.get(kinds, (k % 5).cast("int"))).alias("safe"))
 
 
 # Plans --------------------------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'promo:boolean:' || chr(10) || 'size:number:cm' || chr(10) || 'type:string:' AS lines, 40 AS letters")
+@query(f"""WITH {ITEMS}, k AS (SELECT collection_id, 'size:number:cm' AS l FROM items WHERE size IS NOT NULL UNION SELECT collection_id, 'type:string:' FROM items WHERE type IS NOT NULL UNION SELECT collection_id, 'promo:boolean:' FROM items WHERE promo IS NOT NULL)
+SELECT collection_id, sha1('v{model.PLAN_VERSION}' || chr(10) || string_agg(l, chr(10) ORDER BY l)) AS signature FROM k GROUP BY collection_id""")
 def registry_signatures(spark, sf_dir):
-    same = model.registry_signature(REGISTRY) == model.registry_signature(REGISTRY[::-1]) != model.registry_signature(REGISTRY[:2])
-    lines = "\n".join(sorted(f"{k.key}:{k.type}:{k.unit or ''}" for k in REGISTRY)) if same else ""
-    return spark.createDataFrame([(lines, len(model.registry_signature(REGISTRY)))], "lines string, letters int")
+    """The schema of each collection, from the keys that its items have."""
+    found = keys.recount(items_of_parts(spark, sf_dir)).join(F.broadcast(spark.createDataFrame([(k.key, k.type, k.unit) for k in REGISTRY], "key string, type string, unit string")), "key")
+    return keys.signatures(found)
 
 
 @query("SELECT conv_id, turn, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS query FROM conversations WHERE role = 'user'")
@@ -252,16 +257,32 @@ def search_edited_plan(spark, sf_dir):
     return _ids(search.search(items_of_parts(spark, sf_dir), Request(plan, limit=200), REGISTRY)[0])
 
 
-@query("SELECT * FROM (VALUES (0, 'type'), (1, 'size'), (2, 'boot_litres')) v(place, key)")
+@query(f"""WITH {ITEMS}, c AS (SELECT 'type' AS key, count(type) AS n FROM items UNION ALL SELECT 'size', count(size) FROM items) SELECT v.place, v.key, coalesce(c.n, 0) AS n FROM (VALUES (0, 'type'), (1, 'size'), (2, 'boot_litres')) v(place, key) LEFT JOIN c ON v.key = c.key""")
 def plan_resolved(spark, sf_dir):
-    """Names become keys of the registry, directly or by a synonym; what nobody has is asked for. Columns worth showing, in order."""
-    plan = model.sanitize(Plan((Filter("Type", "in", ["Promo"]), Filter("size", "gt", [1, 2]), Filter("width", "gte", 3)), show=("Boot litres", "price name")), REGISTRY, {"width": "size", "price_name": "type"})
-    return spark.createDataFrame(list(enumerate(model.highlight(plan))), "place int, key string")
+    """Names become keys that items have, directly or by a synonym; what nobody has is asked for. Columns worth showing, in order, with the items that have them."""
+    counted, registry = _key_counts(spark, sf_dir)
+    plan = model.sanitize(Plan((Filter("Type", "in", ["Promo"]), Filter("size", "gt", [1, 2]), Filter("width", "gte", 3)), show=("Boot litres", "price name")), registry, {"width": "size", "price_name": "type"})
+    return _shown(spark, plan, counted)
 
 
-@query("SELECT * FROM (VALUES ('size'), ('type')) v(key)")
+@query(f"WITH {ITEMS} SELECT 0 AS place, 'type' AS key, count(type) AS n FROM items UNION ALL SELECT 1, 'size', count(size) FROM items")
 def plan_edited_sort(spark, sf_dir):
-    return spark.createDataFrame([(k,) for k in model.highlight(model.edit_sort(Plan(sort=Sort("size")), Sort("type")))], "key string")
+    """The key that a plan was sorted by stays worth showing, after the new one."""
+    counted, registry = _key_counts(spark, sf_dir)
+    by = {k.key: k.key for k in registry}
+    return _shown(spark, model.edit_sort(Plan(sort=Sort(by["size"])), Sort(by["type"])), counted)
+
+
+def _key_counts(spark, sf_dir):
+    """(key, n) of the items' keys, and the registry of those that items have."""
+    counted = keys.recount(items_of_parts(spark, sf_dir)).groupBy("key").agg(F.sum("count").alias("n"))
+    n = {r["key"]: r["n"] for r in counted.collect()}  # a row for each key
+    return counted, [replace(k, count=n[k.key]) for k in REGISTRY if k.key in n]
+
+
+def _shown(spark, plan, counted):
+    shown = spark.createDataFrame(list(enumerate(model.highlight(plan))), "place int, key string")
+    return shown.join(counted, "key", "left").select("place", "key", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"WITH {ITEMS}, c AS (SELECT 'size' AS key, count(size) AS n FROM items UNION ALL SELECT 'weight', count(size) + 1 FROM items) SELECT row_number() OVER (ORDER BY n DESC, key) - 1 AS place, key FROM c")
@@ -374,13 +395,15 @@ def _listed_names(spark, sf_dir):
     return _labelled(spark, sf_dir, F.lower(name).alias("identity"))
 
 
-@query("SELECT * FROM (VALUES ('vag nomad', 'vag nomad lux'), ('vag nomad lux', 'vag nomad lux'), ('orion zeta', 'orion zeta prime 90 kw')) v(identity, canonical)")
+@query("""SELECT 'b' || p_partkey || ' oak' AS identity, 'b' || p_partkey || ' oak tall' AS canonical FROM part WHERE p_partkey % 3 <> 1 UNION ALL SELECT 'b' || p_partkey || ' oak tall', 'b' || p_partkey || ' oak tall' FROM part WHERE p_partkey % 3 = 2""")
 def confirmed_matches(spark, sf_dir):
     """A general name with one specific candidate becomes an alias of it; one with two stays."""
-    names = ["vag nomad", "vag nomad lux", "orion zeta", "orion zeta prime 90 kw", "pico max", "pico max one", "pico max two"]
-    items = spark.createDataFrame([(n,) for n in names], "identity string")
-    aliases = spark.createDataFrame([("vag nomad lux", "vag nomad lux")], "identity string, canonical string")
-    return products.auto_confirm(items, aliases)
+    k = F.col("p_partkey")
+    name = lambda tail: F.concat(F.lit("b"), k, F.lit(tail))
+    names = F.array_compact(F.array(name(" oak"), name(" oak tall"), F.when(k % 3 == 1, name(" oak wide"))))
+    part = _table(spark, sf_dir, "part")
+    aliases = part.where(k % 3 == 2).select(name(" oak tall").alias("identity"), name(" oak tall").alias("canonical"))
+    return products.auto_confirm(part.select(F.explode(names).alias("identity")), aliases)
 
 
 @query(f"""WITH {ITEMS}, {ALIASES}, m AS (SELECT identity, canonical FROM al), g AS (SELECT min(canonical) AS s, max(canonical) AS t FROM al)
@@ -411,24 +434,34 @@ def known_brand_names(spark, sf_dir):
     return curation.known_names(_aliases(items), items.where("id % 3 = 0 AND identity <> ''").select("identity"), brands, 5)
 
 
-@query("SELECT * FROM (VALUES ('kia ceed sw 100 kw', 'kia ceed sw'), ('seat leon 2021', 'seat leon fr')) v(identity, canonical) WHERE identity LIKE 'kia%'")
+@query("""SELECT 'b' || s_suppkey || ' oak 100 kw' AS identity, 'b' || s_suppkey || ' oak' AS canonical FROM supplier UNION ALL SELECT 'b' || s_suppkey || ' fir 2021', 'b' || s_suppkey || ' fir' FROM supplier WHERE s_suppkey % 2 = 1""")
 def checked_groups(spark, sf_dir):
-    """Of four names proposed as one product the one that fits joins the known one; another brand, a name told apart and a second power don't."""
-    rows = [(0, 0, 0, "kia ceed sw", False, True), (0, 0, 1, "kia ceed sw 100 kw", True, False), (0, 0, 2, "kia ceed sw 140 kw", True, False), (0, 0, 3, "vw ceed sw", True, False), (0, 1, 0, "seat leon fr", True, True), (0, 1, 1, "seat leon fr 2021", True, False)]
-    proposed = spark.createDataFrame(rows, "call int, grp int, pos int, name string, fresh boolean, first boolean")
-    told = spark.createDataFrame([("seat leon fr", "seat leon fr 2021")], "a string, b string")
-    return curation.checked_groups(proposed, spark.createDataFrame([], "identity string, canonical string"), told)
+    """Of four names proposed as one product the one that fits joins the known one; another brand, a second power and names told apart don't."""
+    s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("call"))
+    rows = [(0, 0, "b", " oak", False, True), (0, 1, "b", " oak 100 kw", True, False), (0, 2, "b", " oak 140 kw", True, False), (0, 3, "c", " oak", True, False), (1, 0, "b", " fir", False, True), (1, 1, "b", " fir 2021", True, False)]
+    each = F.array(*(F.struct(F.lit(g).alias("grp"), F.lit(i).alias("pos"), F.concat(F.lit(a), "call", F.lit(b)).alias("name"), F.lit(fresh).alias("fresh"), F.lit(first).alias("first")) for g, i, a, b, fresh, first in rows))
+    told = s.where("call % 2 = 0").select(F.concat(F.lit("b"), "call", F.lit(" fir 2021")).alias("a"), F.concat(F.lit("b"), "call", F.lit(" fir")).alias("b"))
+    return curation.checked_groups(s.select("call", F.explode(each).alias("p")).select("call", "p.*"), spark.createDataFrame([], "identity string, canonical string"), told)
 
 
 # Keys ---------------------------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('trunk_volume', 'boot_volume_l', CAST(2.0 AS DOUBLE)), ('towing_hooks', 'towing_hook', CAST(1.0 AS DOUBLE))) v(from_key, to_key, factor)")
+@query("""SELECT 's' || s_suppkey || CASE WHEN s_suppkey % 12 < 9 THEN '_trunk_volume' ELSE '_boot_volume_l' END AS from_key, 's' || s_suppkey || CASE WHEN s_suppkey % 12 < 9 THEN '_boot_volume_l' ELSE '_trunk_volume' END AS to_key,
+CAST(CASE WHEN s_suppkey % 12 < 9 THEN 2 ELSE 0.5 END AS DOUBLE) AS factor FROM supplier UNION ALL SELECT 's' || s_suppkey || '_hooks', 's' || s_suppkey || '_hook', CAST(1 AS DOUBLE) FROM supplier""")
 def checked_key_merges(spark, sf_dir):
-    """The key of more items stands and turns the factor round; unrelated names, other types, second merges and chains are left out."""
-    registry = spark.createDataFrame([("boot_volume_l", "number", 9), ("trunk_volume", "number", 4), ("cargo_litres", "string", 5), ("towing_hook", "boolean", 2), ("towing_hooks", "boolean", 2), ("doors", "number", 7)], "key string, type string, count int")
-    rows = [(0, "boot_volume_l", "trunk_volume", 0.5), (1, "trunk_volume", "boot_volume_l", 3.0), (2, "cargo_litres", "boot_volume_l", 1.0), (3, "towing_hook", "towing_hooks", 7.0), (4, "doors", "trunk_volume", 1.0), (5, "nobody", "doors", 1.0)]
-    return keys.checked_merges(spark.createDataFrame(rows, "ordinal int, from_key string, to_key string, factor double"), registry)
+    """The key of more items stands and turns the factor round; unrelated names, other types, unknown keys and second merges are left out."""
+    k = F.col("s_suppkey")
+    s, key = _table(spark, sf_dir, "supplier"), lambda tail: F.concat(F.lit("s"), k, F.lit(tail))
+    rows = lambda *rows: s.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    known = lambda tail, kind, n: F.struct(key(tail).alias("key"), F.lit(kind).alias("type"), n.cast("int").alias("count"))
+    registry = rows(known("_boot_volume_l", "number", F.lit(9)), known("_trunk_volume", "number", k % 12), known("_cargo_litres", "string", F.lit(5)), known("_hook", "boolean", F.lit(2)), known("_hooks", "boolean", F.lit(2)), known("_doors", "number", F.lit(7)))
+    merge = lambda i, a, b, x: F.struct((k * 6 + i).alias("ordinal"), key(a).alias("from_key"), key(b).alias("to_key"), F.lit(x).alias("factor"))
+    proposed = rows(
+        merge(0, "_boot_volume_l", "_trunk_volume", 0.5), merge(1, "_trunk_volume", "_boot_volume_l", 3.0), merge(2, "_cargo_litres", "_boot_volume_l", 1.0), merge(3, "_hook", "_hooks", 7.0), merge(4, "_doors", "_trunk_volume", 1.0),
+        merge(5, "_nobody", "_doors", 1.0),
+    )
+    return keys.checked_merges(proposed, registry)
 
 
 def _merges(spark):
@@ -461,10 +494,13 @@ def merged_key_registry(spark, sf_dir):
     return kept.unionByName(keys.merge_aliases(_merges(spark)).select(F.col("alias").alias("key"), F.concat(F.lit("alias of "), "key").alias("place")))
 
 
-@query("SELECT 'boot_capacity' AS alias, 'trunk_volume' AS key")
+@query("SELECT 'wide' || s_suppkey AS alias, 'width' || s_suppkey AS key FROM supplier WHERE s_suppkey % 5 > 0 AND s_suppkey % 2 = 0 AND s_suppkey % 3 > 0")
 def searched_key_synonyms(spark, sf_dir):
-    merges = spark.createDataFrame([("boot_capacity", "trunk_volume", 1.0), ("wide", "width", 2.0), ("a", "trunk_volume", 1.0)], "from_key string, to_key string, factor double")
-    return keys.searched_synonyms(merges, spark.createDataFrame([("boot_capacity",), ("wide",)], "key string"), spark.createDataFrame([("trunk_volume",), ("width",)], "key string"))
+    """Merges of every supplier's keys: some turn units, some keys aren't asked for, some aren't in the registry."""
+    k, s = F.col("s_suppkey"), _table(spark, sf_dir, "supplier")
+    key = lambda head: F.concat(F.lit(head), k)
+    merges = s.select(key("wide").alias("from_key"), key("width").alias("to_key"), F.when(k % 5 == 0, 2.0).otherwise(1.0).alias("factor"))
+    return keys.searched_synonyms(merges, s.where(k % 2 == 0).select(key("wide").alias("key")), s.where(k % 3 > 0).select(key("width").alias("key")))
 
 
 @query(f"WITH {ITEMS} SELECT key FROM (VALUES ('x'), ('y'), ('z')) v(key) WHERE key <> 'x'")
@@ -484,10 +520,16 @@ def registry_upserted(spark, sf_dir):
     return keys.upsert(old, new).select("collection_id", "key", "type", "unit", "origin", "count")
 
 
-@query("SELECT * FROM (VALUES ('a', 'c'), ('b', 'c'), ('c', 'c'), ('d', 'c')) v(alias, key)")
+@query("SELECT 'o' || o_orderkey AS alias, 'o' || least((o_orderkey // 1000) * 1000 + 999, (SELECT max(o_orderkey) FROM orders)) AS key FROM orders")
 def flat_key_aliases(spark, sf_dir):
-    found = keys.flatten_aliases(keys.flatten_aliases(keys.flatten_aliases({}, "a", "b"), "b", "c"), "d", "b")
-    return spark.createDataFrame(sorted(found.items()), "alias string, key string")
+    """Chains of a thousand names; every third ends in a pair that leads back to its start, which is refused."""
+    k, name = F.col("o_orderkey"), lambda c: F.concat(F.lit("o"), c)
+    orders = _table(spark, sf_dir, "orders").select(k)
+    last = F.broadcast(orders.agg(F.max(k).alias("last")))  # one row
+    start = k - k % 1000
+    ends = (k % 1000 == 999) | (k == F.col("last"))
+    pairs = orders.crossJoin(last).where(~ends | (start % 3000 == 2000)).select(name(k).alias("alias"), F.when(ends, name(start)).otherwise(name(k + 1)).alias("canonical"), k.alias("ordinal"))
+    return keys.flat_aliases(pairs)
 
 
 @query(f"WITH {ITEMS} SELECT min(price) AS low, max(price) AS high FROM items")
@@ -658,10 +700,10 @@ def focus_changed(spark, sf_dir):
     return state.without_key(items_of_parts(spark, sf_dir), "size", [1, 2]).select("id", F.col("specs")["size"]["num"].alias("size"))
 
 
-@query("SELECT event_id AS id, CASE WHEN event_id % 3 > 0 THEN event_type || ' yes ' || repeat('x', 280) END AS evidence FROM events WHERE event_type = 'view'")
+@query("SELECT event_id AS id, CASE WHEN event_id % 3 > 0 THEN substring(event_type || ' yes ' || repeat('x', 290), 1, 300) END AS evidence FROM events")
 def focus_notes(spark, sf_dir):
     k = F.col("event_id")
-    rows = _table(spark, sf_dir, "events").where("event_type = 'view'").select(k.alias("id"), F.when(k % 3 > 0, k % 3 == 1).alias("match"), F.concat(F.lit("  "), "event_type", F.lit(" \n yes  "), F.repeat(F.lit("x"), 280)).alias("evidence"))
+    rows = _table(spark, sf_dir, "events").select(k.alias("id"), F.when(k % 3 > 0, k % 3 == 1).alias("match"), F.concat(F.lit("  "), "event_type", F.lit(" \n yes  "), F.repeat(F.lit("x"), 290)).alias("evidence"))
     return state.focus_answers(rows).select("id", "evidence")
 
 
@@ -672,11 +714,12 @@ def touched_items(spark, sf_dir):
     return state.touch(items, seen).select("id", "gone_at", "card_hash", "content_hash")
 
 
-@query(f"WITH {ITEMS} SELECT id FROM items WHERE collection_id = 0 AND id % 2 = 1 OR collection_id = 1 AND id % 2 = 0")
+@query(f"WITH {ITEMS} SELECT id FROM items WHERE collection_id = 0 AND id % 2 = 1 OR collection_id > 0 AND id % 2 = 0")
 def focus_to_answer(spark, sf_dir):
     """Collection 0 asks a question that even items answered; the others ask none, which is what odd items stand at."""
-    items = items_of_parts(spark, sf_dir).where("collection_id IN (0, 1)").withColumn("focus_for", F.when(F.col("id") % 2 == 0, "q"))
-    return state.focus_pending(items, spark.createDataFrame([(0, "q"), (1, None)], "id long, focus string")).select("id")
+    items = items_of_parts(spark, sf_dir).withColumn("focus_for", F.when(F.col("id") % 2 == 0, "q"))
+    collections = items.select(F.col("collection_id").alias("id")).distinct().withColumn("focus", F.when(F.col("id") == 0, "q"))
+    return state.focus_pending(items, collections).select("id")
 
 
 @query("SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN -1.0 ELSE round(CAST(embedding[1] AS DOUBLE), 6) END AS first FROM embeddings WHERE vec_id % 5 <> 0")

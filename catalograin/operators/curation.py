@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .products import FEATURES, _compatible, with_features
+from .products import FEATURES, POWER_TOLERANCE, with_features
 
 MOST_KNOWN = 200
 
@@ -89,6 +89,19 @@ class _Row:
         self.__dict__.update(fields if isinstance(fields, dict) else fields.asDict())
 
 
+def _compatible(a, b) -> bool:
+    """Two rows of one brand with equal words: neither told apart nor contradicting."""
+    if any(b.identity == r for r in (a.rejected if a.rejected is not None else ())) or not a.brand:
+        return False
+    for c in ("years", "disp", "gear", "combustion", "electrified"):
+        x, y = list(getattr(a, c)), list(getattr(b, c))
+        if x and y and x != y:
+            return False
+    near = lambda xs, ys: all(any(abs(x - y) <= POWER_TOLERANCE * max(x, y) for y in ys) for x in xs)
+    p, q = list(a.power), list(b.power)
+    return not p or not q or near(p, q) and near(q, p)
+
+
 def _same(a, b) -> bool:
     return a.brand == b.brand and list(a.words) == list(b.words) and _compatible(a, b)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.model import PLAN_VERSION
+from ..session import with_checkpoints
 from ..sources.items import long_form
 from .products import names_related
 
@@ -98,6 +100,13 @@ def merged_registry(registry: DataFrame, merges: DataFrame) -> DataFrame:
     return registry.join(F.broadcast(_plan(merges).select("key")), "key", "left_anti")
 
 
+def signatures(registry: DataFrame) -> DataFrame:
+    """(collection_id, signature) of registry rows (collection_id, key, type, unit), as `plans.model.registry_signature` has it."""
+    line = F.concat_ws(":", "key", "type", F.coalesce("unit", F.lit("")))
+    lines = F.array_sort(F.collect_set(line))
+    return registry.groupBy("collection_id").agg(F.sha1(F.array_join(F.concat(F.array(F.lit(f"v{PLAN_VERSION}")), lines), "\n").cast("binary")).alias("signature"))
+
+
 def merge_aliases(merges: DataFrame) -> DataFrame:
     """(alias, key): merges that only rename, which hold for later extractions too."""
     return merges.where("factor = 1").select(F.col("from_key").alias("alias"), F.col("to_key").alias("key"))
@@ -135,12 +144,35 @@ def unchecked(asked: DataFrame, checks: DataFrame, sizes: DataFrame) -> DataFram
     return asked.join(done.select("key").distinct(), "key", "left_semi")
 
 
-def flatten_aliases(aliases: dict[str, str], alias: str, canonical: str) -> dict[str, str]:
-    """Key aliases with one more: every alias points at a key that is its own, never at another alias."""
-    root = aliases.get(canonical, canonical)
-    if root == alias:
-        return aliases
-    return {a: root if c in (alias, canonical) and a != root else c for a, c in aliases.items()} | {alias: root, root: root}
+def flat_aliases(pairs: DataFrame) -> DataFrame:
+    """(alias, key) of `pairs(alias, canonical, ordinal)`: every name under the key that its chain of pairs ends at, keys under themselves.
+
+    Of several pairs of one alias the last by `ordinal` counts. A pair that closes a circle, its last one, is refused. Chains are halved by
+    joining the table with itself until all point at keys, so a chain of n pairs takes about log2(n) rounds; names that point at a key
+    already take no part in a join, so a key of very many names is no single task's load. Pairs with a null are ignored.
+    """
+    with_checkpoints(pairs.sparkSession)
+    pairs = pairs.where("alias IS NOT NULL AND canonical IS NOT NULL").groupBy("alias").agg(F.max_by("canonical", F.struct("ordinal", "canonical")).alias("up"), F.max("ordinal").alias("ordinal"))
+    pairs = pairs.where("alias <> up").checkpoint()
+    while True:
+        keys = pairs.select(F.col("up").alias("alias")).distinct().join(pairs.select("alias"), "alias", "left_anti").checkpoint()
+        ends = keys.withColumnRenamed("alias", "end")
+        state = pairs.join(ends, F.col("up") == F.col("end"), "left").select("alias", "up", F.col("ordinal").alias("top"), F.col("end").isNotNull().alias("done")).checkpoint()
+        length, n = 1, pairs.count()
+        while (left := state.where("NOT done").count()) and length <= n:
+            step = state.select(F.col("alias").alias("up"), F.col("up").alias("further"), F.col("top").alias("top_there"), F.col("done").alias("done_there"))
+            moved = state.where("NOT done").join(step, "up").select("alias", F.col("further").alias("up"), F.greatest("top", "top_there").alias("top"), F.col("done_there").alias("done"))
+            state = state.where("done").unionByName(moved).checkpoint()
+            length *= 2
+        if not left:
+            break
+        # after more steps than there are names, what is left points into its circle, and `top` is the circle's last pair
+        circles = state.where("NOT done").select(F.col("up").alias("alias")).distinct()
+        last = state.join(circles, "alias", "left_semi").select("alias", "top")
+        refused = pairs.join(last, "alias").where("ordinal = top").groupBy("top").agg(F.min("alias").alias("alias")).select("alias")
+        pairs = pairs.join(refused, "alias", "left_anti").checkpoint()
+    alone = keys.select("alias", F.col("alias").alias("key"))
+    return state.select("alias", F.col("up").alias("key")).unionByName(alone)
 
 
 def near_keys(facts: DataFrame, top: int = 300) -> DataFrame:

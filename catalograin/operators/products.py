@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +20,8 @@ ELECTRIC = "ev electric bev electro".split()
 HP_TO_KW = 0.7355
 POWER_TOLERANCE = 0.04
 AUTO_CONFIRM_ROUNDS = 5
+#: Kinds of names with one brand and words that a round decides.
+REGROUP_STEP = 256
 
 FEATURES = ("years", "disp", "power", "gear", "combustion", "electrified", "words")
 
@@ -108,45 +109,63 @@ def maybe_pairs(features: DataFrame, identity: str = "identity") -> DataFrame:
     return pairs.select(F.col(f"a.{identity}").alias("general"), F.col(f"b.{identity}").alias("specific"))
 
 
-def regroup(names: DataFrame, rejections: DataFrame | None = None) -> DataFrame:
+def _conflicts(nodes: DataFrame, rejections: DataFrame) -> DataFrame:
+    """(low, low_rank, high, rank) of kinds of one block that can't stand in one group; nodes: (id, own, rank, features)."""
+    told = rejections.select(F.col("a").alias("x"), F.col("b").alias("y")).union(rejections.select("b", "a")).distinct()
+    low, high = nodes.alias("a"), nodes.alias("b")
+    pairs = low.join(high, (F.col("a.brand") == F.col("b.brand")) & (F.col("a.words") == F.col("b.words")) & (F.col("a.rank") < F.col("b.rank")))
+    pairs = pairs.join(told, (F.col("a.own") == F.col("x")) & (F.col("b.own") == F.col("y")), "left").where(~specs_compatible("a", "b") | F.col("x").isNotNull())
+    return pairs.select(F.col("a.id").alias("low"), F.col("a.rank").alias("low_rank"), F.col("b.id").alias("high"), F.col("b.rank").alias("rank"))
+
+
+def _first_free(taken: Column) -> Column:
+    """The least number from 0 that isn't taken."""
+    return F.array_min(F.array_except(F.sequence(F.lit(0), F.size(taken)), taken))
+
+
+def regroup(names: DataFrame, rejections: DataFrame | None = None, step: int = REGROUP_STEP) -> DataFrame:
     """(identity, canonical): names grouped so that every two of a group are certainly the same product and none was told apart.
 
     names: distinct `identity`; rejections: pairs (a, b). Complete linkage, greedy from the most specific name (detail, length, then by
-    name), which becomes the canonical one. Names of a group share brand and words, so that is how they are dealt to tasks;
-    a task gets the few spellings of one model.
+    name), which becomes the canonical one. A name joins the first group in which nothing contradicts it. So, with groups of equal brand and words
+    numbered by their first names, a name's group is the least number that no earlier name contradicting it has: it depends on those alone.
+
+    Names that state the same and were never told apart have the same group, so kinds of names are decided, not names: those of one
+    brand and words are as many as there are ways to state years, engines and gears. Each round decides the next `step` kinds of
+    all brands and words at once, from what the earlier rounds decided.
     """
-    features = with_features(names.select("identity").distinct())
+    with_checkpoints(names.sparkSession)
     if rejections is None:
         rejections = names.sparkSession.createDataFrame([], "a string, b string")
-    each = rejections.select(F.col("a").alias("identity"), F.col("b").alias("other")).union(rejections.select("b", "a"))
-    each = each.groupBy("identity").agg(F.collect_set("other").alias("rejected"))
-    rows = features.join(each, "identity", "left").withColumn("block", F.array_join("words", " "))
-
-    def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(n=group.identity.str.len()).sort_values(["detail", "n", "identity"], ascending=[False, False, True])
-        members: list[list] = []
-        for row in group.itertuples():
-            home = next((m for m in members if all(_compatible(row, other) for other in m)), None)
-            if home is None:
-                members.append([row])
-            else:
-                home.append(row)
-        return pd.DataFrame([(r.identity, m[0].identity) for m in members for r in m], columns=["identity", "canonical"])
-
-    return rows.groupBy("brand", "block").applyInPandas(cluster, "identity string, canonical string")
-
-
-def _compatible(a, b) -> bool:
-    """Two rows of one brand with equal words: neither told apart nor contradicting."""
-    if any(b.identity == r for r in (a.rejected if a.rejected is not None else ())) or not a.brand:
-        return False
-    for c in ("years", "disp", "gear", "combustion", "electrified"):
-        x, y = list(getattr(a, c)), list(getattr(b, c))
-        if x and y and x != y:
-            return False
-    near = lambda xs, ys: all(any(abs(x - y) <= POWER_TOLERANCE * max(x, y) for y in ys) for x in xs)
-    p, q = list(a.power), list(b.power)
-    return not p or not q or near(p, q) and near(q, p)
+    told = rejections.select(F.col("a").alias("identity")).union(rejections.select("b")).distinct().withColumn("own", F.col("identity"))
+    rows = with_features(names.select("identity").distinct()).join(told, "identity", "left")
+    order = F.struct((-F.col("detail")).alias("d"), (-F.char_length("identity")).alias("n"), "identity")
+    rows = rows.withColumns({"order": order, "kind": F.to_json(F.struct("brand", *FEATURES, "own"))}).checkpoint()
+
+    nodes = rows.where("brand <> ''").groupBy("kind").agg(F.min("order").alias("order"), *(F.any_value(c).alias(c) for c in ("brand", "own", *FEATURES)))
+    rank = F.row_number().over(Window.partitionBy("brand", "words").orderBy("order")) - 1
+    nodes = nodes.withColumns({"rank": rank, "id": F.col("order.identity")}).checkpoint()
+    conflicts = _conflicts(nodes, rejections).checkpoint()
+    last = nodes.agg(F.max("rank")).first()[0]
+
+    decided = nodes.select("id", F.lit(0).alias("number")).limit(0)
+    for start in range(0, (last if last is not None else -1) + 1, step):
+        now = F.col("rank").between(start, start + step - 1)
+        mine = conflicts.where(now)
+        earlier = mine.where(F.col("low_rank") < start).join(decided, F.col("low") == F.col("id")).groupBy(F.col("high").alias("id")).agg(F.collect_set("number").alias("taken"))
+        together = mine.where(F.col("low_rank") >= start).groupBy(F.col("high").alias("id")).agg(F.collect_list(F.col("low_rank") - start).alias("before"))
+        empty = F.array().cast("array<int>")
+        each = nodes.where(now).join(earlier, "id", "left").join(together, "id", "left")
+        each = each.select("brand", "words", F.struct("rank", "id", F.coalesce("taken", empty).alias("taken"), F.coalesce("before", empty).alias("before")).alias("x"))
+        blocks = each.groupBy("brand", "words").agg(F.array_sort(F.collect_list("x")).alias("x"))
+        put = lambda numbers, x: F.concat(numbers, F.array(_first_free(F.array_union(x["taken"], F.transform(x["before"], lambda i: F.get(numbers, i))))))
+        numbered = blocks.select(F.explode(F.arrays_zip(F.col("x.id").alias("id"), F.aggregate("x", empty, put).alias("number"))).alias("z")).select("z.id", "z.number")
+        decided = decided.unionByName(numbered).checkpoint()
+
+    groups = nodes.join(decided, "id").select("kind", "brand", "words", "number", "order")
+    heads = groups.groupBy("brand", "words", "number").agg(F.min("order").alias("head"))
+    canonical = groups.join(heads, ["brand", "words", "number"]).select("kind", F.col("head.identity").alias("canonical"))
+    return rows.join(canonical, "kind", "left").select("identity", F.coalesce("canonical", "identity").alias("canonical"))
 
 
 def suggestions(items: DataFrame, aliases: DataFrame, rejections: DataFrame | None = None) -> DataFrame:

@@ -485,7 +485,12 @@ def maybe_same_pairs(spark, sf_dir):
     return products.maybe_pairs(products.with_features(_names(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FEATURES}, o AS (SELECT *, row_number() OVER (PARTITION BY brand, words ORDER BY len(words) + (power IS NOT NULL)::INT + y::INT DESC, length(identity) DESC, identity) AS r FROM f),
+g AS (SELECT brand, words, 0 AS r, CAST([] AS INT[]) AS c, CAST([] AS DOUBLE[]) AS p, CAST([] AS VARCHAR[]) AS n FROM (SELECT DISTINCT brand, words FROM o)
+  UNION ALL SELECT o.brand, o.words, o.r, list_append(g.c, list_min(list_filter(range(0, len(g.c) + 1), lambda k: NOT list_contains(list_transform(list_filter(list_zip(g.c, g.p), lambda z: z[2] IS NOT NULL AND o.power IS NOT NULL AND abs(z[2] - o.power) > 0.04 * greatest(z[2], o.power)), lambda z: z[1]), k)))::INT),
+    list_append(g.p, o.power), list_append(g.n, o.identity) FROM g JOIN o ON o.brand = g.brand AND o.words = g.words AND o.r = g.r + 1),
+l AS (SELECT arg_max(c, r) AS c, arg_max(n, r) AS n FROM g GROUP BY brand, words), u AS (SELECT unnest(n) AS identity, unnest(c) AS k, c, n FROM l)
+SELECT identity, n[list_position(c, k)] AS canonical FROM u""")
 def product_clusters(spark, sf_dir):
     return products.regroup(_names(spark, sf_dir))
 
