@@ -335,12 +335,14 @@ def lookup_offer(spark, sf_dir):
     return search.offer(facts.fill(items, known, ["size"]), _aliases(items), ["size"]).select(F.get("attributes", F.lit(0)).alias("attribute"), "products", "listings")
 
 
-@query(f"WITH {ITEMS}, o AS (SELECT currency, coalesce(CAST(size AS BIGINT), 0) AS s FROM items WHERE gone_at IS NULL) SELECT 'size' AS key, CAST(s AS VARCHAR) AS value, count(*) AS count FROM o WHERE s % 2 = 1 GROUP BY s")
+@query(f"""WITH {ITEMS}, o AS (SELECT 'v' || id % 700 AS v FROM items WHERE gone_at IS NULL), c AS (SELECT v, count(*) AS n FROM o GROUP BY v), p AS (SELECT *, row_number() OVER (ORDER BY n DESC, v) AS r FROM c)
+SELECT 'size' AS key, v AS value, n AS count, (SELECT count(*) FROM c) - (SELECT count(*) FROM p WHERE r <= 500 OR v = 'v699') AS more FROM p WHERE r <= 500 OR v = 'v699' UNION ALL SELECT 'size', 'none', 0, (SELECT count(*) FROM c) - (SELECT count(*) FROM p WHERE r <= 500 OR v = 'v699')""")
 def facet_many_values(spark, sf_dir):
+    """More options than are listed; ticked ones are listed in any case, even one that nothing has."""
     items = _items(spark, sf_dir)
-    shown = F.when(F.col("specs.size.num") % 2 == 1, txt(F.col("specs.size.num").cast("long")))
-    rows = items.withColumn("specs", F.when(shown.isNotNull(), F.map_from_arrays(F.array(F.lit("size")), F.array(shown))).otherwise(F.create_map().cast(_BAG)))
-    return facets.facet_values(rows, [], [Key("size", "string")]).where("key = 'size'").select("key", "value", "count")
+    shown = txt(F.concat(F.lit("v"), F.col("id") % 700))
+    rows = items.withColumn("specs", F.map_from_arrays(F.array(F.lit("size")), F.array(shown)))
+    return facets.facet_values(rows, [Filter("size", "in", ("v699", "none"))], [Key("size", "string")]).where("key = 'size'").select("key", "value", "count", "more")
 
 
 @query(f"WITH {ITEMS} SELECT collection_id, CASE WHEN count(DISTINCT currency) = 1 THEN max(currency) END AS unit FROM items WHERE gone_at IS NULL AND price IS NOT NULL GROUP BY collection_id")
@@ -591,11 +593,33 @@ def lookup_cap_aliased(spark, sf_dir):
     return facts.lookup_order(items, _aliases(items))
 
 
-@query(f"""WITH {ITEMS}, {ALIASES}, n AS (SELECT i.identity, coalesce(canonical, nullif(i.identity, ''), lower(title)) AS p FROM items i LEFT JOIN al USING (identity)), c AS (SELECT count(*) AS listings, count(DISTINCT identity) AS names, count(DISTINCT p) AS products FROM n)
-SELECT *, greatest(names - products, 0) AS merged, least(products, 15) AS to_look_up, greatest(products - 15, 0) AS remaining FROM c""")
+@query(f"""WITH {ITEMS}, {ALIASES}, x AS (SELECT coalesce(nullif(i.identity, ''), lower(title)) AS name, coalesce(canonical, nullif(i.identity, ''), lower(title)) AS p, coalesce(canonical, i.identity) AS own, size, i.id FROM items i LEFT JOIN al USING (identity)),
+n AS (SELECT * FROM x WHERE size IS NULL), k AS (SELECT DISTINCT p FROM n WHERE contains(p, 'red')), b AS (SELECT DISTINCT own AS p FROM x WHERE size IS NOT NULL AND size <> 0 AND own <> ''), o AS (SELECT DISTINCT p FROM n WHERE p NOT IN (SELECT p FROM k)),
+c AS (SELECT count(*) FILTER (p IN (SELECT p FROM b)) AS from_siblings, count(*) FILTER (p NOT IN (SELECT p FROM b)) AS asked FROM o)
+SELECT (SELECT count(*) FROM n) AS listings, (SELECT count(DISTINCT p) FROM n) AS products, (SELECT count(DISTINCT (name, p)) FROM n WHERE name <> p) AS merged, (SELECT count(DISTINCT p) FROM n) - asked AS cached, from_siblings, least(asked, 15) AS to_look_up, greatest(asked - 15, 0) AS remaining FROM c""")
 def lookup_statistics(spark, sf_dir):
+    """Of products without a size: some have a cached fact, some a listing that states one."""
+    items = items_of_parts(spark, sf_dir).withColumns({"imported": F.lit(False), "extension": F.lit(False)})
+    aliases = _aliases(items)
+    name = F.coalesce(F.nullif("identity", F.lit("")), F.lower("title"))
+    known = items.join(aliases, "identity", "left").select(F.coalesce("canonical", name).alias("canonical"), F.lit("size").alias("key")).where("canonical LIKE '%red%'").distinct()
+    return facts.lookup_stats(items, aliases, ["size"], known, facts.sibling_values(items, aliases))
+
+
+@query(f"""WITH {ITEMS}, n AS (SELECT DISTINCT identity FROM items WHERE identity <> ''), r AS (SELECT identity, 'size' AS key, 9.0 AS v FROM n WHERE contains(identity, 'red') UNION ALL SELECT identity, 'width', 5.0 FROM n WHERE contains(identity, 'red') OR contains(identity, 'blue') UNION ALL SELECT identity, 'width', 4.0 FROM n WHERE contains(identity, 'blue')),
+b AS (SELECT identity, arg_min(v, CASE WHEN key = 'size' THEN 0 ELSE v END) AS v FROM r GROUP BY identity)
+SELECT id, CASE WHEN has THEN size ELSE v END AS size, CASE WHEN NOT has AND v IS NULL THEN 'size' ELSE '' END AS need FROM (SELECT id, size, size IS NOT NULL OR id % 6 = 0 AS has, b.v FROM items LEFT JOIN b USING (identity))""")
+def filled_by_synonym(spark, sf_dir):
+    """Several facts of one product and key, found and not, under the key and under its synonym; bags that have the synonym lack nothing."""
     items = items_of_parts(spark, sf_dir)
-    return facts.lookup_stats(items, _aliases(items))
+    wide = F.map_concat("specs", F.when(F.col("id") % 6 == 0, F.create_map(F.lit("width"), number(F.lit(1)))).otherwise(F.create_map().cast(_BAG)))
+    items = items.withColumn("specs", wide)
+    names = items.where("identity <> ''").select("identity").distinct()
+    fact = lambda where, key, v: names.where(where).select("identity", F.lit(key).alias("key"), number(F.lit(v)).alias("value") if v else F.lit(None).cast("struct<num:double,flag:boolean,txt:string>").alias("value"), F.lit(v is not None).alias("found"))
+    red, blue = "identity LIKE '%red%'", "identity LIKE '%blue%'"
+    known = fact(red, "size", None).unionByName(fact(red, "size", 9.0)).unionByName(fact(f"{red} OR {blue}", "width", 5.0)).unionByName(fact(blue, "width", 4.0)).unionByName(fact(blue, "size", None))
+    alike = spark.createDataFrame([("size", "width")], "key string, synonym string")
+    return facts.fill(items, known, ["size"], alike).select("id", F.col("specs")["size"]["num"].alias("size"), F.array_join("need", ",").alias("need"))
 
 
 @query("SELECT s_suppkey AS id, key FROM supplier, (VALUES ('a', 1), ('b', 2), ('c', 3), ('d', 4)) v(key, rank) WHERE key <> 'a' AND NOT (key = 'b' AND s_suppkey % 2 = 0) AND NOT (key = 'd' AND s_suppkey % 2 = 1)")
@@ -736,11 +760,15 @@ def picked_cards(spark, sf_dir):
     return out.select(F.col("job_id").cast("int").alias("job_id"), "pos", "url", "picked")
 
 
-@query("SELECT o_custkey % 7 AS collection_id, max(o_orderkey % 100) AS max_items, max(o_orderkey % 9) AS max_pages FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+@query(f"""WITH {ITEMS}, w AS (SELECT o_custkey % 7 AS collection_id, max(o_orderkey % 100) AS max_items, max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 9 END) AS max_pages, max(o_orderkey % 50) AS pages_seen FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+a AS (SELECT collection_id, count(*) FILTER (gone_at IS NULL) AS active_items FROM items GROUP BY 1)
+SELECT coalesce(w.collection_id, a.collection_id) AS collection_id, coalesce(max_items, 0) AS max_items, coalesce(max_pages, 0) AS max_pages, coalesce(pages_seen, 0) AS pages_seen, coalesce(active_items, 0) AS active_items FROM w FULL JOIN a ON w.collection_id = a.collection_id""")
 def recrawl_limits(spark, sf_dir):
-    params = F.to_json(F.struct((F.col("o_orderkey") % 100).alias("max_items"), (F.col("o_orderkey") % 9).cast("string").alias("max_pages")))
-    jobs = _table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("collection_id"), F.when(F.col("o_orderstatus") == "F", "listing").otherwise("detail").alias("type"), params.alias("params"))
-    return state.recrawl_hints(jobs)
+    """Limits that aren't numbers count for nothing."""
+    k = F.col("o_orderkey")
+    pages = F.when(k % 2 == 0, F.to_json(F.struct((k % 100).alias("max_items"), (k % 9).alias("max_pages")))).otherwise(F.to_json(F.struct((k % 100).alias("max_items"), (k % 9).cast("string").alias("max_pages"))))
+    jobs = _table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("collection_id"), F.when(F.col("o_orderstatus") == "F", "listing").otherwise("detail").alias("type"), pages.alias("params"), (k % 50).alias("pages_seen"))
+    return state.recrawl_hints(jobs, items_of_parts(spark, sf_dir))
 
 
 # Collections --------------------------------------------------------------------------------------------------------------------------

@@ -112,15 +112,15 @@ def facet_values(items: DataFrame, filters: Sequence[Filter], registry: Sequence
     spelled = cells.groupBy("key", F.lower(spelling).alias("option"), spelling.alias("spelling")).agg(F.count("*").alias("n"), F.min("id").alias("seen"))
     options = spelled.groupBy("key", "option").agg(F.max_by("spelling", F.struct("n", -F.col("seen"))).alias("value"), F.sum("n").alias("count"))
     ticked = [(f.key, as_text(v), str(v)) for f in filters if f.key in kinds and f.op in ("eq", "in") for v in (f.value if isinstance(f.value, list | tuple) else [f.value]) if v is not None and not isinstance(v, bool)]
-    # an option's rank counts the options before it, found per field by a window over distinct options
+    # a rank with a limit is cut before its shuffle already, so a field of very many options sends `cap` of each task
     place = Window.partitionBy("key").orderBy(F.desc("count"), "value", "option")
-    options = options.withColumn("place", F.row_number().over(place)).withColumn("options", F.count("*").over(Window.partitionBy("key")))
+    listed = options.withColumn("place", F.row_number().over(place)).where(F.col("place") <= cap).drop("place").withColumn("shown", F.lit(1))
     if ticked:
-        chosen = items.sparkSession.createDataFrame(list({t[:2]: t for t in ticked}.values()), "key string, option string, as_typed string")
-        options = options.join(F.broadcast(chosen), ["key", "option"], "full").withColumn("value", F.coalesce("value", "as_typed")).withColumn("count", F.coalesce("count", F.lit(0)))
-        listed = options.where((F.col("place") <= cap) | F.col("as_typed").isNotNull())
-    else:
-        listed = options.where(F.col("place") <= cap)
-    shown = F.count_if(F.col("count") > 0).over(Window.partitionBy("key"))
-    all_options = F.coalesce(F.max("options").over(Window.partitionBy("key")), F.lit(0))
-    return listed.select("key", "value", "count", (all_options - shown).alias("more"))
+        chosen = F.broadcast(items.sparkSession.createDataFrame(list({t[:2]: t for t in ticked}.values()), "key string, option string, as_typed string"))  # a request's filters
+        counted = options.join(chosen, ["key", "option"], "right").select("key", "option", F.coalesce("value", "as_typed").alias("value"), F.coalesce("count", F.lit(0)).alias("count"), F.col("count").isNotNull().cast("int").alias("shown"))
+        listed = listed.unionByName(counted.join(listed.select("key", "option"), ["key", "option"], "left_anti"))
+    # rows a field, of which a registry has few
+    sizes = options.groupBy("key").agg(F.count("*").alias("options"))
+    shown = listed.groupBy("key").agg(F.sum("shown").alias("shown"))
+    more = F.coalesce("options", F.lit(0)) - F.col("shown")
+    return listed.drop("shown").join(shown, "key").join(sizes, "key", "left").select("key", "value", "count", more.alias("more"))

@@ -56,16 +56,35 @@ def sibling_values(items: DataFrame, aliases: DataFrame, sources: DataFrame | No
     return stated.groupBy("canonical", "key").agg(first.alias("s")).select("canonical", "key", "s.value", "s.url", F.lit(SIBLING_CONFIDENCE).alias("confidence"))
 
 
-def fill(items: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """`items` with found facts (identity, key, value, found) put into bags that lack the key, and `need`: keys still without an answer."""
-    asked = facts.where(F.col("key").isin(keys)).groupBy("identity").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("found"), F.struct("key", "value")))).alias("have"), F.collect_set("key").alias("answered")
+def _names_of(keys: list[str], synonyms: DataFrame | None) -> dict[str, list[str]]:
+    """Each of the asked keys with its synonyms, itself first."""
+    names = {k: [k] for k in keys}
+    if synonyms is not None:  # rows of the few keys that are asked for
+        for r in synonyms.where(F.col("key").isin(keys)).select("key", "synonym").distinct().orderBy("key", "synonym").collect():
+            names[r["key"]] += [r["synonym"]] if r["synonym"] not in names[r["key"]] else []
+    return names
+
+
+def fill(items: DataFrame, facts: DataFrame, keys: list[str], synonyms: DataFrame | None = None) -> DataFrame:
+    """`items` with found facts (identity, key, value, found) put into bags that lack the key, and `need`: keys still without an answer.
+
+    synonyms: (key, synonym); a value or a fact under a synonym counts as one of the key. Of several facts of a product and key a found one counts before one
+    that says there is none, one of the key itself before those of synonyms, then the first by synonym and value.
+    """
+    names = _names_of(keys, synonyms)
+    spelt = [(name, k, place) for k, all_names in names.items() for place, name in enumerate(all_names)]
+    own = F.broadcast(items.sparkSession.createDataFrame(spelt, "key string, asked string, place int"))  # the keys of one request
+    best = F.min_by(F.struct("value", "found"), F.struct(~F.col("found"), "place", F.to_json("value")))
+    asked = facts.join(own, "key").withColumn("found", F.coalesce("found", F.lit(False))).groupBy("identity", "asked").agg(best.alias("f"))
+    asked = asked.groupBy("identity").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("f.found"), F.struct("asked", "f.value")))).alias("have"), F.collect_set("asked").alias("answered")
     )
     joined = items.join(asked, "identity", "left")
-    bag = F.coalesce("specs", F.create_map().cast(items.schema["specs"].dataType))
-    new = F.map_filter(F.coalesce("have", F.create_map().cast(items.schema["specs"].dataType)), lambda k, _: ~F.map_contains_key(bag, k))
-    wanted = F.array(*map(F.lit, keys))
-    lacking = F.array_except(F.array_except(wanted, F.map_keys(F.map_concat(bag, new))), F.coalesce("answered", F.array().cast("array<string>")))
+    none = F.create_map().cast(items.schema["specs"].dataType)
+    bag = F.coalesce("specs", none)
+    has = F.array_compact(F.array(*(F.when(F.arrays_overlap(F.map_keys(bag), F.array(*map(F.lit, all_names))), F.lit(k)) for k, all_names in names.items())))
+    new = F.map_filter(F.coalesce("have", none), lambda k, _: ~F.array_contains(has, k))
+    lacking = F.array_except(F.array_except(F.array(*map(F.lit, keys)), F.array_union(has, F.map_keys(new))), F.coalesce("answered", F.array().cast("array<string>")))
     return joined.select(*(c for c in items.columns if c != "specs"), F.map_concat(bag, new).alias("specs"), lacking.alias("need"))
 
 
@@ -87,11 +106,25 @@ def lookup_order(items: DataFrame, aliases: DataFrame, most: int = MAX_LOOKUPS)
     return named.groupBy("canonical").agg(F.count("*").alias("listings")).orderBy(F.desc("listings"), "canonical").limit(most)
 
 
-def lookup_stats(items: DataFrame, aliases: DataFrame, most: int = MAX_LOOKUPS) -> DataFrame:
-    """One row: listings, names, products, merged names, to_look_up and remaining products."""
-    named = items.join(aliases, "identity", "left").withColumn("canonical", F.coalesce("canonical", F.nullif("identity", F.lit("")), F.lower("title")))
-    counted = named.agg(F.count("*").alias("listings"), F.count_distinct("identity").alias("names"), F.count_distinct("canonical").alias("products"))
-    return counted.select("*", F.greatest(F.col("names") - F.col("products"), F.lit(0)).alias("merged"), F.least("products", F.lit(most)).alias("to_look_up"), F.greatest(F.col("products") - most, F.lit(0)).alias("remaining"))
+def lookup_stats(items: DataFrame, aliases: DataFrame, keys: list[str], known: DataFrame, siblings: DataFrame, most: int = MAX_LOOKUPS) -> DataFrame:
+    """One row about the items that lack some of `keys`: listings, products, merged (names other than their product's), cached (products that need no
+    lookup), from_siblings (values of products that only another listing states), to_look_up (at most `most`) and remaining products.
+
+    known: (canonical, key) of cached facts, found or not; siblings: (canonical, key) of values that other listings state.
+    """
+    name = F.coalesce(F.nullif("identity", F.lit("")), F.lower("title"))
+    wanted = F.array(*map(F.lit, keys))
+    lacking = F.array_except(wanted, F.coalesce(F.map_keys("specs"), F.array().cast("array<string>")))
+    named = items.join(aliases, "identity", "left").select(name.alias("name"), F.coalesce("canonical", name).alias("canonical"), lacking.alias("lacking")).where(F.size("lacking") > 0)
+    counted = named.agg(F.count("*").alias("listings"), F.count_distinct("canonical").alias("products"), F.count_distinct(F.when(F.col("name") != F.col("canonical"), F.struct("name", "canonical"))).alias("merged"))
+    pairs = named.select("canonical", F.explode("lacking").alias("key")).distinct()
+    open_ = pairs.join(known.select("canonical", "key"), ["canonical", "key"], "left_anti")
+    stated = open_.join(siblings.select("canonical", "key"), ["canonical", "key"], "left_semi").agg(F.count("*").alias("from_siblings"))
+    asked = open_.join(siblings.select("canonical", "key"), ["canonical", "key"], "left_anti").agg(F.count_distinct("canonical").alias("asked"))
+    rows = counted.crossJoin(stated).crossJoin(asked)  # one row each
+    return rows.select(
+        "listings", "products", "merged", (F.col("products") - F.col("asked")).alias("cached"), "from_siblings", F.least("asked", F.lit(most)).alias("to_look_up"), F.greatest(F.col("asked") - most, F.lit(0)).alias("remaining")
+    )
 
 
 def to_ask(wanted: DataFrame, in_flight: DataFrame, aliases: DataFrame, synonyms: DataFrame) -> DataFrame:

@@ -140,8 +140,10 @@ def searched_synonyms(merges: DataFrame, asked: DataFrame, registry: DataFrame)
 
 def unchecked(asked: DataFrame, checks: DataFrame, sizes: DataFrame) -> DataFrame:
     """`asked(key)` not yet compared with each collection's registry at its present size; checks (key, collection_id, size), sizes (collection_id, size)."""
-    done = asked.select("key").crossJoin(F.broadcast(sizes)).join(checks, ["key", "collection_id", "size"], "left_anti")  # keys that a request asks for
-    return asked.join(done.select("key").distinct(), "key", "left_semi")
+    compared = checks.join(sizes, ["collection_id", "size"]).groupBy("key").agg(F.count_distinct("collection_id").alias("compared"))
+    all_ = sizes.agg(F.count_distinct("collection_id").alias("all"))
+    rows = asked.join(compared, "key", "left").crossJoin(F.broadcast(all_))  # one row
+    return rows.where(F.coalesce("compared", F.lit(0)) < F.col("all")).select(asked.columns)
 
 
 def flat_aliases(pairs: DataFrame) -> DataFrame:

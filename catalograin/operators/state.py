@@ -116,10 +116,22 @@ def pick_cards(saved: DataFrame, job_id: int, urls: DataFrame) -> DataFrame:
     return marked.select("job_id", "pos", "url", "text", picked.alias("picked"))
 
 
-def recrawl_hints(jobs: DataFrame) -> DataFrame:
-    """(collection_id, max_items, max_pages) asked for by past listing walks; jobs (collection_id, type, params as JSON)."""
-    asked = lambda name: F.max(F.get_json_object("params", f"$.{name}").try_cast("long")).alias(name)
-    return jobs.where("type = 'listing'").groupBy("collection_id").agg(asked("max_items"), asked("max_pages"))
+def recrawl_hints(jobs: DataFrame, items: DataFrame) -> DataFrame:
+    """(collection_id, max_items, max_pages, pages_seen, active_items) of every collection with walks or items: the largest limits that past listing walks
+    asked for, the most pages that one saw, and how many items are still listed; 0 where there are none.
+
+    jobs: (collection_id, type, params as JSON, pages_seen); a limit that isn't a number counts as none. items: (collection_id, gone_at).
+    """
+    params = F.try_parse_json("params")
+
+    def asked(name: str) -> Column:
+        number = F.schema_of_variant(F.try_variant_get(params, f"$.{name}", "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        return F.coalesce(F.max(F.when(number, F.try_variant_get(params, f"$.{name}", "long"))), F.lit(0)).alias(name)
+
+    walks = jobs.where("type = 'listing'").groupBy("collection_id").agg(asked("max_items"), asked("max_pages"), F.coalesce(F.max("pages_seen"), F.lit(0)).alias("pages_seen"))
+    active = items.groupBy("collection_id").agg(F.count_if(F.col("gone_at").isNull()).alias("active_items"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return walks.join(active, "collection_id", "full").select("collection_id", *map(zero, ("max_items", "max_pages", "pages_seen", "active_items")))
 
 
 def category_of_crumbs(crumbs: Column, host: str, page: str) -> Column:

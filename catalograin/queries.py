@@ -315,6 +315,22 @@ def usage_windows(spark, sf_dir):
     return rows.select(*(F.round(c, 4).alias(c) for c in ("today", "recent", "all_time")), "calls_today", "calls", "unpriced")
 
 
+@query("""WITH u AS (SELECT ts, event_type AS purpose, CASE WHEN event_id % 5 > 0 THEN 'p' || event_id % 3 ELSE 'openrouter' END AS provider, 'm' || user_id % 4 AS model, CASE event_id % 4 WHEN 0 THEN 'own' WHEN 1 THEN NULL ELSE 'platform' END AS funding, CASE WHEN event_id % 10 <> 0 THEN value END AS cost,
+  event_id % 2 = 0 AS cost_estimated, event_id % 100 AS pt, event_id % 7 AS ct FROM events)
+SELECT CASE GROUPING(purpose, provider, model, funding) WHEN 15 THEN 'all' WHEN 7 THEN 'purpose' WHEN 9 THEN 'model' ELSE 'funding' END AS part, purpose, provider, model, funding, count(*) AS calls, count(*) FILTER (cost IS NULL) AS unpriced, round(coalesce(sum(cost), 0), 4) AS cost,
+  round(coalesce(sum(cost) FILTER (cost_estimated), 0), 4) AS estimated, round(coalesce(sum(cost) FILTER (ts >= TIMESTAMP '2024-01-20 00:00:00'), 0), 4) AS today, round(coalesce(sum(cost) FILTER (ts >= TIMESTAMP '2024-01-13 12:00:00'), 0), 4) AS recent, CAST(sum(pt) AS BIGINT) AS prompt_tokens, CAST(sum(ct) AS BIGINT) AS completion_tokens
+FROM u GROUP BY GROUPING SETS ((), (purpose), (provider, model), (funding))""")
+def usage_summary(spark, sf_dir):
+    """All figures of a usage page from one pass over the calls."""
+    k = F.col("event_id")
+    usage = _table(spark, sf_dir, "events").select(
+        "ts", F.col("event_type").alias("purpose"), F.when(k % 5 > 0, F.concat(F.lit("p"), k % 3)).alias("provider"), F.concat(F.lit("m"), F.col("user_id") % 4).alias("model"), F.when(k % 4 == 0, "own").when(k % 4 > 1, "platform").alias("funding"),
+        F.when(k % 10 != 0, F.col("value")).alias("cost"), (k % 2 == 0).alias("cost_estimated"), (k % 100).alias("prompt_tokens"), (k % 7).alias("completion_tokens"),
+    )
+    rows = ledger.usage_summary(usage, F.lit("2024-01-20 12:00:00").cast("timestamp"), 7)
+    return rows.select(*(F.round(c, 4).alias(c) if c in ("cost", "estimated", "today", "recent") else F.col(c) for c in rows.columns))
+
+
 @query("SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS calls, round(sum(value), 4) AS cost FROM events GROUP BY ALL")
 def usage_by_user_day(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").select("user_id", F.to_date("ts").cast("string").alias("day"), F.col("value").alias("cost"))

@@ -153,6 +153,11 @@ def test_fill_and_accept(spark):
     cache = spark.createDataFrame([("p", "x", num(9), True), ("p", "y", num(2), True), ("q", "y", None, False)], f"identity string, key string, value {value}, found boolean")
     got = {r["id"]: ({k: v["num"] for k, v in r["specs"].items()}, r["need"]) for r in facts.fill(items, cache, ["x", "y"]).collect()}
     assert got == {1: ({"x": 1.0, "y": 2.0}, []), 2: ({}, ["x"]), 3: ({}, ["x", "y"])}
+    again = [("p", "y", num(3), True), ("p", "y", None, False), ("q", "wide", num(7), True), ("q", "x", None, False), ("r", "wide", num(1), True), ("r", "x", num(8), True)]
+    alike = spark.createDataFrame([("x", "wide"), ("y", "tall"), ("z", "deep")], "key string, synonym string")
+    wide = make(spark, [(4, "d", "q", None, {"tall": num(1)}), (5, "e", "r", None, {"wide": num(2)})])
+    rows = facts.fill(items.unionByName(wide), cache.unionByName(spark.createDataFrame(again, cache.schema)), ["x", "y"], alike).collect()
+    assert {r["id"]: ({k: v["num"] for k, v in r["specs"].items()}, r["need"]) for r in rows} == {1: ({"x": 1.0, "y": 2.0}, []), 2: ({"x": 7.0}, []), 3: ({"x": 8.0}, ["y"]), 4: ({"tall": 1.0, "x": 7.0}, []), 5: ({"wide": 2.0}, ["y"])}
     answers = spark.createDataFrame([("p", "a", "v", 0.9, True, True), ("p", "b", "v", 0.9, False, True), ("p", "c", "v", 0.5, True, True), ("p", "d", "v", 0.5, True, False), ("p", "e", "v", 0.7, True, False)], "identity string, key string, value string, confidence double, source_brand_ok boolean, asked boolean")
     got = {r["key"]: (r["value"], r["confidence"], r["found"]) for r in facts.accepted(answers).collect()}
     assert got == {"a": ("v", 0.9, True), "b": (None, 0.3, False), "c": (None, 0.5, False), "e": ("v", 0.7, True)}

@@ -39,8 +39,10 @@ def test_cards_and_hints(spark):
     saved = state.save_cards(saved, 1, spark.createDataFrame([(0, "c", "t"), (1, "d", "t")], "pos long, url string, text string"))
     got = state.pick_cards(saved, 1, spark.createDataFrame([("d",), ("d",)], "url string"))
     assert {(r["job_id"], r["url"], r["picked"]) for r in got.collect()} == {(1, "c", False), (1, "d", True), (2, "b", True)}
-    jobs = spark.createDataFrame([(1, "listing", '{"max_items": 5, "max_pages": 2}'), (1, "listing", '{"max_items": 9}'), (1, "enrich", '{"max_items": 99}')], "collection_id long, type string, params string")
-    assert tuple(state.recrawl_hints(jobs).first()) == (1, 9, 2)
+    jobs = [(1, "listing", '{"max_items": 5, "max_pages": 2}', 4), (1, "listing", '{"max_items": 9, "max_pages": "7"}', None), (1, "enrich", '{"max_items": 99}', 50), (3, "listing", None, None), (3, "listing", "no json", 1)]
+    items = spark.createDataFrame([(1, None), (1, None), (1, 5), (2, 6)], "collection_id long, gone_at long")
+    found = state.recrawl_hints(spark.createDataFrame(jobs, "collection_id long, type string, params string, pages_seen long"), items)
+    assert sorted(map(tuple, found.collect())) == [(1, 9, 2, 4, 2), (2, 0, 0, 0, 0), (3, 0, 0, 1, 0)]
     crumbs = [("Home", "https://s.com/"), ("Cars", "https://s.com/cars"), ("Used", "https://s.com/cars/used"), ("Ad", "https://o.com/x"), ("This", "https://s.com/i/1")]
     row = spark.createDataFrame([(crumbs,)], "c array<struct<name:string,url:string>>").select(state.category_of_crumbs(F.col("c"), "s.com", "https://s.com/i/1").alias("x")).first()
     assert row["x"]["name"] == "Used"
