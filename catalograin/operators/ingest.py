@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.change import removed_share
 from ..functions.text import attribute_key, coerced
 
 GONE_SHARE = 0.5
@@ -138,3 +139,37 @@ def walk_end(pages: DataFrame) -> DataFrame:
     stale = (F.col("new_items") == 0) & (F.coalesce(F.lag("new_items").over(order), F.lit(1)) == 0)
     ends = pages.withColumn("end", (F.col("items") == 0) | stale)
     return ends.groupBy("walk_id").agg(F.coalesce(F.min(F.when(F.col("end"), F.col("page"))), F.max("page")).alias("last_page"), F.max("end").alias("complete"))
+
+
+def accepted_versions(visits: DataFrame) -> DataFrame:
+    """(page, at, tries, share, verdict) of every visit in time order: what became of it, given the last version of its page that was accepted.
+
+    visits: (page, at, attempt, tokens), tokens sorted and distinct as `change.tokens` has them; attempt 0 is the first load, and 1 a second one. Where more than RELOAD_SHARE of
+    the known tokens are missing, the second load counts if less is missing from it; more than REJECT_SHARE missing then keeps what is known
+    (`reject`), else the version is `same` or `changed`. The first version is `first`. `share` is what was missing of the load that counted, tries how many loads were needed.
+
+    Whether a version counts depends on the last accepted one, not on the one before it, so a page's versions are folded in order: one page's versions meet in
+    one row, and nothing else does.
+    """
+    loads = visits.groupBy("page", "at").agg(F.array_sort(F.collect_list(F.struct("attempt", "tokens"))).alias("loads"))
+    pages = loads.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("at", "loads"))).alias("visits"))
+    verdicts = "array<struct<at:bigint,tries:int,share:double,verdict:string>>"
+    start = F.struct(F.lit(None).cast("array<string>").alias("known"), F.array().cast(verdicts).alias("out"))
+
+    def told(known: Column, visit: Column, load: Column, share: Column, tries: int) -> Column:
+        tokens = load["tokens"]
+        verdict = F.when(known.isNull(), "first").when(share > REJECT_SHARE, "reject").when(tokens == known, "same").otherwise("changed")
+        row = F.struct(visit["at"].cast("bigint").alias("at"), F.lit(tries).alias("tries"), share.alias("share"), verdict.alias("verdict"))
+        return F.struct(F.when(verdict == "reject", known).otherwise(tokens).alias("known"), row.alias("row"))
+
+    def step(acc: Column, visit: Column) -> Column:
+        known, first = acc["known"], visit["loads"][0]
+        second = F.get(visit["loads"], F.lit(1))
+        missing = lambda load: F.coalesce(removed_share(known, load["tokens"]), F.lit(0.0))
+        lost = missing(first)
+        again = (lost > RELOAD_SHARE) & second.isNotNull()
+        better = again & (missing(second) < lost)
+        one = F.when(better, told(known, visit, second, missing(second), 2)).when(again, told(known, visit, first, lost, 2)).otherwise(told(known, visit, first, lost, 1))
+        return F.struct(one["known"].alias("known"), F.concat(acc["out"], F.array(one["row"])).alias("out"))
+
+    return pages.select("page", F.explode(F.aggregate("visits", start, step)["out"]).alias("v")).select("page", "v.*")
