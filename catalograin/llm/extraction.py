@@ -36,7 +36,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 OUT_ELEMENTS = frozenset("nav header footer aside form button dialog menu head".split())
 OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices "
-    "pagination popup promo promoted related reply replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+    "pagination popup promo promoted related reply replies respond responses share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 PLAIN_WORDS = frozenset("area bar block bottom box container content fixed global inner left list main outer page post posts right section site sticky top user wrap wrapper".split())
 #: Words that a name counts as having inside and outside main text before any page is seen, and the odds below which its content goes.
@@ -55,10 +55,12 @@ class Piece:
 
 
 class Element:
-    __slots__ = ("parent", "name", "names", "key", "words", "framing", "out")
+    """start, stop: its first piece, and the one after its last."""
 
-    def __init__(self, parent: int, name: str, names: list[str], key: str):
-        self.parent, self.name, self.names, self.key, self.words, self.framing, self.out = parent, name, names, key, 0, False, False
+    __slots__ = ("parent", "name", "names", "key", "words", "framing", "out", "start", "stop")
+
+    def __init__(self, parent: int, name: str, names: list[str], key: str, start: int):
+        self.parent, self.name, self.names, self.key, self.words, self.framing, self.out, self.start, self.stop = parent, name, names, key, 0, False, False, start, start + 1
 
 
 def _unusual(name: str) -> bool:
@@ -88,8 +90,20 @@ def parsed(page: str, gone: Callable[[str], bool] = goes) -> tuple[list[Piece],
     `main`, or around so much that less than LEAST_LEFT of its words would be left outside such elements.
     """
     found: list[Piece] = []
-    elements = [Element(-1, "", [], "")]
+    elements = [Element(-1, "", [], "", 0)]
     stack = [0]
+    open_at: dict[str, list[int]] = {}  # where in the stack the elements of a name are
+    framed = 0  # so many of the stack are known to be around main text
+
+    def end(size: int) -> None:
+        nonlocal framed
+        while len(stack) > size:
+            ended = elements[stack.pop()]
+            ended.stop = len(found)
+            if stack:
+                open_at[ended.name].pop()
+        framed = min(framed, len(stack))
+
     for m in _TOKEN.finditer(page):
         raw = m.group()
         if raw[0] != "<" or raw == "<":
@@ -103,66 +117,69 @@ def parsed(page: str, gone: Callable[[str], bool] = goes) -> tuple[list[Piece],
             continue
         name = _NAME.match(raw).group(1).lower()
         if raw[1] == "/":
-            at = next((i for i in range(len(stack) - 1, 0, -1) if elements[stack[i]].name == name), None)
+            at = open_at[name][-1] if open_at.get(name) else None
             element = stack[at] if at is not None else stack[-1]
             found.append(Piece(None, "/" + (elements[element].key if at is not None else name), element, name, True))
             if at is not None:
-                del stack[at:]
+                end(at)
             continue
         names = [n for kind in _KIND.findall(raw) for n in kind.lower().split()]
         words = re.split(r"[^a-z0-9]+", names[0]) if names else [""]
         key = f"{name}.{words[0]}" if words[0] else name
-        elements.append(Element(stack[-1], name, [f"<{name}", *names], key))
+        elements.append(Element(stack[-1], name, [f"<{name}", *names], key, len(found)))
         found.append(Piece(None, key, len(elements) - 1, name))
         if name in ("article", "main"):
-            for i in stack:
+            for i in stack[framed:]:
                 elements[i].framing = True
+            framed = len(stack)
         if name not in VOID and not raw.endswith("/>"):
+            open_at.setdefault(name, []).append(len(stack))
             stack.append(len(elements) - 1)
+    end(0)
     _mark(elements, gone)
     for piece in found:
         piece.out = piece.element < 0 or elements[piece.element].out
     return found, elements
 
 
-def _mark(elements: list[Element], gone: Callable[[str], bool]) -> None:
-    """Mark the elements that go, from the outermost inwards."""
+def _sums(elements: list[Element]) -> list[int]:
+    """Words of each element with all that is inside."""
     whole = [e.words for e in elements]
     for i in range(len(elements) - 1, 0, -1):
         whole[elements[i].parent] += whole[i]
+    return whole
+
+
+def _mark(elements: list[Element], gone: Callable[[str], bool]) -> None:
+    """Mark the elements that go, from the outermost inwards."""
+    whole = _sums(elements)
     in_article = [False] * len(elements)
     inside = [False] * len(elements)  # of one that would go by its name
     wanted = [False] * len(elements)
+    known: dict[str, bool] = {}
     left = whole[0]
     for i, e in enumerate(elements[1:], 1):
         in_article[i] = e.name == "article" or in_article[e.parent]
-        wanted[i] = not e.framing and e.name not in ("html", "body", "article", "main") and not (e.name == "header" and in_article[i]) and any(map(gone, e.names))
+        for name in e.names:
+            if name not in known:
+                known[name] = gone(name)
+        wanted[i] = not e.framing and e.name not in ("html", "body", "article", "main") and not (e.name == "header" and in_article[i]) and any(map(known.get, e.names))
         inside[i] = inside[e.parent] or wanted[i]
         if wanted[i] and not inside[e.parent]:
             left -= whole[i]
+    lost = [0] * len(elements)  # words in those within an element that would go
+    for i in range(len(elements) - 1, 0, -1):
+        lost[elements[i].parent] += whole[i] if wanted[i] else lost[i]
     for i, e in enumerate(elements[1:], 1):
         if elements[e.parent].out:
             e.out = True
         elif wanted[i]:
             if left < LEAST_LEFT * whole[i]:  # it is around the main text: what it has outside of others that go is left
-                left += _kept(elements, wanted, i, whole)
+                left += whole[i] - lost[i]
             else:
                 e.out = True
 
 
-def _kept(elements: list[Element], wanted: list[bool], at: int, whole: list[int]) -> int:
-    """Words of an element outside of those within it that would go."""
-    kept, inner = whole[at], {at: False}
-    for j in range(at + 1, len(elements)):
-        above = inner.get(elements[j].parent)
-        if above is None:
-            continue
-        inner[j] = above or wanted[j]
-        if wanted[j] and not above:
-            kept -= whole[j]
-    return kept
-
-
 def label(page: str, gone: Callable[[str], bool] = goes) -> tuple[list[tuple[Piece, bool]], Counter, Counter] | None:
     """Pieces that do not go, with whether they lie in the page's one `article` element; and the words by name of elements inside and outside it.
 
@@ -174,13 +191,13 @@ def label(page: str, gone: Callable[[str], bool] = goes) -> tuple[list[tuple[Pie
     if len(opens) != 1 or len(closes) != 1 or closes[0] < opens[0]:
         return None
     article, inside, outside = found[opens[0]].element, Counter(), Counter()
-    for i, p in enumerate(found):
-        if p.text is not None and (n := len(p.text.split())):
-            into, at = (inside if opens[0] < i < closes[0] else outside), p.element
-            while at > 0 and at != article and not elements[at].framing:
-                for name in elements[at].names:
-                    into[name] += n
-                at = elements[at].parent
+    within = [i == article for i in range(len(elements))]
+    for i, (e, n) in enumerate(zip(elements, _sums(elements), strict=True)):
+        within[i] |= i > 0 and within[e.parent]
+        if i and n and i != article and not e.framing:
+            into = inside if within[i] else outside
+            for name in e.names:
+                into[name] += n
     return [(p, opens[0] < i < closes[0]) for i, p in enumerate(found) if not p.out], inside, outside
 
 
@@ -263,9 +280,30 @@ def best_stretch(scores: Iterable[float]) -> tuple[int, int]:
     return found
 
 
+def _whole_articles(found: list[Piece], elements: list[Element], start: int, stop: int) -> tuple[int, int]:
+    """The region, grown by the rest of each `article` (and `main` without one) that it lies in or has half the words of: tags that no labelled page has cost too much there."""
+    words = [0]
+    for piece in found:
+        words.append(words[-1] + (len(piece.text.split()) if piece.text is not None and not piece.out else 0))
+    parted = set()
+    for e in reversed(elements):
+        if e.name == "article" and e.parent >= 0:
+            parted.add(e.parent)
+    around = [False] * len(elements)
+    for i in range(len(elements) - 1, 0, -1):
+        around[i] |= i in parted
+        around[elements[i].parent] |= around[i]
+    for i, e in enumerate(elements):
+        if not e.out and (e.name == "article" or e.name == "main" and not around[i]):
+            mine, common = words[e.stop] - words[e.start], words[max(start, min(stop, e.stop))] - words[min(stop, max(start, e.start))]
+            if common and (2 * common >= mine or common == words[stop] - words[start]):
+                start, stop = min(start, e.start), max(stop, e.stop)
+    return start, stop
+
+
 def main_text(page: str | None, weights: Weights) -> str:
-    """The text of the best contiguous region; elements that are not main text weigh nothing and go."""
-    found, _ = parsed(page or "", weights.gone)
+    """The text of the best contiguous region, with the rest of the article that it lies in; elements that are not main text weigh nothing and go."""
+    found, elements = parsed(page or "", weights.gone)
 
     def score(piece: Piece) -> float:
         if piece.out:
@@ -274,7 +312,7 @@ def main_text(page: str | None, weights: Weights) -> str:
             return weights.tag(piece.key)
         return len(piece.text.split()) * weights.word(piece.key)
 
-    start, stop = best_stretch(map(score, found))
+    start, stop = _whole_articles(found, elements, *best_stretch(map(score, found)))
     parts = []
     for piece in found[start:stop]:
         if piece.text is None:

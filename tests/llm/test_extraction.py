@@ -1,12 +1,14 @@
 import html
 import os
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from catalograin.llm.extraction import Weights, best_stretch, extract, fit, main_text
+from catalograin.llm.extraction import Weights, best_stretch, extract, fit, label, main_text
 
 DATA = "/root/testdata/sf0.01/pages.parquet"
 NAV = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">All our offers</a></li></ul></nav>'
@@ -49,6 +51,47 @@ def test_frames_of_the_page_stay(weights, open_, close, inner):
     assert main_text(page, weights) == "A title Text of the page that is long enough to be found. More of it. And the rest."
 
 
+def test_articles_stay_whole(weights):
+    """Markup that no labelled page has costs no words of an article; two articles stay apart from what is between them."""
+    deep = '<div class="x-unknown"><div><div><div>The last six words lie here</div></div></div></div>'
+    page = f"<body>{NAV}<article><h1>Title</h1><p>Some words of a text that is long enough.</p>{deep}</article><div>A slogan</div><footer>Foot</footer>"
+    assert main_text(page, weights) == "Title Some words of a text that is long enough. The last six words lie here"
+    assert main_text(page.replace("article", "main"), weights) == "Title Some words of a text that is long enough. The last six words lie here"
+    assert main_text(page.replace("</article>", '<section id="responses"><p>A reader says so.</p></section></article>'), weights) == "Title Some words of a text that is long enough. The last six words lie here"
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 180_000 + "</span>" * 150_000, '<div class="menu">' * 110_000, "<article>" * 200_000 + "x", "<p>" * 200_000 + "</b></i>" * 100_000, ('<div class="menu">a' * 50 + "</div>" * 50) * 2_000,
+])
+def test_two_megabytes_of_odd_markup_take_seconds(weights, page):
+    began = time.process_time()
+    main_text(page, weights)
+    label(page)
+    assert time.process_time() - began < 10
+
+
+def _frame(rng):
+    """A page whose article is made of pieces, with what it says, between frames of all kinds."""
+    words = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 99)) for _ in range(rng.randint(3, 25)))
+    junk = ["<nav><a href='/'>{}</a></nav>", "<div class='sidebar'>{}</div>", "<form>{}<input></form>", "<div class='cookie-notice'>{}</div>", "<script>{}</script>", "<!-- {} -->", "<footer>{}</footer>", "<section id='comments'><p>{}</p></section>"]
+    kinds = ["<p>{}</p>", "<p>{}", "<ul><li>{}</li></ul>", "<div class='k9 z'><div><div>{}</div></div></div>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<table><tr><td>{}</td></tr></table>", "<p><b>{}</b></p>"]
+    said, body = [], []
+    for _ in range(rng.randint(2, 9)):
+        if rng.random() < 0.3:
+            body.append(rng.choice(junk[1:6]).format(words()))
+        said.append(words())
+        body.append(rng.choice(kinds).format(said[-1]))
+    around = lambda: "".join(rng.choice(junk).format(words()) for _ in range(rng.randint(0, 4)))
+    return f"<html><body><div class='wrap'>{around()}<article>{''.join(body)}</article>{around()}</div></body></html>", " ".join(said)
+
+
+def test_generated_frames(weights):
+    """All of the article's own text and nothing else, whatever lies around and within."""
+    rng = random.Random(6)
+    pages = [_frame(rng) for _ in range(300)]
+    assert [main_text(p, weights) for p, _ in pages] == [text for _, text in pages]
+
+
 def test_long_comments_go(weights):
     page = "<body><div><p>A short text of its own.</p></div><div id='comments'>" + "<p>A reader says something.</p>" * 5 + "</div></body>"
     assert main_text(page, weights) == "A short text of its own."
