@@ -31,12 +31,15 @@ def test_replay_buffers_survive_a_restart(spark, tmp_path, state_store):
             new.setdefault(r["channel"], []).append((r["seq"], r["message"]))
         seen.update(new)
 
+    until = lambda test: next((True for _ in range(600) if test() or time.sleep(0.1)), False)
     for part in (rows[:15], rows[10:16], rows[16:]):
         spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(EVENTS).parquet(source)
-        query = walks.replay_buffers(stream, size=6).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        query.awaitTermination(120)
-        assert query.exception() is None
+        query = walks.replay_buffers(stream, size=6).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
+        try:  # timers that wait keep such a query from ending by itself
+            assert until(lambda last=part[-1][1]: any(last in [s for s, _ in v] for v in seen.values())), query.exception()
+        finally:
+            query.stop()
     tail = {}
     for r in events.tail(spark.createDataFrame(rows, EVENTS), 6).collect():
         tail.setdefault(r["channel"], []).append((r["seq"], r["message"]))
