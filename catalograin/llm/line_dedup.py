@@ -88,8 +88,11 @@ def _by_stretch(rest: DataFrame, percent: int, depth: int) -> DataFrame:
     start, stop = (F.floor((band + k) * (n - depth) / F.col("n_bands")).cast("int") for k in (0, 1))
     banded = rest.withColumn("band", F.explode(F.sequence(F.lit(0), F.col("n_bands") - 1)))
     banded = stored(banded.select(F.xxhash64("leaf", "band", F.slice("tokens", start + depth + 1, stop - start)).alias("bucket"), "h1", "h2"), "banded")
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("lines")).where("lines > 1")
-    shared = stored(banded.join(shared, "bucket"), "shared")
+    # a template comes of a bucket's lines alone, so of stretches that the same lines share one is enough: long lines share very many
+    mark = F.bit_xor(F.xxhash64("h1", "h2")), F.bit_xor(F.xxhash64(F.lit(1), "h1", "h2"))
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("lines"), mark[0].alias("m1"), mark[1].alias("m2")).where("lines > 1")
+    buckets = buckets.groupBy("lines", "m1", "m2").agg(F.min("bucket").alias("bucket")).select("bucket", "lines")
+    shared = stored(banded.join(buckets, "bucket"), "shared")
     met = rest.select("h1", "h2", "n", "tokens").join(small(shared, 64 * shared.count()), ["h1", "h2"])
     return _fitted(stored(met, "met"), "bucket", percent, depth)
 

@@ -106,3 +106,15 @@ def test_own_columns_stay(spark):
 
     docs = spark.createDataFrame([(1, "a line of five words", 7, "x"), (2, "a line of five words", 8, "y")], "doc_id long, text string, n_lines long, gone string")
     assert sorted(map(tuple, drop_lines(docs).collect())) == [(1, "a line of five words", 7, "x"), (2, "", 8, "y")]
+
+
+def test_very_long_lines(spark):
+    """Three lines of 20,000 words agree in their first seven tenths, in a leaf crowded with others: each of their thousands of common stretches has the same lines."""
+    n = 20_000
+    word = lambda k, i: f"{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}"
+    head = ["all", "begin", "so"]
+    common = head + [word(0, i) for i in range(3, n * 7 // 10)]
+    lines = [" ".join(common + [word(1 + k, i) for i in range(len(common), n)]) for k in range(3)]
+    lines += [" ".join(head + [word(5 + k, i) for i in range(3, n)]) for k in range(9)]
+    got = result(dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")))
+    assert [got[i][2] for i in range(12)] == [0, 1, 1] + [0] * 9
