@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 CAPACITY = 4096
-#: Pieces that one task packs; beyond, more tasks do. Each leaves a handful of part-filled bins, which `_merge` packs again.
+#: Pieces that one task packs; beyond, more tasks do. Each leaves a handful of part-filled bins, which the next level packs again.
 CHUNK_PIECES = 50_000
 #: Share of a level's pieces in bins it leaves open, beyond which their bins stay as they are.
 MOST_LEFT = 0.75
 CACHE_WORDS = 400_000
 BLOCK_CHARS = 1_500_000
+#: Texts whose ids show whether a tokenizer takes words one by one and in lower case.
+PROBES = ["", " ", "The quick  brown\tfox\n", "Don't stop, it's 12.50 (or so)!", "NAÏVE Öl straße été “quoted” words—more", "x.y a-b c_d #tag @name 100% <tag> https://a.example/b?c=d", "Ωμέγα мир 世界 مرحبا", "I\u0307 e\u0301 🎉🎉 ab"]
 #: Characters that end a word and are a pre-token of their own after letters (the apostrophe is not: it starts contractions).
 MARKS = '.,;:!?*#$%&()[]{}<>|/-+=_~^@"'
 
@@ -33,6 +35,8 @@ class WordEncoder:
     letters only are one pre-token each, whose last token ends with `</w>`: they are encoded together and cut there. Letters and
     marks behind them are two.
     The cache holds at most CACHE_WORDS parts and starts anew beyond.
+
+    A tokenizer of another kind, which its words' ends or the ids of PROBES show, encodes every text whole.
     """
 
     def __init__(self, path: str):
@@ -45,6 +49,12 @@ class WordEncoder:
         for token, number in vocabulary.items():
             self.ends[number] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
+        self.by_words = bool(self.ends.any()) and list(self._by_words(PROBES)) == list(self._whole(PROBES))
+        self.known.clear()
+
+    def _whole(self, texts: list[str]) -> Iterator[bytes]:
+        for encoding in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(encoding.ids, "<u4").tobytes()
 
     def _encode_each(self, parts: list[str]) -> None:
         for part, encoding in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
@@ -83,6 +93,9 @@ class WordEncoder:
             self.known[part] = self.known[core] + self.known[mark]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        return self._by_words(texts) if self.by_words else self._whole(texts)
+
+    def _by_words(self, texts: list[str]) -> Iterator[bytes]:
         split = [parts_of(text) for text in texts]
         missing = set().union(*split) - self.known.keys() if split else set()
         if len(missing) + len(self.known) > CACHE_WORDS:

@@ -85,3 +85,15 @@ def test_documents(spark, edge_docs, no_docs):
         want += [(d["doc_id"], k, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for k, s in enumerate(range(0, len(ids), 4096))]
     assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])) for r in rows)
     assert pack_documents(no_docs, PATH).count() == 0
+
+
+def test_other_tokenizers_encode_whole_texts():
+    """A tokenizer that keeps case and white space isn't taken by words."""
+    from tokenizers import Tokenizer
+
+    for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        encoder, plain = WordEncoder(path), Tokenizer.from_file(path)
+        texts = ["Some  Words\n of a text, with MARKS (and so on).", "", "été 𝒳 12.5%  ", "a b"]
+        assert encoder.by_words == by_words
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
