@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, relevance
-from ..plans.model import LISTING_TYPES, Key, Plan, Request, Sort, effective
+from ..plans.model import LISTING_TYPES, Key, Plan, Request, Sort, effective, highlight
 from .compile import bucketed, candidates, has_value, scoped, typed_value
+from .facets import facet_summary, facet_values
+from .facts import fill
 
 COVERAGE = 0.8
 MAX_OFFERED = 5
@@ -101,6 +104,39 @@ def offer(filled: DataFrame, aliases: DataFrame, attributes: Sequence[str]) -> D
     return lacking.agg(F.count_distinct(product).alias("products"), F.count("*").alias("listings")).select(asked.alias("attributes"), "products", "listings")
 
 
+@dataclass(frozen=True)
+class Response:
+    """What a request asks for: two pages and totals; with `facets` (fields, options of fields); with `enrich` the offer of a lookup, if there is one."""
+
+    page: DataFrame
+    unknown: DataFrame
+    totals: DataFrame
+    facets: tuple[DataFrame, DataFrame] | None = None
+    offer: DataFrame | None = None
+
+
+def respond(items: DataFrame, request: Request, registry: Sequence[Key], facts: DataFrame, aliases: DataFrame, collections: int | list[int] | None = None, vectors: DataFrame | None = None, query: Sequence[float] | None = None) -> Response:
+    """`search`, with the facets of its scope and an offer where the request asks for them.
+
+    An attribute is offered if the plan asks for it and the registry doesn't have it, or if less than COVERAGE of the items that match, or can't be judged yet, have it;
+    facts (identity, key, value, found) and aliases (identity, canonical) tell what needs no lookup.
+    """
+    plan = effective(request, registry)
+    scope = scoped(items, collections, request.include_gone)
+    rows = matches(scope, plan, registry, vectors, query)
+    listed = (facet_summary(scope, plan.filters, registry), facet_values(scope, plan.filters, registry)) if request.facets else None
+    offered = None
+    if request.enrich:
+        pool = rows.where("bucket IN ('matched', 'unknown')")
+        wanted, missing = [k for k in highlight(plan) if k not in LISTING_TYPES], {k.key for k in plan.missing}
+        known = [k for k in wanted if k not in missing]
+        poor = {r["key"] for r in coverage(pool, known, registry).where("poor").collect()} if known else set()  # keys of one plan
+        asked = [k for k in wanted if k in missing or k in poor][:MAX_OFFERED]
+        if asked:
+            offered = offer(fill(pool, facts, asked), aliases, asked)
+    return Response(*pages(rows, request, plan, registry), totals(rows), listed, offered)
+
+
 def weak_divider(ranked: DataFrame) -> DataFrame:
     """One row: place of the first `low` row among matches in order (`place`, from 0) and the number of such rows."""
     low = F.col("relevance") == "low"

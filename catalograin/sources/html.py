@@ -48,7 +48,7 @@ class _Page(HTMLParser):
         elif "title" in self.at:
             self.title += data
         elif not self.at or self.at[-1] not in _HIDDEN:
-            if "h1" in self.at and len(self.h1) < 500:
+            if "h1" in self.at:
                 self.h1 += data
             self.parts.append(data)
 
