@@ -12,8 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """`(node, root)` for every node of `edges(a, b)`; root is the smallest node reachable.
 
     Alternating star contraction (large stars, then small stars): every round hangs neighbours below the smallest
-    neighbour until all edges point at a root. Each round is stored, and its aggregates combine before the shuffle, so a hub
-    of any degree is no single task's load. Rounds grow with the logarithm of the longest path.
+    neighbour until all edges point at a root. Each round is stored, and its aggregates combine before the shuffle; its
+    joins send a hub's edges (two numbers each) to one key, which adaptive execution splits where it is skewed. Rounds grow with the logarithm of the longest path.
     Null ends and self-loops are ignored; an empty table gives an empty one.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
