@@ -100,32 +100,37 @@ class PositionalIndex:
     def near(self, phrases: DataFrame, within: int, ranked: DataFrame | None = None) -> DataFrame:
         """(phrase, uid, pos): places of a phrase's rarest term with all its other terms at most `within` (1 or more) words away, in any order.
 
-        As for exact phrases, the list of the second-rarest term thins out the places before the others confirm.
+        Overlapping windows, and items of like wording, share their rarest terms, so places are looked at once for each pair of a rarest and a second-rarest
+        term: those with the second one near stay. Around each place that stays all terms are gathered once, at most 2 * within + 1 of them,
+        and the phrases of its pairs are held against that.
         """
         if within < 1:
             raise ValueError("within must be 1 or more")
         ranked = self.ranked(phrases) if ranked is None else ranked
         terms = ranked.groupBy("phrase", "term").agg(F.min("place").alias("place"))
-        terms = terms.withColumn("rank", F.row_number().over(Window.partitionBy("phrase").orderBy("place"))).withColumn("n_terms", F.count("*").over(Window.partitionBy("phrase")))
-        terms = stored(terms.select("phrase", "term", "n_terms", "rank"), "terms")
-        first, second, rest = (terms.where(c).drop("rank") for c in ("rank = 1", "rank = 2", "rank > 2"))
-        n_first, n_second, n_rest = first.count(), second.count(), rest.count()
-        # a list is cut into stretches of `within` words, of which the place's own and its neighbours count
+        terms = terms.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("place", "term")))["term"].alias("terms"))
+        known = stored(terms.select("phrase", "terms", F.col("terms")[0].alias("first"), F.coalesce(F.get("terms", F.lit(1)), F.col("terms")[0]).alias("second")), "terms")
+        pairs = stored(known.select("first", "second").distinct(), "pairs")
+        n_pairs, n_known = pairs.count(), known.count()
+        firsts, seconds = (pairs.select(F.col(c).alias("term")).distinct() for c in ("first", "second"))
+
+        # postings are cut into stretches of `within` words: what is near a place lies in its own or a neighbouring one
         stretch = F.floor(F.col("pos") / within)
-        around = F.explode(F.array(*(F.floor(F.col("at") / within) + k for k in (-1, 0, 1))))
-        close = F.abs(F.col("at") - F.col("pos")) <= within
-        places = stored(self.postings.join(_small(first, n_first), "term").select("phrase", "uid", F.col("pos").alias("at"), "n_terms"), "places")
-        wanted = places.where("n_terms > 1").join(_small(second.select("phrase", "term"), n_second), "phrase").withColumn("stretch", around)
-        lists = self.postings.join(_small(second.select("term").distinct(), n_second), "term").withColumn("stretch", stretch)
-        thinned = wanted.join(lists, ["uid", "term", "stretch"]).where(close).select("phrase", "uid", "at", "n_terms").distinct()
-        left = stored(places.where("n_terms = 1").unionByName(thinned), "places")
-        rows = left.where("n_terms > 2").select("uid").distinct()
+        places = self.postings.join(_small(firsts, n_pairs), "term").select("uid", F.col("pos").alias("at"), F.col("term").alias("first"))
+        single = places.join(_small(pairs.where("first = second"), n_pairs), "first")
+        wanted = places.join(_small(pairs.where("first <> second"), n_pairs), "first").withColumn("stretch", F.explode(F.array(*(F.floor(F.col("at") / within) + k for k in (-1, 0, 1)))))
+        lists = self.postings.join(_small(seconds, n_pairs), "term").select("uid", F.col("term").alias("second"), "pos", stretch.alias("stretch"))
+        met = wanted.join(lists, ["uid", "second", "stretch"]).where(F.abs(F.col("at") - F.col("pos")) <= within).select("uid", "at", "first", "second").distinct()
+        left = stored(single.select("uid", "at", "first", "second").unionByName(met), "places")
+
+        rows = left.select("uid").distinct()
         n_rows = rows.count()
-        wanted = left.where("n_terms > 2").join(_small(rest.select("phrase", "term"), n_rest), "phrase").withColumn("stretch", around)
+        around = left.select("uid", "at").distinct().withColumn("stretch", F.explode(F.array(*(F.floor(F.col("at") / within) + k for k in (-1, 0, 1)))))
         lists = self.postings.join(_small(rows, n_rows), "uid").withColumn("stretch", stretch)
-        met = wanted.join(lists, ["uid", "term", "stretch"]).where(close).select("phrase", "uid", "at", "n_terms", "term").distinct()
-        met = met.groupBy("phrase", "uid", "at", "n_terms").agg(F.count("*").alias("n")).where("n = n_terms - 2").drop("n")
-        return stored(left.where("n_terms <= 2").unionByName(met), "near").select("phrase", "uid", F.col("at").alias("pos"))
+        around = around.join(lists, ["uid", "stretch"]).where(F.abs(F.col("at") - F.col("pos")) <= within).groupBy("uid", "at").agg(F.collect_set("term").alias("there"))
+        held = left.join(around, ["uid", "at"]).join(small(known, (ROW_BYTES + 160) * n_known), ["first", "second"])
+        found = held.where(F.size(F.array_except("terms", "there")) == 0)
+        return stored(found.select("phrase", "uid", F.col("at").alias("pos")), "near")
 
 
 def windows(benchmark: DataFrame, width: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -199,3 +204,21 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
   sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
+
+
+def near_oracle(within: int = WITHIN) -> str:
+    """The same with n_near."""
+    return f"""
+WITH t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents)),
+bi AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+nw AS (SELECT DISTINCT item, w[s + 1 : s + 10] AS p FROM (SELECT item, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS s FROM bi WHERE len(w) > 0)),
+np AS (SELECT row_number() OVER () AS id, p FROM (SELECT DISTINCT p FROM nw)),
+nt AS (SELECT id, word, min(off) AS off FROM (SELECT id, unnest(p) AS word, unnest(range(len(p))) AS off FROM np) GROUP BY id, word),
+nf AS (SELECT word, count(*) AS n FROM t WHERE word IN (SELECT word FROM nt) GROUP BY word),
+nr AS (SELECT id, arg_min(nt.word, (coalesce(n, 0), off)) AS rarest, count(*) AS k FROM nt LEFT JOIN nf USING (word) GROUP BY id),
+na AS (SELECT id, k, doc_id, pos AS at FROM nr JOIN t ON t.word = nr.rarest),
+nn AS (SELECT na.id, na.doc_id, na.at FROM na JOIN nt ON na.id = nt.id JOIN t ON t.doc_id = na.doc_id AND t.word = nt.word AND t.pos BETWEEN na.at - {within} AND na.at + {within} GROUP BY na.id, na.doc_id, na.at, na.k HAVING count(DISTINCT nt.word) = na.k),
+near AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM nn JOIN np ON nn.id = np.id JOIN nw ON nw.p = np.p GROUP BY doc_id),
+x AS ({ORACLE})
+SELECT x.*, coalesce(n_near, 0) AS n_near FROM x LEFT JOIN near USING (doc_id)
+"""
