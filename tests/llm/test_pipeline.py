@@ -30,3 +30,34 @@ def test_stages(spark, tmp_path):
     assert ids["benchmark_decontamination"] == ids["ngram_jaccard_join"] - {102}
     assert ids["best_fit_packing"] == ids["benchmark_decontamination"]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()} == ids["best_fit_packing"]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _run(spark, path, rows, items, **more):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name, value in more.items():
+        docs = docs.selectExpr("*", f"{value} AS `{name}`")
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(path)).collect()
+
+
+def test_empty_tables(spark, tmp_path):
+    """No documents give no pieces; without a benchmark nothing is contaminated."""
+    assert _run(spark, tmp_path / "a", [], [(0, "a passage of the benchmark that has more than ten words in it")]) == []
+
+
+def test_repeated_rows_clashing_columns_and_no_benchmark(spark, tmp_path):
+    """Of repeated rows one stays; columns of any name come through; nulls in every column stop nothing.
+
+    Of one line in two documents the first stays, which is that without an id; the other document stays with an empty text.
+    """
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("the of and a to in is that it for was on as with be by this are an not they".split()) + rng.choice(["", "", " house", " river", " window"]) for _ in range(60))
+    rows = [(i, text(), "en", "s", 1) for i in range(12)]
+    rows += [rows[3], rows[3], (None, rows[4][1], None, None, None), (50, None, None, None, None), (51, "", "en", None, 0)]
+    got = _run(spark, tmp_path / "b", rows, [], id="'x'", th="1", term="'y'", leaf="'z'", cls="2", root="'r'", words="'w'", score="'s'", piece="'p'")
+    assert {r["doc_id"] for r in got} == {None, *range(12)} and len(got) == 13
+    assert [r["length"] for r in got if r["doc_id"] == 4] == [1]
