@@ -152,6 +152,9 @@ def _pieces(path: str, end_id: int, capacity: int):
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             types = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        # the worker may do another step next; a task fills the cache more than once anyway
+        encoder.known.clear()
+        pa.default_memory_pool().release_unused()
 
     return run
 
