@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from .storage import small, stored
+from .wordbytes import give_back
 
 MAX_TRAIN_ROWS = 20_000
 #: Learned rows of this many words from which the floor of familiar text is taken; with fewer, there is none.
@@ -289,6 +290,9 @@ def _predict(model: Broadcast, penalty: float, spans: bool):
             columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(changes, pa.int64()), pa.array(familiar, pa.float64()), pa.array(n_words, pa.int64()), *([pa.array(found, _SPANS)] if spans else [])]
             columns = [*batch.columns[:-1], *(c.take(pa.array(back)) for c in columns)]
             yield pa.RecordBatch.from_arrays(columns, [str(k) for k in range(len(columns))])
+            del batch, texts, columns
+        del labeller
+        give_back()
 
     return run
 

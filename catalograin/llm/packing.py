@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import stored
+from .wordbytes import give_back
 
 CAPACITY = 4096
 #: Pieces that one task packs; beyond, more tasks do. Each leaves a handful of part-filled bins, which the next level packs again.
@@ -154,7 +155,7 @@ def _pieces(path: str, end_id: int, capacity: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
         # the worker may do another step next; a task fills the cache more than once anyway
         encoder.known.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 

@@ -6,6 +6,8 @@ over its bytes and no Python work per word. Texts are cut into blocks of at most
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,3 +109,13 @@ def runs(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray
             value = mix(value * np.uint64(0x2545F4914F6CDD1D) + hashes[k : k + 1])
         out[before[i]] = value[0]
     return out, before
+
+
+def give_back() -> None:
+    """Let a worker that waits for its next task hold no memory of the last one: the JVM beside it may need it then."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
