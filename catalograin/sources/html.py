@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -64,9 +64,15 @@ def _nodes(value) -> Iterator[dict]:
             yield from _nodes(v)
 
 
-def snapshot(html: str) -> dict:
+def _undecoded(html: str, references: Sequence[str]) -> str:
+    """A page in which all character references but those named are escaped, so that they come out as written; scripts and styles stay."""
+    others = re.compile(rf"<(script|style)\b.*?(?:</\1\s*>|\Z)|&(?!(?:{'|'.join(map(re.escape, references)) or '(?!)'});)", re.S | re.I)
+    return others.sub(lambda m: m[0] if m[1] else "&amp;", html)
+
+
+def snapshot(html: str, references: Sequence[str] | None = None) -> dict:
     page = _Page()
-    page.feed(html)
+    page.feed(html if references is None else _undecoded(html, references))
     types, price = [], None
     for kind, body in page.scripts:
         if kind == "application/ld+json":
@@ -88,12 +94,15 @@ def snapshot(html: str) -> dict:
     return {"title": clean(page.title), "h1": clean(page.h1), "text": "\n".join(lines)[:MAX_TEXT], "links": page.links, "og": page.og, "ld_types": types, "ld_price": price}
 
 
-def snapshots(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, h1, text, links, og, ld_types, ld_price) of `pages(page_id, url, html)`; text has a line per block, at most MAX_TEXT characters."""
+def snapshots(pages: DataFrame, references: Sequence[str] | None = None) -> DataFrame:
+    """(page_id, url, title, h1, text, links, og, ld_types, ld_price) of `pages(page_id, url, html)`; text has a line per block, at most MAX_TEXT characters.
+
+    references: names of the only character references that are decoded, each up to its semicolon; None: all, with or without one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [snapshot(h or "") for h in batch.column(2).to_pylist()]
+            rows = [snapshot(h or "", references) for h in batch.column(2).to_pylist()]
             types = {"links": pa.list_(pa.string()), "og": pa.map_(pa.string(), pa.string()), "ld_types": pa.list_(pa.string()), "ld_price": pa.float64()}
             columns = [pa.array([list(r[c].items()) if c == "og" else r[c] for r in rows], types.get(c, pa.string())) for c in ("title", "h1", "text", "links", "og", "ld_types", "ld_price")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "title", "h1", "text", "links", "og", "ld_types", "ld_price"])

@@ -255,3 +255,12 @@ def test_snapshots(spark):
     row = html.snapshots(spark.createDataFrame([(1, "u", page), (2, "v", None)], "page_id long, url string, html string")).collect()[0]
     assert (row["title"], row["h1"], row["text"], row["links"]) == ("A car", "Red car", "Red car\none\ntwo & three", ["/x"])
     assert row["og"] == {"type": "product"} and row["ld_types"] == ["Car", "Offer"] and row["ld_price"] == 9900.0
+
+
+def test_snapshots_decode_the_references_asked_for(spark):
+    page = """<title>a &amp; b &ampc &quot; &amp;quot; &#38;</title><h1>&copy;<b>&amp;</b></h1><script type="application/ld+json">{"@type": "A & B"}</script><a href="?a&amp;b=&lt;">x</a>"""
+    pages = spark.createDataFrame([(1, "u", page), (2, "v", "&<script>&")], "page_id long, url string, html string")
+    one, two = html.snapshots(pages, ["amp"]).orderBy("page_id").collect()
+    assert (one["title"], one["h1"], one["ld_types"], one["links"]) == ("a & b &ampc &quot; &quot; &#38;", "&copy;&", ["A & B"], ["?a&b=&lt;"]) and two["text"] == "&"
+    assert html.snapshots(pages, []).orderBy("page_id").first()["h1"] == "&copy;&amp;"
+    assert html.snapshots(pages).orderBy("page_id").first()["h1"] == "©&"
