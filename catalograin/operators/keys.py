@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.model import PLAN_VERSION
-from ..session import with_checkpoints
+from ..session import written
 from ..sources.items import long_form
 from .products import names_related
 
 TOP_SAMPLES = 12
 TOP_CURRENCIES = 10
+#: Circles of aliases whose keys are broadcast; more meet the names by a shuffle.
+MOST_BROADCAST = 50_000
 
 
 def recount(items: DataFrame) -> DataFrame:
@@ -149,32 +153,40 @@ def unchecked(asked: DataFrame, checks: DataFrame, sizes: DataFrame) -> DataFram
 def flat_aliases(pairs: DataFrame) -> DataFrame:
     """(alias, key) of `pairs(alias, canonical, ordinal)`: every name under the key that its chain of pairs ends at, keys under themselves.
 
-    Of several pairs of one alias the last by `ordinal` counts. A pair that closes a circle, its last one, is refused. Chains are halved by
-    joining the table with itself until all point at keys, so a chain of n pairs takes about log2(n) rounds; names that point at a key
-    already take no part in a join, so a key of very many names is no single task's load. Pairs with a null are ignored.
+    Of several pairs of one alias the last by `ordinal` counts. A pair that closes a circle, its last one, is refused. Each round joins the names
+    that are under no key yet with the table, which doubles the steps they have gone, so the longest chain or circle of n pairs takes about
+    log2(n) rounds. A name that meets itself as the least name on its way has gone round a circle; its last pair then gives the key of all
+    names that came by there. Names under a key already take no part in a join, so a key of very many names is no single task's load.
+    No side of a join is taken to be small for what its files weigh. Pairs with a null are ignored.
     """
-    with_checkpoints(pairs.sparkSession)
     pairs = pairs.where("alias IS NOT NULL AND canonical IS NOT NULL").groupBy("alias").agg(F.max_by("canonical", F.struct("ordinal", "canonical")).alias("up"), F.max("ordinal").alias("ordinal"))
-    pairs = pairs.where("alias <> up").checkpoint()
+    pairs = written(pairs.where("alias <> up"))
+    # low: the least name of those stepped on; top: the last pair of the steps, of several the first by name
+    way = pairs.select("alias", "up", F.col("up").alias("low"), F.struct("ordinal", "alias").alias("top"))
+    known = []
     while True:
-        keys = pairs.select(F.col("up").alias("alias")).distinct().join(pairs.select("alias"), "alias", "left_anti").checkpoint()
-        ends = keys.withColumnRenamed("alias", "end")
-        state = pairs.join(ends, F.col("up") == F.col("end"), "left").select("alias", "up", F.col("ordinal").alias("top"), F.col("end").isNotNull().alias("done")).checkpoint()
-        length, n = 1, pairs.count()
-        while (left := state.where("NOT done").count()) and length <= n:
-            step = state.select(F.col("alias").alias("up"), F.col("up").alias("further"), F.col("top").alias("top_there"), F.col("done").alias("done_there"))
-            moved = state.where("NOT done").join(step, "up").select("alias", F.col("further").alias("up"), F.greatest("top", "top_there").alias("top"), F.col("done_there").alias("done"))
-            state = state.where("done").unionByName(moved).checkpoint()
-            length *= 2
-        if not left:
+        there = way.select(F.col("alias").alias("up"), F.col("up").alias("further"), F.col("low").alias("low_there"), F.col("top").alias("top_there"), F.lit(None).cast(pairs.schema["alias"].dataType).alias("key"))
+        for more in known:
+            there = there.unionByName(more.withColumnRenamed("alias", "up"), allowMissingColumns=True)
+        met = way.join(there.withColumn("met", F.lit(True)).hint("merge"), "up", "left")
+        key = F.when(F.col("met").isNull(), F.col("up")).otherwise(F.col("key"))  # what is no alias is a key
+        later = (F.col("top_there.ordinal") > F.col("top.ordinal")) | ((F.col("top_there.ordinal") == F.col("top.ordinal")) & (F.col("top_there.alias") < F.col("top.alias")))
+        top = F.when(later, F.col("top_there")).otherwise(F.col("top"))
+        moved = written(met.select("alias", F.col("further").alias("up"), F.least("low", "low_there").alias("low"), top.alias("top"), key.alias("key")))
+        on = moved.where("key IS NULL").drop("key")
+        known.append(moved.where("key IS NOT NULL").select("alias", "key"))
+        circles = on.where("alias = low").select("low", F.col("top.alias").alias("refused"))
+        if n := circles.count():
+            chosen = F.broadcast(circles) if n <= MOST_BROADCAST else circles.hint("merge")
+            led = written(on.join(chosen, "low", "left"))
+            known.append(led.where("refused IS NOT NULL").select("alias", F.col("refused").alias("key")))
+            on = led.where("refused IS NULL").drop("refused")
+        if on.isEmpty():
             break
-        # after more steps than there are names, what is left points into its circle, and `top` is the circle's last pair
-        circles = state.where("NOT done").select(F.col("up").alias("alias")).distinct()
-        last = state.join(circles, "alias", "left_semi").select("alias", "top")
-        refused = pairs.join(last, "alias").where("ordinal = top").groupBy("top").agg(F.min("alias").alias("alias")).select("alias")
-        pairs = pairs.join(refused, "alias", "left_anti").checkpoint()
-    alone = keys.select("alias", F.col("alias").alias("key"))
-    return state.select("alias", F.col("up").alias("key")).unionByName(alone)
+        way = on
+    flat = reduce(DataFrame.unionByName, known)
+    alone = pairs.select("up").distinct().join(pairs.select(F.col("alias").alias("up")).hint("merge"), "up", "left_anti")
+    return flat.unionByName(alone.select(F.col("up").alias("alias"), F.col("up").alias("key")))
 
 
 def near_keys(facts: DataFrame, top: int = 300) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[8]", app: str = "catalograin", **extra: str) -> SparkSession:
@@ -34,3 +35,18 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
             path = tempfile.mkdtemp(prefix="catalograin-")
         spark.sparkContext.setCheckpointDir(path)
     return spark
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written once as Parquet below the checkpoint folder and read again: its lineage is cut, and small files are read together, so that the
+    number of partitions does not grow from round to round. Shuffle files go with the end of the write."""
+    spark = with_checkpoints(df.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)

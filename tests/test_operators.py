@@ -96,6 +96,35 @@ def test_flat_aliases(spark):
     assert keys.flat_aliases(spark.createDataFrame([], "alias string, canonical string, ordinal int")).count() == 0
 
 
+def test_flat_aliases_against_following_them(spark, monkeypatch):
+    """Random pairs with many circles, tails with names that are less than any in their circle, and equal ordinals; circles join by a shuffle too."""
+    rng = random.Random(3)
+    rows = [(f"n{i:03}", f"n{i // 40 * 40 + rng.randrange(40):03}", rng.randrange(9)) for i in range(400) if i % 90 < 80]
+    up, order = {a: b for a, b, _ in rows if a != b}, {a: n for a, _, n in rows}
+    want = {}
+    for name in {n for pair in up.items() for n in pair}:
+        seen = []
+        at = name
+        while at in up and at not in seen:
+            seen.append(at)
+            at = up[at]
+        want[name] = min(seen[seen.index(at) :], key=lambda n: (-order[n], n)) if at in seen else at
+    assert len({k for k in want.values() if k in up}) > 1
+    df = spark.createDataFrame(rows, "alias string, canonical string, ordinal int")
+    for most in (50_000, 0):
+        monkeypatch.setattr(keys, "MOST_BROADCAST", most)
+        assert {r["alias"]: r["key"] for r in keys.flat_aliases(df).collect()} == want
+
+
+def test_flat_aliases_take_rounds_by_the_longest_circle(spark, monkeypatch):
+    """Many short circles take few rounds, and no join is broadcast."""
+    made = []
+    monkeypatch.setattr(keys, "written", lambda df: made.append(df) or with_checkpoints(spark) and df.localCheckpoint())
+    rows = [(f"c{i}.{k}", f"c{i}.{(k + 1) % 4}", k) for i in range(500) for k in range(4)]
+    got = {r["alias"]: r["key"] for r in keys.flat_aliases(spark.createDataFrame(rows, "alias string, canonical string, ordinal int")).collect()}
+    assert got == {a: f"{a.split('.')[0]}.3" for a, _, _ in rows} and len(made) <= 5
+
+
 def test_suggestions_and_single_candidates(spark):
     with_checkpoints(spark)
     items = spark.createDataFrame([("vw golf",), ("vw golf style",), ("vw golf style",), ("vw golf life",), ("kia rio",), ("kia rio max",)], "identity string")
