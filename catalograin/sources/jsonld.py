@@ -20,8 +20,7 @@ DESCRIPTION = 2_000
 
 def bodies(nodes: DataFrame) -> DataFrame:
     """(page_id, body, v): the JSON-LD scripts among `page_nodes`, by their number, as VARIANT; what is not JSON is left out."""
-    scripts = nodes.where("tag = 'script' AND attrs['type'] = 'application/ld+json'").select("page_id", F.col("pos").alias("parent"))
-    text = nodes.where("tag = '#text'").join(scripts, ["page_id", "parent"])
+    text = nodes.where("tag = '#text' AND attrs['type'] = 'application/ld+json'")
     return text.select("page_id", F.col("parent").alias("body"), F.try_parse_json("text").alias("v")).where("v IS NOT NULL")
 
 
@@ -153,7 +152,9 @@ def prefill(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     first = nodes.where("tag = 'h1'").groupBy("page_id").agg(F.min("pos").alias("pos"))
     h1 = text_content(nodes, first).select("page_id", _trimmed(F.col("content")).alias("h1"))
-    rows = pages.select("page_id").join(ld, "page_id", "left").join(og, "page_id", "left").join(h1, "page_id", "left")
+    rows = pages.select("page_id")
+    for part in (ld, og, h1):  # pages weigh more than the tables they are made from: none is broadcast by estimate
+        rows = rows.join(part.hint("merge"), "page_id", "left")
     number = F.expr("try_cast(og_price AS double)")
     return rows.select(
         "page_id", F.coalesce("title", "og_title", "h1").alias("title"), F.coalesce("price", number).alias("price"), F.coalesce("currency", "og_currency").alias("currency"),

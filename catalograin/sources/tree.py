@@ -104,7 +104,7 @@ def nodes_of(html: str) -> list[list]:
             stop = re.compile(rf"</{re.escape(name)}\s*/?>", re.I).search(html, at)
             body = html[at : stop.start() if stop else end]
             if body:
-                nodes.append([pos + 1, pos + 1, pos, len(stack) + 1, "#text", [], line, entities.unescape(body) if name in RAW_DECODED else body])
+                nodes.append([pos + 1, pos + 1, pos, len(stack) + 1, "#text", [("type", attrs["type"])] if name == "script" and "type" in attrs else [], line, entities.unescape(body) if name in RAW_DECODED else body])
                 nodes[pos][1] = pos + 1
             at = stop.end() if stop else end
         elif len(stack) < MAX_DEPTH:
@@ -119,7 +119,8 @@ def nodes_of(html: str) -> list[list]:
 def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, pos, last, parent, depth, tag, attrs, line, text, path) of every node of the pages; a null page has none.
 
-    path: the numbers of the nodes around it, outermost first. line: nodes that no block's edge parts have the same. Text is as written, references decoded.
+    path: the numbers of the nodes around it, outermost first. line: nodes that no block's edge parts have the same. Text is as written, references decoded; that of
+    a script has the script's type among its attributes.
     """
     kind = pages.schema[id_col].dataType.simpleString()
 
@@ -255,7 +256,7 @@ def members(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """`nodes` with `root`, one row for each of `roots(page_id, pos)` that a node is or lies inside."""
     up = nodes.withColumn("root", F.explode(F.concat("path", F.array("pos"))))
     wanted = roots.select(F.col("page_id"), F.col("pos").alias("root")).distinct()
-    return up.join(wanted, ["page_id", "root"])
+    return up.join(wanted.hint("merge"), ["page_id", "root"])
 
 
 def texts(nodes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -92,3 +92,14 @@ def test_pages_that_say_nothing(spark):
     table, nodes, found = told(spark, "", None, "<p>x")
     assert found.count() == jsonld.page_types(found).count() == jsonld.crumbs(found).count() == 0
     assert [tuple(r)[1:] for r in jsonld.prefill(table, nodes).collect()] == [(None,) * 5] * 3
+
+
+def test_scripts_need_no_join_and_no_page_is_broadcast(spark):
+    """A script's text says its type itself; small files that many pages come from make no broadcast of them."""
+    pages = spark.createDataFrame([(1, '<script type="application/ld+json">{"@type": "Car", "name": "n"}</script><h1>h</h1><style type="application/ld+json">{}</style>'), (2, "<h1>x <b>y</b></h1>")], "page_id long, html string")
+    nodes = tree.page_nodes(pages)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = jsonld.bodies(nodes)
+    assert "Join" not in plan(found) and [r["page_id"] for r in found.collect()] == [1]
+    told = jsonld.prefill(pages, nodes)
+    assert "Broadcast" not in plan(told) and {(r["page_id"], r["title"]) for r in told.collect()} == {(1, "n"), (2, "x y")}
