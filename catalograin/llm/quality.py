@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small, stored
 from .wordbytes import Block, blocks, runs
 
 REPEAT_WIDTH = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
-MAX_TRAIN_ROWS = 20_000
 TREES, TREE_ROWS = 200, 256
+#: Scores are rounded to so many digits, which bounds how many different ones there are.
+SCORE_DIGITS = 5
 #: Share of rows labelled good that the threshold may reject.
 MAX_GOOD_LOSS = 0.002
 
@@ -168,47 +170,72 @@ class IsolationForest:
 class Rules:
     """A forest over the good rows' statistics, and the score from which a row is an anomaly."""
 
-    def __init__(self, stats: np.ndarray, good: np.ndarray, max_good_loss: float = MAX_GOOD_LOSS):
-        judged = ~base_failed(stats) if len(stats) else np.zeros(0, bool)
-        rows, good = features(stats)[judged], good[judged]
-        self.forest = IsolationForest(rows[good], rows.min(0), rows.max(0)) if good.sum() > 1 else None
-        self.threshold = np.inf
-        if self.forest is not None:
-            # every score above which no more good rows than allowed lie; of those, the one that tells most bad rows from good ones
-            scores = self.forest.score(rows)
-            cuts = np.unique(scores)
-            above = lambda x: 1 - np.searchsorted(np.sort(x), cuts, "right") / max(len(x), 1)
-            lost, caught = above(scores[good]), above(scores[~good])
-            allowed = lost <= max_good_loss
-            best = int(np.argmax(np.where(allowed, caught - lost, -np.inf)))
-            self.threshold = float((cuts[best] + cuts[min(best + 1, len(cuts) - 1)]) / 2) if caught[best] > lost[best] else np.inf
+    def __init__(self, forest: IsolationForest | None = None, threshold: float = np.inf):
+        self.forest, self.threshold = forest, threshold
+
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        """Anomaly scores of rows of features, rounded to SCORE_DIGITS."""
+        return np.round(self.forest.score(rows), SCORE_DIGITS) if self.forest is not None and len(rows) else np.zeros(len(rows))
 
     def keep(self, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Anomaly scores, and whether rows stay."""
-        scores = self.forest.score(features(stats)) if self.forest is not None and len(stats) else np.zeros(len(stats))
+        scores = self.scores(features(stats))
         return scores, ~base_failed(stats) & (scores <= self.threshold)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS, max_good_loss: float = MAX_GOOD_LOSS) -> Rules:
-    """Rules from at most about `max_rows` labelled rows (quality 0 or 1), taken by a hash of the id.
+def threshold_of(cuts: np.ndarray, good: np.ndarray, bad: np.ndarray, max_good_loss: float) -> float:
+    """A cut between scores. `good` and `bad` say how many rows have each of the rising scores `cuts`.
+
+    Of the scores above which no more good rows than allowed lie, the one that tells most bad rows from good ones.
+    """
+    if not len(cuts):
+        return np.inf
+    above = lambda n: 1 - np.cumsum(n) / max(n.sum(), 1) if n.sum() else np.ones(len(n))
+    lost, caught = above(good), above(bad)
+    best = int(np.argmax(np.where(lost <= max_good_loss, caught - lost, -np.inf)))
+    return float((cuts[best] + cuts[min(best + 1, len(cuts) - 1)]) / 2) if caught[best] > lost[best] else np.inf
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_good_loss: float = MAX_GOOD_LOSS) -> Rules:
+    """Rules from all labelled rows (quality 0 or 1).
+
+    The ranges that splits are drawn over and the threshold come from every labelled row that the base rules leave. Each tree of the
+    forest grows, as the method has it, over TREE_ROWS good rows, which are drawn from all of them by a hash of the id. What the driver
+    gets is bounded: the trees' rows, and how many rows have each score.
 
     Rows without a text, an id or a quality are not used, nor ids labelled both ways; an id labelled twice counts once. Without
     good rows, only the base rules hold.
     """
     labels = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("q"), F.max("quality").alias("other")).where("q = other").drop("other")
-    n = labels.count()
-    share = int(1_000_000 * min(1.0, max_rows / max(n, 1)))
-    sample = labels.where(F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1_000_000)) < share)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    rows = texts.join(small(labels, 48 * labels.count()), "id").select("text", F.col("q").cast("int"), F.xxhash64("id", F.lit("quality")).alias("h"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stats = statistics(batch.column(0))
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, pa.int64()) for c in stats.T)], ["q", *BASE, *_EXTRA])
+            judged = pa.array(~base_failed(stats))
+            yield pa.RecordBatch.from_arrays([c.filter(judged) for c in (batch.column(1), batch.column(2), *(pa.array(c) for c in features(stats).T))], ["q", "h", *FEATURES])
+
+    found = stored(rows.mapInArrow(measure, "q int, h long, " + ", ".join(f"{c} double" for c in FEATURES)), "measured")
+    good = found.where("q = 1")
+    n = good.count()
+    if n < 2:
+        return Rules()
+    low, high = np.array(found.agg(*(F.min(c) for c in FEATURES), *(F.max(c) for c in FEATURES)).first(), float).reshape(2, -1)
+    share = int(1_000_000 * min(1.0, 1.1 * TREES * TREE_ROWS / n))
+    drawn = good.where(F.pmod("h", F.lit(1_000_000)) < share).select(*FEATURES).toPandas()
+    drawn = drawn.sort_values(FEATURES).to_numpy(float)  # the forest must not depend on the order of tasks
+    rules = Rules(IsolationForest(drawn, low, high, TREES, TREE_ROWS))
+    broadcast = found.sparkSession.sparkContext.broadcast(rules)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = broadcast.value.scores(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["q", "score"])
 
-    found = rows.select("text", F.col("q").cast("int")).mapInArrow(measure, "q int, " + ", ".join(f"{c} long" for c in BASE + _EXTRA)).toPandas()
-    found = found.sort_values([*BASE, *_EXTRA, "q"])  # the forest must not depend on the order of tasks
-    return Rules(found[BASE + _EXTRA].to_numpy(np.int64), found.q.to_numpy() == 1, max_good_loss)
+    scored = found.select("q", *FEATURES).mapInArrow(score, "q int, score double").groupBy("score").agg(F.count_if(F.col("q") == 1).alias("good"), F.count_if(F.col("q") != 1).alias("bad")).toPandas().sort_values("score")
+    rules.threshold = threshold_of(*(scored[c].to_numpy() for c in ("score", "good", "bad")), max_good_loss)
+    return rules
 
 
 def judge(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -72,3 +72,25 @@ def test_edges(spark, edge_docs, no_docs):
         assert len(rows) == edge_docs.count() and by_id[1]["n_words"] == 0 and by_id[1]["base_failed"] and not by_id[1]["kept"]
         assert by_id[5]["n_words"] == 30_000 and by_id[5]["n_repeat_words"] == 30_000
         assert quality.judge(no_docs, rules).count() == 0
+
+
+def test_ranges_and_threshold_come_from_all_labels(spark, monkeypatch):
+    """One labelled row in thousands widens a range, and few trees' rows leave the threshold as all labelled rows say."""
+    docs, labels = rows_and_labels(spark)
+    monkeypatch.setattr(quality, "TREES", 4)
+    monkeypatch.setattr(quality, "TREE_ROWS", 8)
+    seen = {}
+    make, threshold_of = quality.IsolationForest.__init__, quality.threshold_of
+    monkeypatch.setattr(quality.IsolationForest, "__init__", lambda self, rows, low, high, *size: seen.update(rows=len(rows), low=low, high=high) or make(self, rows, low, high, *size))
+    monkeypatch.setattr(quality, "threshold_of", lambda cuts, good, bad, loss: seen.update(n=int(good.sum() + bad.sum())) or threshold_of(cuts, good, bad, loss))
+    quality.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    stats = quality.statistics(pa.array([texts[r["doc_id"]] for r in labels.collect()]))
+    rows = quality.features(stats)[~quality.base_failed(stats)]
+    assert seen["n"] == len(rows) > 4 * seen["rows"] / 2 and np.allclose(seen["low"], rows.min(0)) and np.allclose(seen["high"], rows.max(0))
+
+
+def test_threshold():
+    cuts, good, bad = np.array([0.1, 0.2, 0.3, 0.4]), np.array([900, 98, 2, 0]), np.array([0, 1, 3, 6])
+    assert quality.threshold_of(cuts, good, bad, 0.0025) == 0.25 and np.isclose(quality.threshold_of(cuts, good, bad, 0.001), 0.35)
+    assert quality.threshold_of(cuts, good, good, 1.0) == np.inf
