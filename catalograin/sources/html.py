@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_TEXT = 15_000
+#: Characters of pages whose snapshots are held and handed on together, so a worker's memory does not follow the size of Spark's batches.
+BLOCK_CHARS = 1_000_000
 _HIDDEN = {"script", "style", "noscript", "template", "svg"}
 _BLOCKS = {"p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "br", "article", "section", "header", "footer", "nav", "main", "table", "dt", "dd"}
 SCHEMA = "page_id long, url string, title string, h1 string, text string, links array<string>, og map<string,string>, ld_types array<string>, ld_price double"
@@ -100,12 +102,20 @@ def snapshots(pages: DataFrame, references: Sequence[str] | None = None) -> Data
     references: names of the only character references that are decoded, each up to its semicolon; None: all, with or without one.
     """
 
+    types = {"links": pa.list_(pa.string()), "og": pa.map_(pa.string(), pa.string()), "ld_types": pa.list_(pa.string()), "ld_price": pa.float64()}
+    names = ("title", "h1", "text", "links", "og", "ld_types", "ld_price")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [snapshot(h or "", references) for h in batch.column(2).to_pylist()]
-            types = {"links": pa.list_(pa.string()), "og": pa.map_(pa.string(), pa.string()), "ld_types": pa.list_(pa.string()), "ld_price": pa.float64()}
-            columns = [pa.array([list(r[c].items()) if c == "og" else r[c] for r in rows], types.get(c, pa.string())) for c in ("title", "h1", "text", "links", "og", "ld_types", "ld_price")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "title", "h1", "text", "links", "og", "ld_types", "ld_price"])
+            at, chars, rows = 0, 0, []
+            for k, page in enumerate(batch.column(2)):
+                page = page.as_py() or ""
+                rows.append(snapshot(page, references))
+                chars += len(page)
+                if chars >= BLOCK_CHARS or k == batch.num_rows - 1:
+                    columns = [pa.array([list(r[c].items()) if c == "og" else r[c] for r in rows], types.get(c, pa.string())) for c in names]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), batch.column(1).slice(at, len(rows)), *columns], ["page_id", "url", *names])
+                    at, chars, rows = k + 1, 0, []
 
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, SCHEMA)
 

@@ -293,3 +293,23 @@ def test_snapshots_decode_the_references_asked_for(spark):
     assert (one["title"], one["h1"], one["ld_types"], one["links"]) == ("a & b &ampc &quot; &quot; &#38;", "&copy;&", ["A & B"], ["?a&b=&lt;"]) and two["text"] == "&"
     assert html.snapshots(pages, []).orderBy("page_id").first()["h1"] == "&copy;&amp;"
     assert html.snapshots(pages).orderBy("page_id").first()["h1"] == "©&"
+
+
+def test_snapshots_are_handed_on_in_parts(spark, monkeypatch):
+    """Batches of any size: pages are held by their characters, none is lost or moved."""
+    from catalograin.queries import html as used
+
+    monkeypatch.setattr(used, "BLOCK_CHARS", 40)
+    pages = spark.createDataFrame([(i, f"u{i}", None if i % 5 == 0 else f"<title>{i}</title>" + "x" * (i % 90)) for i in range(200)], "page_id long, url string, html string").coalesce(1)
+    batches = []
+
+    class Pages:
+        columns = pages.columns
+        select = lambda self, *c: self
+        mapInArrow = lambda self, run, schema: run
+
+    run = html.snapshots(Pages())
+    for batch in run(pages.toArrow().to_batches()):
+        batches.append(batch.num_rows)
+        assert all(t == (None if i % 5 == 0 else str(i)) and u == f"u{i}" for i, u, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+    assert sum(batches) == 200 and max(batches) <= 20
