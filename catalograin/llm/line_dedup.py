@@ -28,6 +28,8 @@ PERCENTS = (80, 60)
 #: A line with more than this share of all lines is joined by a broadcast, of at most as many lines as the inverse.
 HOT_SHARE = 1e-3
 _PLACE = ("id", "th", "pos")
+#: So many lines, of so many tokens in all, are brought together at a time where a majority is found.
+MOST_MET, MOST_TOKENS = 64, 200_000
 #: The leaf of lines too short for one; those of middling length have none.
 SHORT = 0
 
@@ -49,13 +51,42 @@ def _agreed(template: Column) -> Column:
     return F.size(F.filter(F.arrays_zip("tokens", template.alias("token")), lambda p: (p["tokens"] == p["token"]) & (p["token"] != WILD)))
 
 
+def _reduced(rows: DataFrame, key: str, levels: int, merged) -> DataFrame:
+    """(key, state): the `state` arrays of rows (key, chunk, chunks, per, state) brought together position by position, about `per` arrays at a time."""
+    for _ in range(levels):
+        states = rows.groupBy(key, "chunk").agg(F.collect_list("state").alias("states"), F.first("chunks").alias("chunks"), F.first("per").alias("per"))
+        state = F.aggregate(F.slice("states", F.lit(2), F.size("states")), F.element_at("states", 1), lambda x, y: F.zip_with(x, y, merged))
+        chunks = F.ceil(F.col("chunks") / F.col("per")).cast("int")
+        rows = states.select(key, F.pmod("chunk", chunks).alias("chunk"), chunks.alias("chunks"), "per", state.alias("state"))
+    return rows.select(key, "state")
+
+
+def _outvoted(x: Column, y: Column) -> Column:
+    """What is left when votes for unlike tokens cancel out: a token with more than half of all votes is never lost."""
+    more = F.when(x["n"] >= y["n"], x["token"]).otherwise(y["token"])
+    return F.struct(more.alias("token"), F.when(x["token"] == y["token"], x["n"] + y["n"]).otherwise(F.abs(x["n"] - y["n"])).alias("n"))
+
+
 def _majority(lines: DataFrame, key: str) -> DataFrame:
-    """(key, template) of lines (key, n, tokens): the tokens that more than half of the lines have, else the wild card."""
-    at = lines.select(key, "n", F.posexplode("tokens").alias("k", "token")).groupBy(key, "k", "token").agg(F.sum("n").alias("n"))
-    most = at.groupBy(key, "k").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
-    constant = F.when(F.col("top.n") * 2 > F.col("all"), F.col("top.token")).otherwise(F.lit(WILD))
-    listed = most.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", constant.alias("token")))).alias("template"))
-    return listed.select(key, F.col("template.token").alias("template"))
+    """(key, template) of lines (key, lines, h1, h2, n, tokens): the tokens that more than half of the lines have, else the wild card.
+
+    A vote by position leaves one token that may have the majority, and its lines are counted then. A line stays one row: a row for each
+    token would be a row for each stretch that lines share times each of their tokens, and the tokens of one line meet in many stretches.
+    """
+    per = F.greatest(F.lit(2), F.least(F.lit(MOST_MET), F.floor(F.lit(MOST_TOKENS) / F.size("tokens")))).cast("int")
+    lines = lines.withColumn("per", per).withColumn("chunks", F.ceil(F.col("lines") / F.col("per")).cast("int"))
+    lines = lines.select(key, "n", "tokens", "per", "chunks", F.pmod(F.xxhash64("h1", "h2"), "chunks").cast("int").alias("chunk"))
+    most, least = lines.agg(F.max("chunks"), F.min("per")).first()
+    levels = 1
+    while (most or 1) > 1:
+        most, levels = -(-most // least), levels + 1
+    votes = F.transform("tokens", lambda t: F.struct(t.alias("token"), F.col("n").alias("n")))
+    voted = _reduced(lines.withColumn("state", votes), key, levels, _outvoted).select(key, F.col("state.token").alias("likely"))
+    counts = F.zip_with("tokens", "likely", lambda t, c: F.when(t == c, F.col("n")).otherwise(F.lit(0)))
+    totals = F.concat(counts, F.array("n"))  # the last is that of all lines
+    sums = _reduced(lines.join(voted, key).withColumn("state", totals), key, levels, lambda x, y: x + y)
+    constant = F.zip_with("likely", F.slice("state", F.lit(1), F.size("likely")), lambda c, n: F.when(n * 2 > F.element_at("state", -1), c).otherwise(F.lit(WILD)))
+    return sums.join(voted, key).select(key, constant.alias("template"))
 
 
 def _fitted(lines: DataFrame, key: str, percent: int, depth: int) -> DataFrame:

@@ -118,3 +118,27 @@ def test_very_long_lines(spark):
     lines += [" ".join(head + [word(5 + k, i) for i in range(3, n)]) for k in range(9)]
     got = result(dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")))
     assert [got[i][2] for i in range(12)] == [0, 1, 1] + [0] * 9
+
+
+def test_majority_of_many_lines(spark, monkeypatch):
+    """Weighted, over several rounds of two lines each, as counted by hand; with a row for each line, not for each of its tokens."""
+    import random
+    from collections import Counter
+
+    from catalograin.llm import line_dedup
+
+    rng, rows, want = random.Random(3), [], {}
+    for leaf in range(60):
+        lines = [(rng.choice([1, 1, 2, 5]), [rng.choice("aaab") if k % 2 else rng.choice("abcdef") for k in range(6)]) for _ in range(rng.choice([3, 4, 7, 40]))]
+        rows += [(leaf, len(lines), i, leaf, n, tokens) for i, (n, tokens) in enumerate(lines)]
+        counts = [Counter() for _ in range(6)]
+        for n, tokens in lines:
+            for count, token in zip(counts, tokens, strict=True):
+                count[token] += n
+        want[leaf] = [t if 2 * n > sum(c.values()) else "<*>" for c in counts for t, n in c.most_common(1)]
+    lines = spark.createDataFrame(rows, "leaf long, lines long, h1 long, h2 long, n long, tokens array<string>")
+    for most in (64, 2):
+        monkeypatch.setattr(line_dedup, "MOST_MET", most)
+        found = line_dedup._majority(lines, "leaf")
+        assert {r["leaf"]: r["template"] for r in found.collect()} == want
+        assert "Generate" not in found._jdf.queryExecution().toString()
