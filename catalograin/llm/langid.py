@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .storage import small, stored
+from .storage import BATCH_BYTES, small, stored
 from .wordbytes import give_back
 
 MAX_TRAIN_ROWS = 20_000
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = met.mapInArrow(_count, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     table = counts.toArrow()  # what max_rows rows hold
     model = Model(table, pc.unique(table["lang"]).to_pylist())
-    seen = identify(sample, model, "id", spans=False).where(F.col("n_words") >= FLOOR_WORDS)
+    seen = stored(identify(sample, model, "id", spans=False).select("familiarity", "n_words").where(F.col("n_words") >= FLOOR_WORDS), "seen", BATCH_BYTES)
     n_seen, cuts = seen.agg(F.count("*"), F.percentile_approx("familiarity", F.array(F.lit(0.001), F.lit(0.5)), 10_000)).first()
     if n_seen >= FLOOR_ROWS:
         model.floor = cuts[0] - (cuts[1] - cuts[0]) / 2

@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import small, stored
-from .wordbytes import blocks, mix, runs
+from .storage import BATCH_BYTES, small, stored
+from .wordbytes import blocks, give_back, mix, runs
 
 #: What a row of a few longs takes in a broadcast.
 ROW_BYTES = 80
@@ -82,6 +82,7 @@ def _summaries(width: int, percent: int):
                 [ids, texts, pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(needs, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))],
                 ["doc_id", "th", "n_shingles", "f1", "f2", "need", "prefix"],
             )
+        give_back()
 
     return run
 
@@ -96,6 +97,7 @@ def _wanted_sets(width: int):
                 if len(s) and fingerprint(s) == (first[row], second[row]):
                     columns = np.full(len(s), classes[row], np.int64), np.full(len(s), len(s), np.int64), s.view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["cls", "n", "h"])
+        give_back()
 
     return run
 
@@ -142,7 +144,8 @@ class Trie:
     """
 
     def __init__(self, sets: list[np.ndarray]):
-        order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
+        # as bytes, most significant first, tokens compare as their numbers do and take no object each
+        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">i8").tobytes())
         nodes: list[list] = []  # parent, first set, from, to, set ending here, depth
         levels = [[(-1, 0, len(order), 0)]]
         self.level = [0]
@@ -258,7 +261,12 @@ def _join_blocks(percent: int):
         sets = [np.sort(x) for x in np.split(numbers, cuts)]
         n_left = int((group.block == left).sum())
         classes = group.cls.to_numpy()
+        n_tokens = len(flat)
+        del tokens, ordered, flat, places, numbers, values, index, counts, rank
         links = trie_links(sets, group.n.to_numpy(), percent, n_left, left == right)
+        if n_tokens > BLOCK_SHINGLES // 10:
+            del sets
+            give_back()
         return pd.DataFrame({"a": [classes[i] for i, _ in links], "b": [classes[j] for _, j in links]}, dtype="int64")
 
     return run
@@ -284,7 +292,7 @@ def _joined(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     """The rows of `ngram_join` with th, the hash of a row's text, and root, its component's number (null without shingles)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("th"))
     schema = "doc_id long, th long, n_shingles long, f1 long, f2 long, need long, prefix array<long>"
-    rows = stored(docs.mapInArrow(_summaries(width, percent), schema), "sets")
+    rows = stored(docs.mapInArrow(_summaries(width, percent), schema), "sets", BATCH_BYTES)
 
     # 1. classes of equal sets; f1 names a class (f2 guards the text lookup below)
     classes = rows.where("n_shingles > 0").groupBy("f1", "f2").agg(
@@ -294,7 +302,8 @@ def _joined(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
 
     # 2. classes with enough shared prefix shingles
     tokens = classes.select("cls", F.explode("prefix").alias("h"))
-    owned_twice = tokens.groupBy("h").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("h")
+    # stored, here and below, so that the shuffle that counts is gone from the disk before the one that joins
+    owned_twice = stored(tokens.groupBy("h").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("h"), "owned")
     shared = tokens.join(owned_twice, "h").groupBy("cls").agg(F.count("*").alias("shared"))
     left = stored(classes.join(shared, "cls").where("shared >= need").select("cls", "at", "f1", "f2", "n"), "left")
 
@@ -302,8 +311,8 @@ def _joined(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     n_left = left.count()
     chosen = left.select(F.col("at.doc_id").alias("rep"), F.col("at.th").alias("rep_th"), "f1", "f2", "cls")
     texts = docs.join(small(chosen, ROW_BYTES * n_left), docs.doc_id.eqNullSafe(chosen.rep) & (docs.th == chosen.rep_th))
-    sets = stored(texts.select("text", "f1", "f2", "cls").mapInArrow(_batched(_wanted_sets(width)), "cls long, n long, h long"), "tokens")
-    frequent = sets.groupBy("h").agg(F.count("*").alias("df"), F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("h", "df")
+    sets = stored(texts.select("text", "f1", "f2", "cls").mapInArrow(_batched(_wanted_sets(width)), "cls long, n long, h long"), "tokens", BATCH_BYTES)
+    frequent = stored(sets.groupBy("h").agg(F.count("*").alias("df"), F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("h", "df"), "frequent")
     weighed = sets.join(frequent, "h").groupBy("cls", "n").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("t"))
     need = F.ceil(F.col("n") * percent / F.lit(100)).cast("int")
     weighed = weighed.withColumn("need", need).where(F.size("t") >= F.col("need"))

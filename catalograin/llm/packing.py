@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import BATCH_BYTES, stored
 from .wordbytes import give_back
 
 CAPACITY = 4096
@@ -212,7 +212,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, chunk_pieces: int = CHUNK_
     than `least_fill` are opened again and packed together once more, until one chunk holds them all, or a level closes so few that
     another would gain little: its bins stay as they are. So no chunk ever gets more than about `chunk_pieces`.
     """
-    pieces = stored(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    pieces = stored(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces", BATCH_BYTES)
     rest, done, level = pieces.select("uid", "length"), [], 0
     n = pieces.count()
     while True:

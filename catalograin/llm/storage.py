@@ -13,6 +13,8 @@ BROADCAST_BYTES = 64 << 20
 _KEY = "spark.checkpoint.dir"
 #: Spark's own setting: shuffle files go when an execution ends, not when the driver happens to collect garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own setting: a batch for Python ends at so many bytes, not only after 10,000 rows, which long texts make tens of MB on both sides of each task.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,22 +29,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, batch_bytes: int | None = None) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read again, so lost executors cost no recomputation.
 
     The shuffle files of the write are not needed again and go with its end, so a chain of tables needs the disk of its largest step only.
+    `batch_bytes` bounds the batches that the write's Python steps get; a row is never cut.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    settings = {_CLEANUP: "true"} | ({_BATCH: f"{batch_bytes}b"} if batch_bytes else {})
+    before = {k: spark.conf.get(k) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
+    """Bounds the batches for Python of this session's steps from now on; for an application whose steps return texts and are written by others."""
+    spark.conf.set(_BATCH, f"{batch_bytes}b")
+
+
 def small(df: DataFrame, size: int) -> DataFrame:
     """`df` marked for a broadcast if its measured `size` in bytes allows, else `df` itself."""
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
