@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from .storage import BATCH_BYTES, small, stored
-from .wordbytes import give_back
+from .wordbytes import blocks, give_back
 
 MAX_TRAIN_ROWS = 20_000
 #: Learned rows of this many words from which the floor of familiar text is taken; with fewer, there is none.
@@ -78,6 +78,74 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(counts.values(), pa.int64())], ["lang", "kind", "item", "n"])
 
 
+class Grams:
+    """Places of learned trigrams and longer grams (whole words), looked up exactly in sorted arrays, which take a fifth of a dict's memory.
+
+    A trigram's key is its three code points, which fit in 63 bits. A longer gram's is a hash; the gram found there is compared as text.
+    """
+
+    def __init__(self, names: pa.Array):
+        """names: distinct grams of three code points or more. `places` has the place of each in turn, until it is taken away."""
+        short = pc.equal(pc.utf8_length(names), 3).to_numpy(zero_copy_only=False)
+        places = np.zeros(len(names), np.int64)
+        keys = _trigram_keys("".join(names.filter(pa.array(short)).to_pylist()))[::3]
+        order = np.argsort(keys, kind="stable")
+        places[np.flatnonzero(short)[order]] = np.arange(len(keys))
+        self.trigrams = keys[order]
+        rest = names.filter(pa.array(~short))
+        keys = _hashes(rest)
+        order = np.argsort(keys, kind="stable")
+        places[np.flatnonzero(~short)[order]] = len(self.trigrams) + np.arange(len(keys))
+        self.longer, self.names = keys[order], rest.take(pa.array(order))
+        self.places = places
+        #: Most grams that share a hash.
+        self.alike = int(np.unique(self.longer, return_counts=True)[1].max(initial=0))
+
+    def __len__(self) -> int:
+        return len(self.trigrams) + len(self.longer)
+
+    def __contains__(self, gram: str) -> bool:
+        return bool((self._trigrams(_trigram_keys(gram)) if len(gram) == 3 else self._longer(pa.array([gram], pa.string())))[0] >= 0)
+
+    def _trigrams(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.trigrams, keys)
+        found = at < len(self.trigrams)
+        found[found] = self.trigrams[at[found]] == keys[found]
+        return np.where(found, at, -1)
+
+    def _longer(self, grams: pa.Array) -> np.ndarray:
+        keys, out = _hashes(grams), np.full(len(grams), -1, np.int64)
+        first = np.searchsorted(self.longer, keys)
+        for k in range(self.alike):
+            at = first + k
+            rows = np.flatnonzero(at < len(self.longer))
+            rows = rows[self.longer[at[rows]] == keys[rows]]
+            same = pc.equal(grams.take(pa.array(rows)), self.names.take(pa.array(at[rows]))).to_numpy(zero_copy_only=False)
+            out[rows[same]] = len(self.trigrams) + at[rows[same]]
+        return out
+
+    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places (-1: never seen) of the words' trigrams, word after word, the number of each word's, and places of the whole words; see `grams_of`."""
+        size = np.array(list(map(len, words)), np.int64)  # trigrams of a word between marks: as many as its letters
+        marked = [f"<{word}>" for word in words]
+        before, starts = np.cumsum(size) - size, np.cumsum(size + 2) - size - 2
+        trigrams = self._trigrams(_trigram_keys("".join(marked))[np.repeat(starts - before, size) + np.arange(size.sum())])
+        one = size == 1
+        whole = self._longer(pa.array(marked, pa.string()))
+        whole[one] = trigrams[before[one]]
+        return trigrams, size, whole
+
+
+def _trigram_keys(text: str) -> np.ndarray:
+    """A number for each three consecutive code points, another for any other three."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]
+
+
+def _hashes(grams: pa.Array) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(b.hashes(b.bounds[:-1], b.bounds[1:], lower=False) for b in blocks(grams))])
+
+
 class Model:
     """Languages (sorted), log-probabilities per gram and language, which scripts each language uses, and how unfamiliar a text may be.
 
@@ -90,14 +158,16 @@ class Model:
         place = {lang: i for i, lang in enumerate(self.languages)}
         n = len(self.languages)
         grams, scripts = counts.filter(pc.equal(counts["kind"], "g")), counts.filter(pc.equal(counts["kind"], "s"))
-        items = pc.dictionary_encode(grams["item"].combine_chunks())
-        names, order = items.dictionary.to_pylist(), np.argsort(items.indices.to_numpy(zero_copy_only=False), kind="stable")
-        gram = items.indices.to_numpy(zero_copy_only=False)[order].astype(np.int64)
-        self.lang = np.array([place[x] for x in grams["lang"].to_pylist()], np.int64)[order]
+        items, langs = (pc.dictionary_encode(grams[k].combine_chunks().cast(pa.string())) for k in ("item", "lang"))
+        self.gram = Grams(items.dictionary)
+        gram = self.gram.places[items.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+        del self.gram.places
+        order = np.argsort(gram, kind="stable")
+        lang = np.array([place[x] for x in langs.dictionary.to_pylist()], np.int32)
+        self.lang = lang[langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)][order]
         times = grams["n"].to_numpy()[order].astype(np.float64)
-        self.gram = dict(zip(names, range(len(names)), strict=True))
-        self.start = np.searchsorted(gram, np.arange(len(names) + 1))
-        total = np.log(np.bincount(self.lang, times, n) + 0.5 * (len(names) + 1)) if n else np.zeros(0)
+        self.start = np.searchsorted(gram[order], np.arange(len(self.gram) + 1)).astype(np.int32)
+        total = np.log(np.bincount(self.lang, times, n) + 0.5 * (len(self.gram) + 1)) if n else np.zeros(0)
         self.unseen = np.log(0.5) - total
         self.more = (np.log(times + 0.5) - np.log(0.5)).astype(np.float32)  # than for a gram never seen
         used: dict[str, np.ndarray] = {}
@@ -176,16 +246,14 @@ class Labeller:
     def _learn(self) -> None:
         """Score the words met since."""
         new, self.words.new = self.words.new, []
-        step = max(500, 80_000 // max(self.n, 4))
+        step = max(500, 20_000 // max(self.n, 4))
         for k in range(0, len(new), step):
             self._score(new[k : k + step])
 
     def _score(self, new: list[str]) -> None:
-        get, lists = self.model.gram.get, [grams_of(word) for word in new]
-        size = np.array([len(x) - 1 for x in lists])  # trigrams; the last is the whole word
-        owners = np.repeat(np.arange(len(new)), size)
-        trigrams = self.model.sums(owners, np.array([get(g, -1) for x in lists for g in x[:-1]], np.int64), len(new))
-        whole = self.model.sums(np.arange(len(new)), np.array([get(x[-1], -1) for x in lists], np.int64), len(new))
+        trigrams, size, whole = self.model.gram.find(new)
+        trigrams = self.model.sums(np.repeat(np.arange(len(new)), size), trigrams, len(new))
+        whole = self.model.sums(np.arange(len(new)), whole, len(new))
         scores = (trigrams + whole) / 3  # overlapping grams say the same thing about thrice
         letters = np.array([sum(map(str.isalpha, word)) for word in new], np.int32)
         scripts = [script_of(word) for word in new]
@@ -207,10 +275,10 @@ class Labeller:
         """
         if len(self.words) > CACHE_WORDS:
             self._reset()
-        lists = [words_of(t) for t in texts]
-        before = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-        ids = np.fromiter((i for x in lists for i in map(self.words.__getitem__, x)), np.int32, before[-1])
-        del lists
+        number = self.words.__getitem__
+        parts = [np.fromiter(map(number, words), np.int32, len(words)) for words in map(words_of, texts)]  # the words of one text at a time
+        before = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        ids = np.concatenate([np.zeros(0, np.int32), *parts])
         self._learn()
         labels = np.zeros(len(ids), np.int16)
         if self.n < 2 or not len(ids):

@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from .storage import BATCH_BYTES, stored
 from .wordbytes import give_back
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 CAPACITY = 4096
 #: Pieces that one task packs; beyond, more tasks do. Each leaves a handful of part-filled bins, which the next level packs again.
 CHUNK_PIECES = 50_000
@@ -191,6 +194,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 def _pack(capacity: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd  # takes 20 MB, which workers that tokenise do without
+
         group = group.sort_values(["length", "uid"], ascending=[False, True], kind="stable")
         bins = sum_of_squares(group.length.to_numpy(), capacity)
         fill = np.bincount(bins, weights=group.length.to_numpy()).astype(np.int64)
