@@ -166,11 +166,11 @@ def _escaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def sanitised(nodes: DataFrame) -> DataFrame:
+def sanitised(nodes: DataFrame, most: int | None = MARKUP_CHARS) -> DataFrame:
     """(page_id, markup): each page with only those tags and attributes that show its structure, white space collapsed, every element closed.
 
     Contents of scripts, the head and the like go; of other tags that go, the content stays. Links keep addresses of the web and relative ones.
-    Of a long page its head and tail stay. A page without any node has no row.
+    Of a page of more than `most` characters its head and tail stay; None: all of it. A page without any node has no row.
     """
     kept = nodes.withColumn("dropped", F.col("tag").isin(*DROPPED) | around(F.col("tag").isin(*DROPPED))).where("NOT dropped")
     kept = kept.where(F.col("tag").isin("#text", *KEPT_TAGS))
@@ -188,5 +188,7 @@ def sanitised(nodes: DataFrame) -> DataFrame:
     page = kept.select("page_id", F.explode(F.filter(marks, lambda m: m["s"].isNotNull())).alias("m")).groupBy("page_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
     joined = F.regexp_replace(F.array_join(F.col("m.s"), ""), r"\s+", " ")
     text = F.btrim(F.regexp_replace(joined, "> <", "><"))
-    short = F.concat(F.substring(text, 1, MARKUP_CHARS - TAIL_CHARS), F.lit("<!--truncated-->"), F.right(text, F.lit(TAIL_CHARS)))
-    return page.select("page_id", F.when(F.length(text) > MARKUP_CHARS, short).otherwise(text).alias("markup"))
+    if most is None:
+        return page.select("page_id", text.alias("markup"))
+    short = F.concat(F.substring(text, 1, most - TAIL_CHARS), F.lit("<!--truncated-->"), F.right(text, F.lit(TAIL_CHARS)))
+    return page.select("page_id", F.when(F.length(text) > most, short).otherwise(text).alias("markup"))

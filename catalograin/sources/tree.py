@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -46,7 +46,15 @@ SCHEMA = "pos int, last int, parent int, depth int, tag string, attrs map<string
 _ARROW = {"pos": pa.int32(), "last": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "tag": pa.string(), "attrs": pa.map_(pa.string(), pa.string()), "line": pa.int32(), "text": pa.string(), "path": pa.list_(pa.int32())}
 
 
-def nodes_of(html: str) -> list[list]:
+def decoder(references: Sequence[str] | None) -> Callable[[str], str]:
+    """What decodes the character references of a text: only those given, as written, the longest where several begin; None: all, with or without a semicolon."""
+    if references is None:
+        return entities.unescape
+    known = re.compile("|".join(map(re.escape, sorted(references, key=len, reverse=True))) or "(?!)")
+    return lambda text: known.sub(lambda m: entities.unescape(m[0]), text)
+
+
+def nodes_of(html: str, decode: Callable[[str], str] = entities.unescape) -> list[list]:
     """The nodes of one page as rows of SCHEMA without path, in one pass; stray end tags are passed over, what is left open ends with the page."""
     nodes: list[list] = []
     stack: list[int] = []
@@ -73,7 +81,7 @@ def nodes_of(html: str) -> list[list]:
     at, end = 0, len(html)
     while at < end:
         m = _TAG.search(html, at)
-        text = entities.unescape(html[at : m.start() if m else end])
+        text = decode(html[at : m.start() if m else end])
         if text:
             add("#text", [], text)
         if not m or m.group(2) and not m.group(4):
@@ -96,7 +104,7 @@ def nodes_of(html: str) -> list[list]:
             pop_to(min(open_at[n][-1] for n in closed if open_at.get(n) and open_at[n][-1] > top(barriers)))
         attrs = {}
         for key, value in _ATTRIBUTE.findall(rest):
-            attrs.setdefault(key.lower(), entities.unescape(value[1:-1] if value[:1] in "\"'" and value else value))
+            attrs.setdefault(key.lower(), decode(value[1:-1] if value[:1] in "\"'" and value else value))
         pos = add(name, list(attrs.items()), None)
         if name in VOID or rest.endswith("/") and name in RAW:
             continue
@@ -104,7 +112,7 @@ def nodes_of(html: str) -> list[list]:
             stop = re.compile(rf"</{re.escape(name)}\s*/?>", re.I).search(html, at)
             body = html[at : stop.start() if stop else end]
             if body:
-                nodes.append([pos + 1, pos + 1, pos, len(stack) + 1, "#text", [("type", attrs["type"])] if name == "script" and "type" in attrs else [], line, entities.unescape(body) if name in RAW_DECODED else body])
+                nodes.append([pos + 1, pos + 1, pos, len(stack) + 1, "#text", [("type", attrs["type"])] if name == "script" and "type" in attrs else [], line, decode(body) if name in RAW_DECODED else body])
                 nodes[pos][1] = pos + 1
             at = stop.end() if stop else end
         elif len(stack) < MAX_DEPTH:
@@ -116,15 +124,16 @@ def nodes_of(html: str) -> list[list]:
     return nodes
 
 
-def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", references: Sequence[str] | None = None) -> DataFrame:
     """(page_id, pos, last, parent, depth, tag, attrs, line, text, path) of every node of the pages; a null page has none.
 
     path: the numbers of the nodes around it, outermost first. line: nodes that no block's edge parts have the same. Text is as written, references decoded; that of
-    a script has the script's type among its attributes.
+    a script has the script's type among its attributes. references: see `decoder`.
     """
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = decoder(references)
         for batch in batches:
             ids, rows, held = [], [], 0
 
@@ -134,7 +143,7 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
             for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 path: list[int] = []
-                for node in nodes_of(html.as_py() or ""):
+                for node in nodes_of(html.as_py() or "", decode):
                     del path[node[3] :]
                     ids.append(page_id)
                     rows.append([*node, list(path)])

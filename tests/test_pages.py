@@ -159,3 +159,18 @@ def test_changed_tokens_take_texts_apart_once(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = more_queries.changed_tokens(spark, str(tmp_path))
     assert [tuple(r) for r in got.collect()] == [(1, "- b|+ c")] and "split(" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_page_markup_is_told_as_its_sql_does(spark, tmp_path):
+    """References that lack their end, as where a heading is cut, stay; long pages are whole; a null page has a null."""
+    from catalograin import page_queries
+    from catalograin.queries import oracle_sql
+
+    duckdb = pytest.importorskip("duckdb")
+    heads = ["a &quot", "a &quo", "a &amp", "a &amp;", "&ampquot; &amp;quot; &copy &copy; &middot &middot; &quot; &#38; &lt; &lt &amp;lt; & &ampamp;", "x " * 150_000 + "y"]
+    rows = [(n, "u", f"<html><head><title>{h}</title></head><body><article><h1>{h}</h1></article><footer>z</footer></body></html>") for n, h in enumerate(heads)] + [(len(heads), "u", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    duckdb.execute(f"CREATE OR REPLACE TEMP VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = dict(duckdb.execute(oracle_sql()["page_markup"]).fetchall())
+    got = dict(tuple(r) for r in page_queries.page_markup(spark, str(tmp_path)).collect())
+    assert got == want and "<h1>a &amp;quot</h1>" in got[0] and len(got[5]) > 300_000
